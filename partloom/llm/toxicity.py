@@ -27,10 +27,10 @@ from .wordnum import Words, member
 
 WINDOW = 48
 STRIDE = WINDOW // 2
-SAMPLE = 700
+SAMPLE = 600
 LONGEST = 1 << 18
 DIM, HIDDEN, GRAMS, VOCABULARY = 16, 8, 1 << 13, 4000
-EPOCHS, BATCH, RATE = 9, 256, 0.01
+STEPS, FIRST_STEPS, BATCH, RATE = 170, 70, 256, 0.01
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -64,6 +64,16 @@ def windows(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first[:-1][doc] + step * STRIDE, size, doc
 
 
+def scatter(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the values of each row number."""
+    out = np.zeros((rows, values.shape[1]), np.float32)
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    lead = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+    out[index[lead]] = np.add.reduceat(values[order], lead, axis=0)
+    return out
+
+
 class Network:
     def __init__(self, known: np.ndarray, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -186,7 +196,7 @@ class Network:
         return sigmoid(self.calibration[0] * worst.astype(np.float64) + self.calibration[1])
 
 
-def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 7) -> Network | None:
+def train(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> Network | None:
     """Fit the network to (label, text) rows; None without both classes."""
     labels = np.array([int(y) for y, _ in rows], np.float32)
     if len(set(labels.tolist())) < 2:
@@ -207,38 +217,31 @@ def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 7) ->
     begin, size, doc = windows(words.counts, words.first)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turns = 0
-    for epoch in range(epochs):
-        quota = 6
-        if epoch < 2:
-            key = r.random(len(begin))
-        else:  # the worst windows of every text come first, among them those that clean texts score worst on
-            key = -net.window_logits(words)[0] + 0.3 * r.random(len(begin))
-            quota = 3
+    while turns < steps:
+        early = turns < FIRST_STEPS
+        # later, the worst windows of every text come first, among them those that clean texts score worst on
+        key = r.random(len(begin)) if early else 0.3 * r.random(len(begin)) - net.window_logits(words)[0]
         order = np.lexsort((key, doc))
         rank = np.arange(len(order)) - np.repeat(np.searchsorted(doc[order], np.arange(len(rows))), np.bincount(doc, minlength=len(rows)))
-        limit = np.where(labels[doc[order]] == 1, 1 if epoch >= 2 else quota, quota)
+        limit = np.where(labels[doc[order]] == 1, 6 if early else 2, 6)
         picked = r.permutation(order[rank < limit])
         for a in range(0, len(picked), BATCH):
             some = picked[a : a + BATCH]
-            steps = np.arange(max(1, int(size[some].max(initial=0))))[:, None]
-            mask = (steps < size[some]).astype(np.float32)
-            word = ids[np.where(mask > 0, begin[some] + steps, 0)]
+            time = np.arange(max(1, int(size[some].max(initial=0))))[:, None]
+            mask = (time < size[some]).astype(np.float32)
+            word = ids[np.where(mask > 0, begin[some] + time, 0)]
             used, back = np.unique(word, return_inverse=True)
             back = back.reshape(word.shape)
             own = np.where(r.random(len(used)) < 0.5, 0, row[used])  # half of the words are read by their grams alone
             spread = np.repeat(np.arange(len(used)), n_grams[used])
             which = grams[np.arange(len(spread)) + np.repeat(first_gram[used] - (np.cumsum(n_grams[used]) - n_grams[used]), n_grams[used])]
-            sums = np.zeros((len(used), DIM), np.float32)
-            np.add.at(sums, spread, net.p["gram"][which])
+            sums = np.add.reduceat(net.p["gram"][which], np.cumsum(n_grams[used]) - n_grams[used], axis=0)
             x = (net.p["word"][own] + sums / n_grams[used][:, None].astype(np.float32))[back]
-            y = labels[doc[some]] * (0.9 if epoch < 2 else 1.0)
+            y = labels[doc[some]] * (0.9 if early else 1.0)
             _, grad, dx = net.step(x.astype(np.float32), mask, y)
-            per_word = np.zeros((len(used), DIM), np.float32)
-            np.add.at(per_word, back.ravel(), dx.reshape(-1, DIM))
-            grad["word"] = np.zeros_like(net.p["word"])
-            np.add.at(grad["word"], own, per_word)
-            grad["gram"] = np.zeros_like(net.p["gram"])
-            np.add.at(grad["gram"], which, (per_word / n_grams[used][:, None])[spread])
+            per_word = scatter(back.ravel(), dx.reshape(-1, DIM), len(used))
+            grad["word"] = scatter(own, per_word, len(net.p["word"]))
+            grad["gram"] = scatter(which, (per_word / n_grams[used][:, None].astype(np.float32))[spread], GRAMS)
             turns += 1
             norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
             for k, g in grad.items():
