@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
-from .rounds import batch_number, by_bucket, deal, message, unpacked
+from .rounds import batch_number, by_bucket, deal, from_planes, message, planes, unpacked
 from .wordnum import Words, _mix
 
 MIN_COUNT = 2
@@ -86,14 +86,14 @@ def _answers(table: pa.Table, keys: np.ndarray, buckets: int, columns: list[str]
     for o, c in zip(out, columns, strict=True):
         for b, data in zip(numbers, table.column(c).to_pylist(), strict=True):
             if data is not None:
-                o[bounds[b] : bounds[b + 1]] = np.frombuffer(data, np.int64)
+                o[bounds[b] : bounds[b + 1]] = from_planes(data)
     return out
 
 
 def _gather(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """A bucket's keys, values and the number of entries each batch sent."""
-    keys = [np.frombuffer(x, U) for x in table.column("keys").to_pylist()]
-    values = [np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in columns]
+    keys = [from_planes(x, U) for x in table.column("keys").to_pylist()]
+    values = [np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in columns]
     return np.concatenate(keys), values, np.array([len(k) for k in keys])
 
 
@@ -108,7 +108,7 @@ def score(docs: DataFrame, train: Column, keep: list[str] | None = None, doc_id:
 
     def send(keys: np.ndarray, batch: int, **values: np.ndarray) -> pa.Table:
         full, bounds = by_bucket(keys, buckets)
-        cut = lambda v: [v[bounds[b] : bounds[b + 1]].tobytes() for b in full]
+        cut = lambda v: [planes(v[bounds[b] : bounds[b + 1]]) for b in full]
         return message(full.tolist(), batch, keys=cut(keys), **{k: cut(v) for k, v in values.items()})
 
     def count_bigrams(table: pa.Table) -> pa.Table:
@@ -127,7 +127,7 @@ def score(docs: DataFrame, train: Column, keep: list[str] | None = None, doc_id:
         answer = np.empty_like(said)
         answer[order] = said
         cut = np.split(answer, np.cumsum(sent)[:-1])
-        return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "kept": pa.array([x.tobytes() for x in cut], pa.binary())})
+        return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "kept": pa.array([planes(x) for x in cut], pa.binary())})
 
     def count_words(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, _ = _batch_bigrams(left)
@@ -165,7 +165,7 @@ def score(docs: DataFrame, train: Column, keep: list[str] | None = None, doc_id:
         for name, v in zip(("counts", "masses", "arcs"), values, strict=True):
             answer = np.empty(len(order), np.int64)
             answer[order] = np.repeat(v, size)
-            out[name] = pa.array([x.tobytes() for x in np.split(answer, np.cumsum(sent)[:-1])], pa.binary())
+            out[name] = pa.array([planes(x) for x in np.split(answer, np.cumsum(sent)[:-1])], pa.binary())
         return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), **out})
 
     def sum_all(table: pa.Table) -> pa.Table:

@@ -76,6 +76,17 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return full, bounds
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of an array with the first bytes of all entries together, then the second ones, and so on: high bytes of
+    sorted keys and of small counts then compress to almost nothing in the shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind=np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def message(bucket: list, batch: int, **blobs: list[bytes]) -> pa.Table:
     n = len(bucket)
     columns = {"bucket": pa.array(bucket, pa.int32()), "batch": pa.array([batch] * n, pa.int32())}
