@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +37,8 @@ CACHE = 1 << 19
 
 class Encoder:
     """Token ids of whole texts.  The tokenizer never joins characters across blanks, so the ids of a text are those
-    of its chunks between blanks in turn; the ids of short chunks are kept (at most ``CACHE`` of them) for reuse."""
+    of its chunks between blanks in turn; it also lower-cases, so chunks are lower-cased first.  The ids of chunks are kept
+    (at most ``CACHE`` of them) for reuse."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,33 +55,44 @@ class Encoder:
         self.begin = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.place) + len(chunks) > CACHE and self.place:
-            raise MemoryError
-        encoded = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-        n = len(self.place)
-        while n + len(chunks) > len(self.size):
+    def _add(self, chunks: list[bytes], ids: list[list[int]]) -> None:
+        n, more = len(self.place), len(chunks)
+        sizes = np.fromiter(map(len, ids), np.int64, more)
+        total = int(sizes.sum())
+        while n + more > len(self.size):
             self.size, self.begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.size, self.begin))
-        for i, (c, ids) in enumerate(zip(chunks, encoded, strict=True)):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[n + i], self.size[n + i] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[c] = n + i
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.size[n : n + more] = sizes
+        self.begin[n : n + more] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.place.update(zip(chunks, range(n, n + more), strict=True))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Encode new chunks.  A letter and one final mark are separate tokens, so such a chunk is its stem's ids and the
+        mark's: far fewer texts go to the tokenizer."""
+        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in b".," and 97 <= c[-2] <= 122}
+        plain = sorted(((chunks - stems.keys()) | set(stems.values()) | {b".", b","}) - self.place.keys())
+        if len(self.place) + len(plain) + len(stems) > CACHE and self.place:
+            raise MemoryError
+        self._add(plain, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in plain], add_special_tokens=False)])
+        ids = lambda c: self.flat[(b := self.begin[self.place[c]]) : b + self.size[self.place[c]]].tolist()
+        marks = {c: ids(bytes([c])) for c in b".,"}
+        self._add(list(stems), [ids(stem) + marks[c[-1]] for c, stem in stems.items()])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text followed by the end id."""
-        split = [t.split() if b"\x0b" not in t and b"\x0c" not in t and b"\x00" not in t else None for t in texts]
+        split = [t.lower().split() if b"\x0b" not in t and b"\x0c" not in t and b"\x00" not in t else None for t in texts]
         end = np.array([END_ID], np.uint32)
         out = []
         try:
             missing = {c for chunks in split if chunks for c in chunks} - self.place.keys()
             if missing:
-                self._learn(sorted(missing))
+                self._learn(missing)
         except MemoryError:
             self.reset()
-            self._learn(sorted({c for chunks in split if chunks for c in chunks}))
+            self._learn({c for chunks in split if chunks for c in chunks})
         get = self.place.__getitem__
         for t, chunks in zip(texts, split, strict=True):
             if chunks is None:
