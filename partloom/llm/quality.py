@@ -93,7 +93,12 @@ def judge(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame
     fourth = third.withColumn(f"{p}n_repeat_words", repeated_words(F.col(f"{p}windows"))).drop(f"{p}windows")
     n = F.col(f"{p}n_words")
     failed = (n < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > 20 * n)
-    return fourth.withColumn(f"{p}base_failed", failed).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (2 * F.col(f"{p}kept_chars") >= F.col(f"{p}word_chars")))
+    done = fourth.withColumn(f"{p}base_failed", failed).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (2 * F.col(f"{p}kept_chars") >= F.col(f"{p}word_chars")))
+    # A filter on the verdict would be pushed through the projections, which writes every expression out in place of its
+    # name: arrays would then be made again for each of their elements.  Nothing is pushed through a generator.
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_chars", "cleaned", "kept"]
+    held = done.select(*docs.columns, F.explode_outer(F.array(F.struct(*[F.col(p + x).alias(x) for x in results]))).alias(f"{p}all"))
+    return held.select(*docs.columns, *[F.col(f"{p}all")[x].alias(p + x) for x in results])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
