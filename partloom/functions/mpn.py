@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text
+from .text import BLANKS, strip, text
 
 #: fixed values: packaging suffixes that are not part of a part number
 SUFFIXES = ["-UPC", "-JR", "-PKG", "-BX", "-BOX", "-EA", "-PK", "-PACK", "-BULK"]
@@ -13,7 +13,7 @@ SUFFIXES = ["-UPC", "-JR", "-PKG", "-BX", "-BOX", "-EA", "-PK", "-PACK", "-BULK"
 
 def normalize(x: Column | str) -> Column:
     """Upper case, one packaging suffix removed, white space removed."""
-    return F.regexp_replace(F.regexp_replace(F.upper(strip(x)), f"({'|'.join(SUFFIXES)})$", ""), r"(?U)\s+", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(strip(x)), f"({'|'.join(SUFFIXES)})$", ""), BLANKS, "")
 
 
 def search(x: Column | str) -> Column:

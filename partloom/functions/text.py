@@ -38,14 +38,19 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+#: white space as Python sees it
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANKS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(x: Column | str) -> Column:
     """Trim white space of any kind, as Python's ``str.strip``."""
-    return F.regexp_replace(text(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(text(x), F.lit(SPACES))
 
 
 def squash(x: Column | str) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(text(x), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text(x), BLANKS, " "))
 
 
 def title(x: Column | str) -> Column:
@@ -86,7 +91,7 @@ def is_readable(x: Column | str) -> Column:
     sample = F.substring(t, 1, 4000)
     odd = F.length(sample) - F.length(F.regexp_replace(sample, r"[\p{C}\p{Z}&&[^ \n\t\r]]", ""))
     printable = F.length(sample) - odd
-    pdf = F.startswith(F.regexp_replace(t, r"(?U)^\s+", ""), F.lit("%PDF"))
+    pdf = F.startswith(F.ltrim(t, F.lit(SPACES)), F.lit("%PDF"))
     return (t == "") | (~pdf & ~t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") & (printable >= 0.85 * F.length(sample)))
 
 
@@ -136,7 +141,7 @@ def visible(x: Column | str) -> Column:
 
 def page_text(x: Column | str) -> Column:
     """Unescape first, then drop markup, so escaped tags vanish too; white space is squashed, ends are kept."""
-    return F.regexp_replace(visible(unescape(x)), r"(?U)\s+", " ")
+    return F.regexp_replace(visible(unescape(x)), BLANKS, " ")
 
 
 def pad_mobile(core: Column, mpn: Column, brand: Column, manufacturer: Column) -> Column:

@@ -122,8 +122,16 @@ def text_family(x: Column) -> Column:
 
 def uom_fits(label: Column, uom: Column, value: Column) -> Column:
     """False when a physical unit stands under a label of another quantity."""
+    return family_fits(label, quantity(value, uom))
+
+
+def quantity(value: Column, uom: Column) -> Column:
+    """voltage, amperage or wattage if the value or the unit says so, else ''."""
     seen = let(F.trim(F.concat_ws(" ", text(value), text(uom))), text_family)
-    family = let(seen, lambda x: F.when(x != "", x).otherwise(unit_family(uom)))
+    return let(seen, lambda x: F.when(x != "", x).otherwise(unit_family(uom)))
+
+
+def family_fits(label: Column, family: Column) -> Column:
     want = F.when(label == "Voltage Rating", F.lit("voltage")).when(label == "Amperage Rating", F.lit("amperage")).when(label == "Wattage", F.lit("wattage"))
     return F.when(want.isNull(), F.lit(True)).otherwise(let(family, lambda x: (x == "") | (x == want)))
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..dims import ABBREVIATIONS
 from ..functions import mpn
-from ..functions.text import clean_brand, strip, text
+from ..functions.text import BLANKS, clean_brand, strip, text
 
 INPUT = ["Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf"]
 
 
 def clean_desc(x: Column | str) -> Column:
-    t = F.regexp_replace(strip(x), r"(?U)\s+", " ")
+    t = F.regexp_replace(strip(x), BLANKS, " ")
     return F.replace(F.replace(t, F.lit("''"), F.lit('"')), F.lit('""'), F.lit('"'))
 
 

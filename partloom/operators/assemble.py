@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..dims import Dims
 from ..functions.text import asset_prefix, bare_brand, contains_word, label_key, let, pad_mobile, text, texts
 from ..functions.units import NOT_ATTRIBUTES, cleanse, lookup, uom_fits
-from .evidence import pick
+from .evidence import pick_prepared, prepared
 
 SLOTS = 50
 SLOT = "struct<label:string,value:string,uom:string>"
@@ -33,11 +33,11 @@ def template_slots(items: Column, category: Column, product: Column, mpn: Column
     table = F.create_map(*[x for k, v in dims.labels.items() for x in (F.lit(k), texts(v))])
     labels = F.coalesce(F.try_element_at(table, category), F.array().cast("array<string>"))
 
-    def slot(label: Column) -> Column:
-        clean = let(pick(items, label, dims.field_aliases), lambda b: cleanse(label, F.coalesce(b["value"], F.lit("")), F.coalesce(b["uom"], F.lit("")), category, mpn, dims.lov))
+    def slot(ready: Column, label: Column) -> Column:
+        clean = let(pick_prepared(ready, label, dims.field_aliases), lambda b: cleanse(label, F.coalesce(b["value"], F.lit("")), F.coalesce(b["uom"], F.lit("")), category, mpn, dims.lov))
         return let(clean, lambda c: _slot(label, F.when(label.isin("Product Type", "Accessory Type") & (c["value"] == ""), product).otherwise(c["value"]), c["uom"]))
 
-    return F.transform(labels, slot)
+    return let(prepared(items), lambda ready: F.transform(labels, lambda label: slot(ready, label)))
 
 
 def overflow_slots(items: Column, slots: Column, category: Column, mpn: Column, dims: Dims) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key, let, text, texts
-from ..functions.units import equivalent, uom_fits
+from ..functions.units import equivalent, family_fits, quantity
 
 FIELDS = ["field", "value", "uom", "source_url", "quote", "extractor", "confidence"]
 ITEM = "struct<field:string,value:string,uom:string,source_url:string,quote:string,extractor:string,confidence:double>"
@@ -88,20 +88,29 @@ def field_matches(field: Column, label: Column | str) -> Column:
     return let(label_key(field), lambda f: (f == k) | f.endswith(F.concat(F.lit(" "), k)))
 
 
+def prepared(items: Column) -> Column:
+    """Items with what every comparison with a label needs, computed once per item."""
+    return F.transform(items, lambda x, i: F.struct(label_key(x["field"]).alias("k"), F.lower(x["field"]).alias("low"), quantity(x["value"], x["uom"]).alias("q"), (~is_self_cited(x["source_url"])).cast("int").alias("live"), (-i).alias("o"), x.alias("item")))
+
+
 def pick(items: Column, label: Column | str, aliases: dict[str, list[str]]) -> Column:
     """Best item for a template label, null if none: outside pages first, then confidence, the length of the source,
     exact field names before aliases before suffixes, and order."""
-    label = F.lit(label) if isinstance(label, str) else label
-    table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), texts(v))]) if aliases else F.create_map(F.lit(""), F.array(F.lit("")))
-    names = F.concat(F.array(label), F.coalesce(F.try_element_at(table, label), F.array().cast("array<string>")))
+    return let(prepared(items), lambda p: pick_prepared(p, F.lit(label) if isinstance(label, str) else label, aliases))
+
+
+def pick_prepared(ready: Column, label: Column, aliases: dict[str, list[str]]) -> Column:
+    table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), texts([n.lower() for n in v]))]) if aliases else F.create_map(F.lit(""), F.array(F.lit("")))
+    names = F.concat(F.array(F.lower(label)), F.coalesce(F.try_element_at(table, label), F.array().cast("array<string>")))
 
-    def rank(field: Column, known: Column) -> Column:
-        at = F.array_position(F.transform(known, F.lower), F.lower(field))
-        return F.when(at > 0, at.cast("int")).when(F.exists(known, lambda n: field_matches(field, n)), F.size(known) + 1)
+    def rank(x: Column, known: Column) -> Column:
+        at = F.array_position(known, x["low"])
+        return F.when(at > 0, at.cast("int")).when(F.exists(known, lambda n: (x["k"] == n) | x["k"].endswith(F.concat(F.lit(" "), n))), F.size(known) + 1)
 
     def best(known: Column) -> Column:
-        numbered = F.transform(items, lambda x, i: F.struct((~is_self_cited(x["source_url"])).cast("int").alias("live"), x["confidence"].alias("c"), F.length(x["source_url"]).alias("n"), (-rank(x["field"], known)).alias("r"), (-i).alias("o"), x.alias("item")))
-        return F.array_max(F.filter(numbered, lambda s: s["r"].isNotNull() & (s["item"]["value"] != "") & uom_fits(label, s["item"]["uom"], s["item"]["value"])))["item"]
+        fit = F.filter(ready, lambda x: (x["item"]["value"] != "") & family_fits(label, x["q"]))
+        ranked = F.transform(fit, lambda x: F.struct(x["live"], x["item"]["confidence"].alias("c"), F.length(x["item"]["source_url"]).alias("n"), (-rank(x, known)).alias("r"), x["o"], x["item"]))
+        return F.array_max(F.filter(ranked, lambda s: s["r"].isNotNull()))["item"]
 
     return let(names, best)
 
@@ -110,11 +119,12 @@ def align(items: Column, labels: Column | list[str], aliases: dict[str, list[str
     """Copies of the picked items under the template's own labels, folded in; an alias from the row itself never replaces."""
     labels = texts(labels) if isinstance(labels, list) else labels
 
-    def copied(label: Column) -> Column:
-        present = F.exists(items, lambda x: F.lower(x["field"]) == F.lower(label))
-        return let(pick(items, label, aliases), lambda c: F.when(c.isNotNull() & (F.lower(c["field"]) != F.lower(label)) & ~(present & is_self_cited(c["source_url"])), c.withField("field", label)))
+    def copied(ready: Column, label: Column) -> Column:
+        present = F.exists(ready, lambda x: x["low"] == F.lower(label))
+        return let(pick_prepared(ready, label, aliases), lambda c: F.when(c.isNotNull() & (F.lower(c["field"]) != F.lower(label)) & ~(present & is_self_cited(c["source_url"])), c.withField("field", label)))
 
-    return fold(F.concat(items, F.filter(F.transform(labels, copied), lambda x: x.isNotNull())))
+    copies = let(prepared(items), lambda ready: F.filter(F.transform(labels, lambda label: copied(ready, label)), lambda x: x.isNotNull()))
+    return fold(F.concat(items, copies))
 
 
 def sources(items: Column) -> Column:

@@ -69,3 +69,25 @@ def test_event_windows(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_delivery(spark, one):
+    from partloom.operators import delivery as D
+
+    rows = spark.createDataFrame([("A", [("Size", "1", "in")])], "normalized_mpn string, slots array<struct<label:string,value:string,uom:string>>")
+    saved = spark.createDataFrame([("A", 1, "size", "2", "in"), ("A", 2, "Size", "3", "mm"), ("A", 3, "New", "x", "")], "normalized_mpn string, ord int, label string, value string, uom string")
+    assert [tuple(s) for s in D.replay_overrides(rows, saved).first()["slots"]] == [("Size", "3", "mm"), ("New", "x", "")]
+    assert one(D.display_source(F.lit("input:x"), F.lit("https://a.com/search?q=1"), F.lit("https://a.com/p"))) == "https://a.com/p"
+    assert one(D.property_field(F.lit("arbor size"))) == "Arbor Size" and one(D.property_field(F.lit("GTIN-13"))) == ""
+    assert one(D.parse_issue(F.lit("a: b: c")))["message"] == "b: c"
+    assert '"completeness_pct":0.4' in one(D.preview({"a": F.lit("x"), "b": F.lit("")}))
+    c = spark.createDataFrame([("m", f"https://a.com/p/{i}", i) for i in range(9)] + [("m", f"https://a.com/search?q={i}", 20 + i) for i in range(4)], "mpn string, url string, ord int")
+    kept = [r.url for r in D.first_fetches(c).collect()]
+    assert len(kept) == 8 and sum("search" in u for u in kept) == 2
+    a = spark.createDataFrame([("XX-ABC12-Y", 1), ("Q", 2)], "mpn string, v int")
+    e = spark.createDataFrame([("ABC12",), ("Q",), ("nope1",)], "mpn string")
+    assert {(r.mpn, r.v) for r in D.substring_match(a, e).collect()} == {("ABC12", 1), ("Q", 2)}
+    p = spark.createDataFrame([(1, "mined", 5, "x"), (1, "official", 1, "y"), (1, "official", 2, "z")], "k int, origin string, mtime int, v string")
+    assert D.precedence(p, "k", {"mined": 0, "official": 1}).first()["v"] == "z"
+    k = D.run_key(a, ["mpn", "v"], "all").first()
+    assert k["n"] == 2 and len(k["key"]) == 64 and k == D.run_key(a.orderBy("v"), ["mpn", "v"], "all").first()
