@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .langid import sample
 from .wordnum import Words, member
 
 WINDOW = 48
@@ -278,10 +277,20 @@ def score(docs: DataFrame, net: Network | None, keep: list[str] | None = None) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> Network | None:
-    """Train on labelled documents, one row per id, outside the held-out fold."""
+    """Train on labelled documents, one label per id, outside the held-out fold.  The sample is drawn from the labels alone;
+    its ids (bounded by ``per_class``) then filter the documents' scan, so no text is shuffled."""
     held = F.coalesce(common.crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
-    told = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    return train(sample(docs.select("doc_id", "text").join(told, "doc_id"), "_label", ~held, per_class, LONGEST))
+    told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max(label).alias("label"))
+    counts = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = {r["doc_id"]: r["label"] for r in told.where(spot < share).collect()}
+    texts = docs.where(F.col("doc_id").isin(sorted(drawn)) & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).select("doc_id", "text").collect()
+    return train([(drawn[r["doc_id"]], r["text"].encode()) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
