@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, substring removal, decontamination, packing.
+"""The corpus pipeline: quality rules, near-duplicates, substring removal, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all its predecessor kept and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``; all but the last return the columns of ``documents``."""
@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import common, decontaminate, packing, quality, simhash, substring_dedup
+from partloom.llm import common, decontaminate, neardup, packing, quality, substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,10 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the first row of its smallest id."""
-    found = simhash.near_duplicates(docs.select(*COLUMNS), keep=COLUMNS)
-    first = found.where(F.col("doc_id") == F.col("_component"))
-    return first.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    """One document of each near-duplicate group (five-word shingles, Jaccard 0.8 or more) stays: its smallest id."""
+    return neardup.first_of_each(docs, COLUMNS)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,143 @@
+"""Near-duplicates by word shingles: MinHash bands name the candidate pairs, exact Jaccard similarity decides.
+
+A text's shingles are its runs of five lower-cased words.  Texts with the same words are merged first.  ``BANDS`` keys of
+``ROWS`` minima each are independent fingerprints of a shingle set: a pair of similarity 0.8 shares none of them with
+probability (1 - 0.8^5)^25, about 5 in 100 000; more similar pairs are missed less often.  All other pairs that share a
+key are settled exactly, in two rounds: every member of a bucket against the bucket's smallest; then, in buckets that
+still hold several components, every pair from two of them.  A dense group is one component after the first round, so it
+never becomes all its pairs.
+
+Defined results: null, empty and white-space texts are one text; a text of fewer than five words is one shingle."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .components import components
+
+WORDS = 5
+#: least similarity as a fraction
+LEAST = (4, 5)
+BANDS, ROWS = 25, 5
+CHUNK = 1 << 11
+
+_DRAWN = np.random.default_rng(42)
+_TIMES = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_PLUS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+
+
+def shingles(text: bytes) -> set[bytes]:
+    w = text.lower().split()
+    return {b" ".join(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} if w else set()
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    both = len(a & b)
+    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
+
+
+def band_keys(text: bytes) -> list[int]:
+    """``BANDS`` signed 64-bit keys; none for a text without words."""
+    w = text.lower().split()
+    if not w:
+        return []
+    n = max(1, len(w) - WORDS + 1)
+    digest = xxhash.xxh32_intdigest
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for begin in range(0, n, CHUNK):
+        stop = min(n, begin + CHUNK)
+        h = np.fromiter((digest(b" ".join(w[i : i + WORDS]), 42) for i in range(begin, stop)), np.uint32, stop - begin)
+        np.minimum(least, (_TIMES[:, None] * h + _PLUS[:, None]).min(axis=1), out=least)
+    minima = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(minima)], np.uint64).view(np.int64).tolist()
+
+
+def _row(columns: list[str]) -> Column:
+    """64 bits of a whole row; nulls count by their place."""
+    return F.xxhash64(*columns, *[F.isnull(c) for c in columns])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` whose ``texts(node, text)`` are alike."""
+
+    def run(batches):
+        last, held = None, set()
+        for batch in common.slices(batches, "a"):
+            a, b = common.as_bytes(batch.column("a")), common.as_bytes(batch.column("b"))
+            good = []
+            for v, x, y in zip(batch.column("v").to_pylist(), a, b):
+                if v != last:
+                    last, held = v, shingles(y)
+                good.append(alike(shingles(x), held))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    return left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one bucket that lie in two components and were not tested against the bucket's smallest."""
+    named = shared.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("c")).where("c > 1").select("band", "most")
+    some = common.cut(named.where("node <> least").join(mixed, "band"))
+    x = some.where("root <> most").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
+    y = some.select("band", F.col("node").alias("y"), F.col("root").alias("ry"), "most")
+    pairs = x.join(y, "band").where("rx <> ry and (ry = most or x < y)")
+    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
+def first_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` (``doc_id`` and ``text`` among them) of one row of each near-duplicate group: its smallest ``doc_id``,
+    ids that are null last."""
+    keyed = docs.select(*columns, _row(columns).alias("_row"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = common.as_bytes(batch.column(batch.schema.get_field_index("text")))
+            node = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) for t in texts]
+            return [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([band_keys(t) for t in texts], pa.list_(pa.int64()))]
+
+        return work
+
+    state, name = common.annotate(keyed, make, "node bigint, bands array<bigint>", ["doc_id", "_row"], ["text"])
+    s = F.col(name)
+    rank = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_row")
+    nodes = common.cut(state.groupBy(s["node"].alias("node")).agg(F.min(rank).alias("best"), F.first(s["bands"]).alias("bands")))
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top").select("band", "least")
+    shared = common.cut(members.join(buckets, "band"))
+    whole = keyed.groupBy("_row").agg(F.min(F.struct(*columns)).alias("r"))
+    asked = nodes.join(shared.select("node").distinct(), "node").select(F.col("best._row").alias("_row"), "node")
+    texts = common.cut(keyed.select("_row", "text").join(asked, "_row").groupBy("_row").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+    near = common.cut(_alike(shared.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), texts))
+    more = _alike(_open_pairs(shared, components(near)), texts)
+    roots = components(near.unionByName(more))
+    rooted = nodes.select("node", "best").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    chosen = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
+    return whole.join(chosen, "_row", "left_semi").select("r.*")
+
+
+def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple[int, int]]:
+    """(doc_id, smallest doc_id of its group), every pair compared."""
+    sets = [shingles((t or "").encode()) for _, t in docs]
+    up = list(range(len(docs)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                up[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(docs):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return [(d, least[root(i)]) for i, (d, _) in enumerate(docs)]

@@ -1,0 +1,59 @@
+"""The pipeline's near-duplicate stage against every pair compared."""
+
+import random
+
+import corpus_pipeline as P
+from partloom.llm import neardup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(r, n):
+    return [r.choice([f"word{i}" for i in range(300)]) for _ in range(n)]
+
+
+def changed(r, words, n):
+    out = list(words)
+    for i in r.sample(range(0, len(out), 7), n):
+        out[i] = f"new{r.random()}"
+    return out
+
+
+def left(spark, rows):
+    return sorted(P.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect(), key=str)
+
+
+def test_near_copies_go(spark):
+    r = random.Random(4)
+    docs, n = [], 0
+    for k in (1, 2, 4, 6, 8, 9, 12, 20):  # changed words of 400: similarity 0.98 to 0.6
+        base = prose(r, 400)
+        for words in (base, changed(r, base, k), changed(r, base, k)):
+            docs.append((n, " ".join(words)))
+            n += 1
+    chain = [prose(r, 300)]
+    for _ in range(12):  # neighbours are alike, the ends are not
+        chain.append(changed(r, chain[-1], 4))
+    docs += [(n + i, " ".join(w)) for i, w in enumerate(chain)]
+    docs += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a c")]
+    want = sorted(d for d, c in neardup.brute_force(docs) if d == c)
+    got = left(spark, [(d, t, "en", "s", 1) for d, t in docs])
+    assert sorted(x.doc_id for x in got) == want and 1 not in want and 201 not in want and 203 not in want
+    assert {10, 13} & set(want) == set() and {22, 23} <= set(want)
+
+
+def test_most_pairs_of_the_least_similarity_share_a_band():
+    r = random.Random(6)
+    for _ in range(200):
+        base = prose(r, 450)
+        other = changed(r, base, 9)
+        a, b = " ".join(base).encode(), " ".join(other).encode()
+        assert neardup.alike(neardup.shingles(a), neardup.shingles(b))
+        assert set(neardup.band_keys(a)) & set(neardup.band_keys(b))
+
+
+def test_documents(spark):
+    """Among them 177, which is alike to an earlier text but more than four SimHash bits away."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*P.COLUMNS)
+    want = sorted(d for d, c in neardup.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d == c)
+    assert sorted(x.doc_id for x in P.near_dedup(spark, docs, "").collect()) == want and 177 not in want
