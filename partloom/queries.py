@@ -619,7 +619,7 @@ def dead_path_state(spark, sf_dir):
 SELECT 'h' || h AS host, useful::BIGINT AS useful, junk::BIGINT AS junk, 0::BIGINT AS chrome, useful = 0 AND junk >= 2 AS is_storefront FROM k""")
 def storefront_learn(spark, sf_dir):
     """FIL-12, SUP-08."""
-    e = _t(spark, sf_dir, "events").where("user_id % 3 <> 0").select(F.concat(F.lit("h"), (F.col("user_id") % 100).cast("string")).alias("host"), F.when(F.col("event_type") == "purchase", "useful").otherwise("junk").alias("kind"))
+    e = _t(spark, sf_dir, "events").select(F.concat(F.lit("h"), (F.col("user_id") % 100).cast("string")).alias("host"), F.when(F.col("event_type") == "purchase", "useful").otherwise("junk").alias("kind"))
     chrome = e.sparkSession.createDataFrame([], "host string, n long")
     return memory.storefronts(e, chrome)
 
