@@ -206,43 +206,60 @@ class _Pairs(HTMLParser):
             self.parts.append(data)
 
 
-def _walk(node, out: list[tuple[str, str]], depth: int = 0) -> None:
-    """Name/value pairs and scalar members of nested JSON."""
-    if depth > 24 or len(out) >= 2000:
-        return
-    if isinstance(node, dict):
-        name = node.get("name") or node.get("label") or node.get("key")
-        value = node.get("value")
-        if isinstance(name, str) and isinstance(value, str | int | float) and not isinstance(value, bool):
-            out.append((name, str(value)))
-        for k, v in node.items():
-            if isinstance(v, str | int | float) and not isinstance(v, bool) and not str(k).startswith("@") and k not in ("name", "label", "key", "value", "url", "image"):
+def _walk(node, out: list[tuple[str, str]]) -> None:
+    """Name/value pairs and scalar members of nested JSON, however deep."""
+    open_ = [iter([(None, node)])]
+    while open_:
+        for k, v in open_[-1]:
+            if isinstance(v, dict):
+                name = v.get("name") or v.get("label") or v.get("key")
+                value = v.get("value")
+                if isinstance(name, str) and isinstance(value, str | int | float) and not isinstance(value, bool):
+                    out.append((name, str(value)))
+                open_.append(iter(v.items()))
+                break
+            if isinstance(v, list):
+                open_.append(iter([(None, x) for x in v]))
+                break
+            if k is not None and isinstance(v, str | int | float) and not isinstance(v, bool) and not str(k).startswith("@") and k not in ("name", "label", "key", "value", "url", "image"):
                 out.append((str(k), str(v)))
-            elif isinstance(v, dict | list):
-                _walk(v, out, depth + 1)
-    elif isinstance(node, list):
-        for v in node:
-            _walk(v, out, depth + 1)
+        else:
+            open_.pop()
 
 
-_BLOB = re.compile(r"""(?is)<script[^>]*(?:type=["']application/(?:ld\+)?json["']|id=["']__NEXT_DATA__["'])[^>]*>(.*?)</script>|window\.(?:__INITIAL_STATE__|__NUXT__)\s*=\s*(\{.*?\})\s*;?\s*</script>""")
+_LD = re.compile(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""")
+_STATE = [
+    re.compile(r"""(?is)<script[^>]*id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""), re.compile(r"""(?is)<script[^>]*type=["']application/json["'][^>]*>(.*?)</script>"""),
+    re.compile(r"(?is)window\.__NUXT__\s*=\s*(\{.*?\})\s*;?\s*</script>"), re.compile(r"(?is)window\.(?:__INITIAL_STATE__|__PRELOADED_STATE__)\s*=\s*(\{.*?\})\s*;?\s*(?:window|</script>)"),
+]
+MAX_BLOBS, BLOB_CHARS = 8, 2_000_000
+
+
+def _loads(blob: str):
+    try:
+        return json.loads(blob, strict=False)
+    except (ValueError, RecursionError):
+        return None
 
 
 def json_pairs(html: str) -> list[tuple[str, str]]:
-    """Pairs of at most eight embedded JSON blobs of at most 2 MB each."""
+    """Pairs of all JSON-LD and of the first eight blobs of page state that parse, of at most 2 MB each."""
     out: list[tuple[str, str]] = []
-    for n, m in enumerate(_BLOB.finditer(html)):
-        blob = m[1] or m[2] or ""
-        if n >= 8:
-            break
-        if len(blob) <= 2_000_000:
-            try:
-                _walk(json.loads(blob), out)
-            except (ValueError, RecursionError):
-                continue
+    for m in _LD.finditer(html):
+        _walk(_loads(m[1]), out)
+    seen: set[int] = set()
+    for pattern in _STATE:
+        for m in pattern.finditer(html):
+            if len(seen) < MAX_BLOBS and m.start(1) not in seen and len(m[1].strip()) <= BLOB_CHARS and (node := _loads(m[1])) is not None:
+                seen.add(m.start(1))
+                _walk(node, out)
     return out
 
 
+def _cap(html: str) -> str:
+    return html[:CAP_HEAD] + html[-CAP_TAIL:] if len(html) > CAP_HEAD + CAP_TAIL else html
+
+
 def html_pairs(html: str) -> list[tuple[str, str]]:
     parser = _Pairs()
     try:
@@ -255,26 +272,28 @@ def html_pairs(html: str) -> list[tuple[str, str]]:
 
 def labelled_pairs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``(key, ord, kind, label, value)`` of every pair that may be published: labels of high priority first, one per
-    label, at most 80 a page."""
+    label, at most 80 a page from markup; markup is read in the capped page, embedded JSON in the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, page in enumerate(batch.column(1).to_pylist()):
-                found = [("html", a, b) for a, b in html_pairs(page or "")] + [("json", a, b) for a, b in json_pairs(page or "")]
+                found = [("html", a, b) for a, b in html_pairs(_cap(page or ""))] + [("json", a, b) for a, b in json_pairs(page or "")]
                 for n, (kind, a, b) in enumerate(found):
                     for column, v in zip(rows, (i, n, kind, a, b), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.string()) for r in rows[2:])], names=[key, "ord", "kind", "label", "value"])
 
     kind = pages.schema[key].dataType.simpleString()
-    raw = pages.where(~is_pdf_body(html)).select(key, capped(html).alias(html)).mapInArrow(run, f"{key} {kind}, ord int, kind string, label string, value string")
+    raw = pages.where(~is_pdf_body(html)).select(key, text(html).alias(html)).mapInArrow(run, f"{key} {kind}, ord int, kind string, label string, value string")
     clean = raw.select(key, "ord", "kind", F.substring(F.regexp_replace(squash("label"), ":+$", ""), 1, 48).alias("label"), F.substring(squash("value"), 1, 80).alias("value"))
     good = clean.where(usable_pair(F.col("label"), F.col("value"))).withColumn("_k", F.lower(F.trim("label")))
     rank = F.struct(F.when(F.col("_k").isin(PRIORITY), 0).otherwise(1).alias("p"), "ord")
-    first = good.groupBy(key, "_k").agg(F.min(F.struct(rank.alias("r"), "kind", "label", "value")).alias("s"))  # partial; one row per page and label
-    numbered = first.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("s")), 1, MAX_PAIRS).alias("l"))
+    first = good.groupBy(key, F.when(F.col("kind") == "html", 0).otherwise(1).alias("_m"), "_k").agg(F.min(F.struct(rank.alias("r"), "kind", "label", "value", "_k")).alias("s"))  # partial; one row per page, source and label
+    both = first.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("_m") == 0, F.col("s")))), 1, MAX_PAIRS).alias("html"), F.collect_list(F.when(F.col("_m") == 1, F.col("s"))).alias("more"))
+    named = both.withColumn("_known", F.transform("html", lambda x: x["_k"]))
+    numbered = named.select(key, F.array_sort(F.concat("html", F.filter("more", lambda x: ~F.array_contains("_known", x["_k"])))).alias("l"))
     return numbered.select(key, F.posexplode("l").alias("ord", "s")).select(key, "ord", "s.kind", "s.label", "s.value")
 
 
