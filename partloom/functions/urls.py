@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import DISTRIBUTOR, NOISE, PATH_MARKERS, SHOPPING
-from .text import strip, text, texts
+from .text import let, strip, text, texts
 
 #: fixed values: (path hint, score) of official pages
 HINTS = [("learnwhirlpool.com/smartsearchresults", 95), ("/en/p/owner-center", 92), ("owner-center/product-support", 90), ("gea-specs", 88), ("smartsearchresults", 85), ("owner-center", 80), ("/appliance/", 65), ("/manuals/", 55), ("product-support", 45), ("support.", 40)]
@@ -249,3 +249,28 @@ def family_domains(domains: Column, families: list[list[str]]) -> Column:
         met = F.exists(domains, lambda d: F.exists(members, lambda m: F.contains(m, d) | F.contains(d, m)))
         out = F.concat(out, F.when(met, members).otherwise(F.array().cast("array<string>")))
     return F.array_except(F.array_distinct(out), domains)
+
+
+#: fixed values
+LEGAL_SUFFIXES = ["inc", "llc", "ltd", "corp", "corporation", "co", "company", "manufacturing", "mfg", "industries", "products", "product", "usa", "us", "na", "north", "america", "group", "holdings", "the", "and", "of"]
+NO_GUESS = ["unbranded", "commodity", "generic", "none", "null"]
+
+
+def name_tokens(name: Column | str) -> Column:
+    """Words of a company name without legal suffixes; runs of single characters are one word (STR-18)."""
+    words = F.filter(F.regexp_extract_all(F.lower(text(name)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(LEGAL_SUFFIXES))
+    merged = F.regexp_replace(F.array_join(words, " "), "(?<=\\b[a-z0-9]) (?=[a-z0-9]\\b)", "")
+    return F.filter(F.split(merged, " "), lambda w: F.length(w) >= 2)
+
+
+def guess_domains(name: Column | str) -> Column:
+    """``{first}.com``, and the first two, three and all words joined if of 4 to 40 characters (STR-18)."""
+
+    def guess(t: Column) -> Column:
+        first = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
+        sizes = F.filter(F.array(F.lit(2), F.lit(3), F.size(t)), lambda n: (n >= 2) & (n <= F.size(t)))
+        joined = F.filter(F.transform(sizes, lambda n: F.array_join(F.slice(t, 1, n), "")), lambda j: F.length(j).between(4, 40))
+        none = F.array().cast("array<string>")
+        return F.when((first == "") | first.rlike("^[0-9]+$") | first.isin(NO_GUESS), none).otherwise(F.array_distinct(F.transform(F.concat(F.array(first), joined), lambda j: F.concat(j, F.lit(".com")))))
+
+    return let(name_tokens(name), guess)

@@ -256,6 +256,122 @@ def json_pairs(html: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Items(HTMLParser):
+    """Microdata items as nested members, and the properties of meta tags."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    IMPLIED = {"li", "p", "td", "th", "tr", "dt", "dd", "option"}
+    QUIET = {"script", "style", "noscript"}
+    VALUES = {"meta": "content", "a": "href", "area": "href", "link": "href", "img": "src", "source": "src", "embed": "src", "iframe": "src", "audio": "src", "video": "src", "track": "src", "object": "data", "data": "value", "meter": "value", "time": "datetime"}
+    #: fixed values: schema types whose members are not the product's
+    OTHERS = {"localbusiness", "store", "place", "postaladdress", "geocoordinates", "geo", "imageobject"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.items: list[dict] = []
+        self.metas: list[tuple[str, str]] = []
+        self.open: list[tuple[str, dict | None, tuple[dict, list[str], list[str]] | None]] = []
+
+    @staticmethod
+    def _add(to: dict, names: list[str], value) -> None:
+        for name in names:
+            to[name] = value if name not in to else [*(to[name] if isinstance(to[name], list) else [to[name]]), value]
+
+    def _close(self, n: int) -> None:
+        while len(self.open) > n:
+            _, _, held = self.open.pop()
+            if held:
+                self._add(held[0], held[1], " ".join("".join(held[2]).split()))
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta" and a.get("property") and a.get("content"):
+            self.metas.append((a["property"], a["content"]))
+        if tag in self.IMPLIED and self.open and self.open[-1][0] == tag:
+            self._close(len(self.open) - 1)
+        names = a.get("itemprop", "").split()
+        now = next((x for _, x, _ in reversed(self.open) if x is not None), None)
+        item_ = held = None
+        if "itemscope" in a:
+            item_ = {"@type": a.get("itemtype", "")}
+            if names and now is not None:
+                self._add(now, names, item_)
+            else:
+                self.items.append(item_)
+        elif names and now is not None:
+            value = a.get("content", a.get(self.VALUES.get(tag, "content")))
+            if value is not None:
+                self._add(now, names, " ".join(value.split()))
+            elif tag not in self.VOID:
+                held = (now, names, [])
+        if tag not in self.VOID:
+            self.open.append((tag, item_, held))
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            self._close(at)
+
+    def handle_data(self, data):
+        if self.open and self.open[-1][0] not in self.QUIET:
+            for _, _, held in self.open:
+                if held:
+                    held[2].append(data)
+
+    def close(self):
+        super().close()
+        self._close(0)
+
+
+def _products(node: dict) -> dict:
+    """An item without members that are items of other types; every repeated value is a member of its own."""
+    out: dict = {}
+    for k, v in node.items():
+        for i, x in enumerate(v if isinstance(v, list) else [v]):
+            if isinstance(x, dict):
+                if not any(o in x["@type"].lower().rsplit("/", 1)[-1] for o in _Items.OTHERS):
+                    out[k, i] = _products(x)
+            elif i:
+                out[k, i] = {k: x}
+            else:
+                out[k] = x
+    return out
+
+
+_META = re.compile(r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>""")
+MICRODATA_CHARS = 350_000
+#: fixed values: parts of meta properties that describe the page or its media
+MEDIA = {"image", "video", "audio", "type", "locale", "determiner", "fb", "al", "twitter"}
+
+
+def _parsed(html: str) -> _Items:
+    parser = _Items()
+    try:
+        parser.feed(html)
+        parser.close()
+    except (AssertionError, ValueError):
+        pass
+    return parser
+
+
+def opengraph_pairs(html: str) -> list[tuple[str, str]]:
+    """(last part of the property, content) of ``og:`` and other prefixed meta properties."""
+    out = []
+    for name, value in _parsed("".join(_META.findall(html))).metas:
+        parts = name.lower().split(":")
+        if len(parts) > 1 and not any(x in MEDIA or x in SKIP_LABELS for x in parts):
+            out.append((parts[-1].replace("_", " "), value))
+    return out
+
+
+def microdata_pairs(html: str) -> list[tuple[str, str]]:
+    """Pairs of ``itemprop`` members in pages of less than 350 000 characters."""
+    out: list[tuple[str, str]] = []
+    if len(html) < MICRODATA_CHARS and "itemscope" in html.lower():
+        _walk(_products({"": _parsed(html).items}), out)
+    return out
+
+
 def _cap(html: str) -> str:
     return html[:CAP_HEAD] + html[-CAP_TAIL:] if len(html) > CAP_HEAD + CAP_TAIL else html
 
@@ -272,14 +388,17 @@ def html_pairs(html: str) -> list[tuple[str, str]]:
 
 def labelled_pairs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``(key, ord, kind, label, value)`` of every pair that may be published: labels of high priority first, one per
-    label, at most 80 a page from markup; markup is read in the capped page, embedded JSON in the whole."""
+    label, at most 80 a page from markup; markup is read in the capped page, embedded JSON and OpenGraph in the
+    whole, microdata in pages of less than 350 000 characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, page in enumerate(batch.column(1).to_pylist()):
-                found = [("html", a, b) for a, b in html_pairs(_cap(page or ""))] + [("json", a, b) for a, b in json_pairs(page or "")]
+                page = page or ""
+                kinds = [("html", html_pairs(_cap(page))), ("json", json_pairs(page)), ("opengraph", opengraph_pairs(page)), ("microdata", microdata_pairs(page))]
+                found = [(kind, a, b) for kind, some in kinds for a, b in some]
                 for n, (kind, a, b) in enumerate(found):
                     for column, v in zip(rows, (i, n, kind, a, b), strict=True):
                         column.append(v)

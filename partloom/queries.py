@@ -284,7 +284,7 @@ def link_extract(spark, sf_dir):
 
 @query()
 def label_value_pairs(spark, sf_dir):
-    """EXT-07..09: labelled pairs of markup and embedded JSON (rows only: parses HTML)."""
+    """EXT-07..09: labelled pairs of markup, embedded JSON, OpenGraph and microdata (rows only: parses HTML)."""
     return pages.labelled_pairs(tables.pages(spark, sf_dir))
 
 
