@@ -57,3 +57,12 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*P.COLUMNS)
     want = sorted(d for d, c in neardup.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d == c)
     assert sorted(x.doc_id for x in P.near_dedup(spark, docs, "").collect()) == want and 177 not in want
+
+
+def test_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    texts = [" ".join(prose(r, 60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (8, texts[3].upper()), (9, texts[4]), (None, texts[4]), (10, texts[5]), (10, texts[5])]
+    got = left(spark, [(d, t, None, "s", 1) for d, t in rows])
+    want = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (9, texts[4]), (10, texts[5])]
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
