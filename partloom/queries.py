@@ -272,8 +272,7 @@ def page_title(spark, sf_dir):
 WHERE NOT regexp_matches(lower(regexp_extract(left(html, 6000), '<title[^>]*>(.*?)</title>', 1, 'is')), '404|not found|doesn''t exist|does not exist')""")
 def usable_pages(spark, sf_dir):
     """FIL-03, FIL-04, FIL-08, SRC-09..11."""
-    p = tables.pages(spark, sf_dir).where(~pages.is_error_html("html"))
-    return p.select("page_id", pages.is_usable(F.col("status"), "html", "url").alias("usable"), pages.is_js_shell("html").alias("js_shell"))
+    return tables.pages(spark, sf_dir).select("page_id", pages.is_usable(F.col("status"), "html", "url").alias("usable"), pages.is_js_shell("html").alias("js_shell"))
 
 
 @query("""SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, '<a\\b[^>]*href=["'']([^"''#][^"'']*)["'']', 1, 'is'), lambda h: h <> '')))::BIGINT AS n_links, len(list_distinct(list_filter(regexp_extract_all(html, '<a\\b[^>]*href=["'']([^"''#][^"'']*)["'']', 1, 'is'), lambda h: regexp_matches(h, '^https?://'))))::BIGINT AS n_absolute FROM pages""")
@@ -397,8 +396,7 @@ def route_category(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'led') THEN 'led_lighting' ELSE 'generic_industrial' END AS template_id FROM part WHERE NOT regexp_matches(lower(p_name), 'dishwasher|range|ceiling fan|cut-off|grinding|sanding|deck|coupling|pipe|wire|cable|box|trim|drill|tool|light')""")
 def leaf_template(spark, sf_dir):
     """CLS-05."""
-    p = _t(spark, sf_dir, "part").where(~F.lower("p_name").rlike("dishwasher|range|ceiling fan|cut-off|grinding|sanding|deck|coupling|pipe|wire|cable|box|trim|drill|tool|light"))
-    return p.select("p_partkey", template_of(F.col("p_name")).alias("template_id"))
+    return _t(spark, sf_dir, "part").select("p_partkey", template_of(F.col("p_name")).alias("template_id"))
 
 
 # --- bags and duplicates ---------------------------------------------------------------------------------------------------------
@@ -537,9 +535,7 @@ def validate_issues(spark, sf_dir):
 @query("""SELECT 'c_name' AS field, count(*)::BIGINT AS populated, sum((length(c_name) > 17)::INT)::BIGINT AS over_limit, sum((length(c_name) < 18)::INT)::BIGINT AS under_limit, min(c_name) AS worst, round(100.0 * (count(*) - sum((length(c_name) > 17)::INT) - sum((length(c_name) < 18)::INT)) / count(*), 2)::DOUBLE AS compliant_pct FROM customer WHERE length(c_name) = (SELECT max(length(c_name)) FROM customer)""")
 def compliance_char_limits(spark, sf_dir):
     """AGG-12, VAL-01..03."""
-    c = _t(spark, sf_dir, "customer")
-    longest = c.agg(F.max(F.length("c_name"))).scalar()
-    return reports.char_limits(c.where(F.length("c_name") == longest), {"c_name": (18, 17)})
+    return reports.char_limits(_t(spark, sf_dir, "customer"), {"c_name": (18, 17)})
 
 
 @query("""SELECT count(*)::BIGINT AS n_rows, round(avg(l_linenumber), 2)::DOUBLE AS avg_filled, round(avg(l_quantity), 2)::DOUBLE AS avg_evidence, sum((l_returnflag = 'A')::INT)::BIGINT AS band_high, sum((l_returnflag = 'N')::INT)::BIGINT AS band_medium, 0::BIGINT AS band_low, sum((l_returnflag NOT IN ('A', 'N'))::INT)::BIGINT AS band_review, sum((l_linenumber > 3)::INT)::BIGINT AS rows_with_issues FROM lineitem""")
