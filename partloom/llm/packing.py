@@ -38,14 +38,16 @@ CACHE = 1 << 19
 class Encoder:
     """Token ids of whole texts.  The tokenizer never joins characters across blanks, so the ids of a text are those
     of its chunks between blanks in turn; it also lower-cases, so chunks are lower-cased first.  The ids of chunks are kept
-    (at most ``CACHE`` of them) for reuse."""
+    (at most ``CACHE`` of them) for reuse.  A text that spells a special token, in any case, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # chunks spell no special token: spares the search in each
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
@@ -81,9 +83,13 @@ class Encoder:
         marks = {c: ids(bytes([c])) for c in b".,"}
         self._add(list(stems), [ids(stem) + marks[c[-1]] for c, stem in stems.items()])
 
+    def _chunks(self, text: bytes) -> list[bytes] | None:
+        low = text.lower()
+        return None if any(x in low for x in (b"\x0b", b"\x0c", b"\x00", *self.special)) else low.split()
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text followed by the end id."""
-        split = [t.lower().split() if b"\x0b" not in t and b"\x0c" not in t and b"\x00" not in t else None for t in texts]
+        split = [self._chunks(t) for t in texts]
         end = np.array([END_ID], np.uint32)
         out = []
         try:
@@ -96,7 +102,7 @@ class Encoder:
         get = self.place.__getitem__
         for t, chunks in zip(texts, split, strict=True):
             if chunks is None:
-                ids = np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.plain.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
             else:
                 at = np.fromiter(map(get, chunks), np.int64, len(chunks))
                 n = self.size[at]
