@@ -1,11 +1,11 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with an order-two backoff model.
 
 The model is an order-two backoff model of words and one end token per text.  A history with kept bigrams (seen
 ``MIN_COUNT`` times or more in training) is a state; its arcs carry log10((c - D) / c(h) + g(h) p(w)) and its failure
 arc carries log10 g(h), with g(h) the mass that absolute discounting D and the cutoff leave over.  The root's arcs carry
 the add-one unigram p(w) = (c(w) + 1) / (N + V + 1), unknown words being one further outcome, so each state's
-probabilities add up to one.  A text is walked from left to right once: each token takes its arc, or the failure arc
-and then the root's, and leaves the walk in its own word's state.
+probabilities add up to one.  No automaton is carried along a text: each pair of neighbouring words is looked up by
+itself, which for order two gives the same scores as walking the arcs and failure arcs.
 
 Counts come from all training documents (``rounds``): batches send the counts of their distinct bigrams; buckets answer
 in the same order; batches then send the counts of their words and, for each kept bigram that the bucket gave them
