@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import heapq
 import os
+import unicodedata
 import zlib
-from itertools import chain
+from collections.abc import Iterable
+from itertools import chain, count, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,82 +35,150 @@ GROUP = 64
 END_ID = 2
 FREE = (0.007, 0.015)
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE = 1 << 19
+CACHE, WORDS = 1 << 18, 1 << 19
+
+
+#: fixed values: the tokenizer's own split of a normalised text into words, each of which ends with one closing token
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+JOINED = 256
+
+
+def numbered(known: dict, keys: Iterable, size: int) -> tuple[np.ndarray, list]:
+    """The number of every key, and the keys met for the first time; ``known`` numbers keys in the order of their coming."""
+    before = len(known)
+    at = np.fromiter(map(known.setdefault, keys, count(before)), np.int64, size)
+    new = list(islice(known, before, None))
+    if new:
+        given = np.fromiter(islice(known.values(), before, None), np.int64, len(new))
+        known.update(zip(new, range(before, before + len(new)), strict=True))
+        fresh = at >= before
+        at[fresh] = before + np.searchsorted(given, at[fresh])
+    return at, new
+
+
+def words_of(chunk: str) -> list[str] | tuple[str, ...]:
+    if chunk.isalpha():
+        return (chunk,)
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return chunk[:-1], chunk[-1]
+    return PIECES.findall(chunk)
+
+
+class _Lists:
+    """Numbered lists of token ids in one flat array."""
+
+    def __init__(self):
+        self.flat = np.empty(1 << 16, np.uint16)
+        self.size, self.begin = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int64)
+        self.used = self.number = 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = self.number + len(sizes)
+        while n > len(self.size):
+            self.size, self.begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.size, self.begin))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        if len(ids) and int(ids.max()) > np.iinfo(self.flat.dtype).max:
+            self.flat = self.flat.astype(np.uint32)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[self.number : n] = sizes
+        self.begin[self.number : n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.number = n
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of the lists ``at``, one after the other."""
+        n = self.size[at].astype(np.int64)
+        place = np.repeat(self.begin[at] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        return n, self.flat[place]
 
 
 class Encoder:
-    """Token ids of whole texts.  The tokenizer never joins characters across blanks, so the ids of a text are those
-    of its chunks between blanks in turn; it also lower-cases, so chunks are lower-cased first.  The ids of chunks are kept
-    (at most ``CACHE`` of them) for reuse.  A text that spells a special token, in any case, goes to the tokenizer whole."""
+    """Token ids of whole texts.  The tokenizer splits a text into words and never joins characters across them, so the
+    ids of a text are those of its chunks between blanks in turn, and a chunk's those of its words.  Chunks and words met
+    keep their ids, until ``CACHE`` chunks or ``WORDS`` words are known.  New words go to the tokenizer many in a string: each ends with exactly one
+    closing token, which is checked; a string where the numbers differ goes word by word.  Chunks that normalisation may
+    change, and texts that spell a special token in any case, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # chunks spell no special token: spares the search in each
+        self.plain = None
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, chunks: list[bytes], ids: list[list[int]]) -> None:
-        n, more = len(self.place), len(chunks)
-        sizes = np.fromiter(map(len, ids), np.int64, more)
-        total = int(sizes.sum())
-        while n + more > len(self.size):
-            self.size, self.begin = (np.concatenate((x, np.zeros_like(x))) for x in (self.size, self.begin))
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.size[n : n + more] = sizes
-        self.begin[n : n + more] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.place.update(zip(chunks, range(n, n + more), strict=True))
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Encode new chunks.  A letter and one final mark are separate tokens, so such a chunk is its stem's ids and the
-        mark's: far fewer texts go to the tokenizer."""
-        stems = {c: c[:-1] for c in chunks if len(c) > 1 and c[-1] in b".," and 97 <= c[-2] <= 122}
-        plain = sorted(((chunks - stems.keys()) | set(stems.values()) | {b".", b","}) - self.place.keys())
-        if len(self.place) + len(plain) + len(stems) > CACHE and self.place:
-            raise MemoryError
-        self._add(plain, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in plain], add_special_tokens=False)])
-        ids = lambda c: self.flat[(b := self.begin[self.place[c]]) : b + self.size[self.place[c]]].tolist()
-        marks = {c: ids(bytes([c])) for c in b".,"}
-        self._add(list(stems), [ids(stem) + marks[c[-1]] for c, stem in stems.items()])
-
-    def _chunks(self, text: bytes) -> list[bytes] | None:
+        words = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(words.values()) + 1, bool)
+        self.closing[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.chunks, self.chunk_ids = {}, _Lists()
+        self.words, self.word_ids = {}, _Lists()
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return np.array(self.plain.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ids = np.array(ids, np.int64)
+            last = np.flatnonzero(self.closing[ids])
+            if len(last) == len(group) and last[-1] == len(ids) - 1:
+                self.word_ids.add(np.diff(np.concatenate(([-1], last))), ids)
+            else:
+                own = self._ids(group)
+                self.word_ids.add(np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int64))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Give chunks met for the first time their ids."""
+        new = [c.decode() for c in chunks]
+        whole = [i for i, c in enumerate(new) if not c.isascii() and not unicodedata.is_normalized("NFC", c)]
+        split = list(map(words_of, new))
+        for i in whole:
+            split[i] = ()
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        at, words = numbered(self.words, chain.from_iterable(split), int(sizes.sum()))
+        if words:
+            self._learn_words(words)
+        n, ids = self.word_ids.get(at)
+        sums = np.concatenate(([0], np.cumsum(n)))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        sizes = sums[ends[1:]] - sums[ends[:-1]]
+        if whole:  # their ids go in between
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, own in zip(whole, self._ids([new[i] for i in whole]), strict=True):
+                parts[i], sizes[i] = np.array(own, np.int64), len(own)
+            ids = np.concatenate(parts)
+        self.chunk_ids.add(sizes, ids)
+
+    def _split(self, text: bytes) -> list[bytes] | None:
         low = text.lower()
         return None if any(x in low for x in (b"\x0b", b"\x0c", b"\x00", *self.special)) else low.split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text followed by the end id."""
-        split = [self._chunks(t) for t in texts]
+        if len(self.words) > WORDS:
+            self.words, self.word_ids = {}, _Lists()
+        if len(self.chunks) > CACHE:
+            self.chunks, self.chunk_ids = {}, _Lists()
+        split = [self._split(t) for t in texts]
+        sizes = np.array([len(chunks or ()) for chunks in split], np.int64)
+        at, new = numbered(self.chunks, chain.from_iterable(filter(None, split)), int(sizes.sum()))
+        if new:
+            self._learn(new)
         end = np.array([END_ID], np.uint32)
-        out = []
-        try:
-            missing = {c for chunks in split if chunks for c in chunks} - self.place.keys()
-            if missing:
-                self._learn(missing)
-        except MemoryError:
-            self.reset()
-            self._learn({c for chunks in split if chunks for c in chunks})
-        get = self.place.__getitem__
-        for t, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                ids = np.array(self.plain.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
-            else:
-                at = np.fromiter(map(get, chunks), np.int64, len(chunks))
-                n = self.size[at]
-                total = int(n.sum())
-                ids = self.flat[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(total)]
+        out, begin = [], 0
+        for t, chunks, n in zip(texts, split, sizes.tolist(), strict=True):
+            ids = self._whole(t) if chunks is None else self.chunk_ids.get(at[begin : begin + n])[1].astype(np.uint32)
+            begin += n
             out.append(np.concatenate((ids, end)))
         return out
 
@@ -206,6 +277,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, piec
             close()
         if rows:
             yield out()
+        common.release()
 
     ddl = ", ".join(f"{n} bigint" for n in names[:7]) + (", ids array<int>" if with_ids else "")
     source = docs.select(docs[doc_id].cast("bigint").alias(doc_id), text)
