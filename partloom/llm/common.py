@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -41,6 +42,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers outlive their tasks, and what they keep
+    would be missing in the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(work):
+    """A group function of one table that leaves no freed memory behind."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        release()
+        return out
+
+    return run
+
+
+def released_pair(work):
+    """A co-group function that leaves no freed memory behind."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return run
+
+
+def free_name(taken: Iterable[str], name: str = "found") -> str:
+    """``name``, or a longer one if a column has it already (names differ in more than their case)."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -73,9 +113,7 @@ def annotate(docs: DataFrame, make, fields: str, keep: list[str] | None = None,
     names; the struct gets a name that clashes with none of them, which is returned too."""
     reads = reads or ["doc_id", "text"]
     keep = ["doc_id"] if keep is None else keep
-    name = "found"
-    while name in keep or name in reads:
-        name += "_"
+    name = free_name([*keep, *reads])
     source = docs.select(*dict.fromkeys([*keep, *reads]))
     kept = docs.select(*keep).schema
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept)
@@ -87,6 +125,8 @@ def annotate(docs: DataFrame, make, fields: str, keep: list[str] | None = None,
             if batch.num_rows:
                 arrays = work(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.StructArray.from_arrays(arrays, names)], names=[*keep, name])
+        del work
+        release()
 
     inner = ", ".join(f"{n}: {part.strip().split(' ', 1)[1]}" for n, part in zip(names, fields.split(","), strict=True))
     return source.mapInArrow(run, f"{schema}, `{name}` struct<{inner}>"), name

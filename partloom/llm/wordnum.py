@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -23,7 +23,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i (mod 2**64) for i < n; base is odd, so it has an inverse."""
     inverse = pow(base, -1, 1 << 64)
@@ -77,7 +77,7 @@ class Words:
         while w < len(out):
             to = max(w + 1, int(np.searchsorted(self.end, self.start[w] + BLOCK, side="right")))
             a, b = int(self.start[w]), int(self.end[to - 1])
-            n = 1 << max(16, (b - a).bit_length())
+            n = 1 << max(19, (b - a).bit_length())
             up, down = _powers(_BYTE_BASE, n)
             sums = np.zeros(b - a + 1, U)
             np.cumsum(_BYTE[self.buf[a:b]] * up[: b - a], out=sums[1:])
