@@ -1,19 +1,25 @@
-"""Language-model scoring with an order-two backoff model.
+"""Language-model scoring with a weighted backoff automaton.
 
-The model is an order-two backoff model of words and one end token per text.  A history with kept bigrams (seen
-``MIN_COUNT`` times or more in training) is a state; its arcs carry log10((c - D) / c(h) + g(h) p(w)) and its failure
-arc carries log10 g(h), with g(h) the mass that absolute discounting D and the cutoff leave over.  The root's arcs carry
-the add-one unigram p(w) = (c(w) + 1) / (N + V + 1), unknown words being one further outcome, so each state's
-probabilities add up to one.  No automaton is carried along a text: each pair of neighbouring words is looked up by
-itself, which for order two gives the same scores as walking the arcs and failure arcs.
+The model is an n-gram model of order ``ORDER`` over words and one end token per text, counted over all training texts
+without a cutoff.  p(w) = (c(w) + 1) / (N + V + 1), unknown words being one further outcome; for a history h of one or more
+words, p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), where h' is h without its first word and K the ``STRENGTH`` of that
+order.  Every probability of a seen word is an arc, and what K leaves over is the failure arc: K / (c(h) + K), the same for
+all other words, so the probabilities of each state add up to one (tested).
 
-Counts come from all training documents (``rounds``): batches send the counts of their distinct bigrams; buckets answer
-in the same order; batches then send the counts of their words and, for each kept bigram that the bucket gave them
-to own, the discounted mass of its history; the words' buckets answer again and each batch holds the part of the
-automaton that its own texts can reach.  Nothing is gathered on the driver and no vocabulary is broadcast.
+The automaton: a state for each history seen in training (the root for none, and one for the beginning of a text); arcs
+(state, word) -> weight and next state, which is the longest seen history after that word; failure arcs state -> the state
+without its first word.  A text is walked from left to right once and carries its state: while the state has no arc for the
+word its failure weight is added and its failure arc followed, then the arc's weight.  All texts of a batch walk in lockstep as
+arrays; a long text walks in segments that begin ``ORDER - 1`` words early at the root, which reaches the same state.
+
+Counts come from all training documents by one exchange (``rounds``): batches send the counts of their distinct n-grams,
+buckets answer with the corpus's counts in the same order, and each batch builds the part of the automaton that its own
+texts can reach.  Nothing is gathered on the driver and no vocabulary is broadcast.  Words are told apart by 64 bits, longer
+n-grams by 48 bits and one more for each doubling of the buckets; collisions are not checked further.
 
 Defined results: null text is empty and consists of the end token; a null ``doc_id`` counts as training; repeated rows
-count and score one by one; without training documents every token is unknown; other columns pass through in ``keep``."""
+count and score one by one; without training documents every token is unknown; other columns pass through in ``keep``,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -26,222 +32,298 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
-from .rounds import batch_number, by_bucket, deal, from_planes, message, planes, unpacked
+from .rounds import batch_number, by_bucket, counts_from_bytes, counts_to_bytes, deal, from_planes, from_short_planes, message, planes, short_planes, unpacked
 from .wordnum import Words, _mix
 
-MIN_COUNT = 2
-DISCOUNT = 0.75
+ORDER = 3
+#: weight of the shorter history's estimate, by the length of the history
+STRENGTH = {1: 16.0, 2: 4.0}
+SEGMENT = 256
 U = np.uint64
 START, END = U(0x51A2B3C4D5E6F708), U(0x1E2D3C4B5A697887)
+FIGURES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def strength(length: int) -> float:
+    return STRENGTH.get(length, STRENGTH[max(STRENGTH)])
 
 
 class Tokens:
-    """Token, history and bigram hashes of a batch of texts; each text ends with the end token."""
+    """Hashes of the tokens of texts and of the n-grams that end at each; every text ends with the end token."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray):
+    def __init__(self, texts: list[bytes]):
         words = Words([t.lower() for t in texts])
-        n = len(texts)
         self.sizes = words.counts + 1
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.token = np.empty(len(words) + n, U)
-        last = self.first[1:] - 1
+        self.token = np.empty(len(words) + len(texts), U)
         body = np.ones(len(self.token), bool)
-        body[last] = False
+        body[self.first[1:] - 1] = False
         self.token[body] = words.hashes()
-        self.token[last] = END
-        self.history = np.empty_like(self.token)
-        self.history[1:] = self.token[:-1]
-        self.history[self.first[:-1]] = START
-        self.bigram = _mix(self.history * U(0x9FB21C651E98DF25) + _mix(self.token ^ U(0x6A09E667F3BCC909)))
-        self.train = np.repeat(train, self.sizes)
-
-
-def _read(table: pa.Table):
-    for batch in unpacked(table, "_text"):
-        train = batch.column("_train").to_numpy(zero_copy_only=False).astype(bool)
-        yield Tokens(common.as_bytes(batch.column("_text")), train), batch
-
-
-def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        self.token[~body] = END
+
+    def grams(self, order: int) -> list[np.ndarray]:
+        """For n = 2 to ``order``: the hash of the n tokens that end at each place, the beginning of a text counting as one
+        token; 0 where there are fewer."""
+        place = np.arange(len(self.token)) - np.repeat(self.first[:-1], self.sizes)
+        mixed = _mix(self.token ^ U(0x6A09E667F3BCC909))
+        out, shorter = [], self.token
+        for n in range(2, order + 1):
+            before = np.empty_like(shorter)
+            before[1:] = shorter[:-1]
+            if n == 2:
+                before[self.first[:-1]] = START
+            gram = _mix(before * U(0x9FB21C651E98DF25) + mixed + U(n))
+            gram[place < n - 2] = 0
+            out.append(gram)
+            shorter = gram
+        return out
+
+
+def distinct(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their values."""
-    if not parts:
-        return (np.empty(0, U),)
-    key, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    lead = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-    return key[lead], *(np.add.reduceat(v[order], lead) if len(lead) else v for v in values)
-
-
-def _batch_bigrams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_distinct([(t.bigram, t.train.astype(np.int64))]) for t, _ in _read(table)]
-    return _distinct(parts)
-
-
-def _answers(table: pa.Table, keys: np.ndarray, buckets: int, columns: list[str]) -> list[np.ndarray]:
-    """Put the buckets' answers, given in the order of the batch's keys, together again."""
-    full, bounds = by_bucket(keys, buckets)
-    out = [np.zeros(len(keys), np.int64) for _ in columns]
-    numbers = table.column("bucket").to_pylist()
-    for o, c in zip(out, columns, strict=True):
-        for b, data in zip(numbers, table.column(c).to_pylist(), strict=True):
-            if data is not None:
-                o[bounds[b] : bounds[b + 1]] = from_planes(data)
-    return out
-
-
-def _gather(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """A bucket's keys, values and the number of entries each batch sent."""
-    keys = [from_planes(x, U) for x in table.column("keys").to_pylist()]
-    values = [np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in columns]
-    return np.concatenate(keys), values, np.array([len(k) for k in keys])
+    order = np.argsort(keys)
+    keys = keys[order]
+    lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[lead], np.add.reduceat(values[order], lead) if len(lead) else values
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    return distinct(np.concatenate([k for k, _ in parts] or [np.empty(0, U)]), np.concatenate([v for _, v in parts] or [np.empty(0, np.int64)]))
+
+
+def numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the number of every entry's key."""
+    order = np.argsort(keys)
+    some = keys[order]
+    lead = np.concatenate(([True], some[1:] != some[:-1])) if len(keys) else np.empty(0, bool)
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(lead) - 1
+    return some[lead], order[lead], number
+
+
+class Automaton:
+    """The part of the automaton that a batch of texts can reach, and the batch's texts as word numbers."""
+
+    def __init__(self, texts: Tokens, order: int, counts_of):
+        """``counts_of(words, grams)`` -> (counts of the sorted words, of the sorted grams, training tokens N, distinct ones V)."""
+        self.sizes, self.first, self.order = texts.sizes, texts.first, order
+        words, _, word = numbers(np.concatenate((texts.token, [START, END])))
+        self.start, end = int(word[-2]), int(word[-1])
+        self.word = word[:-2]
+        grams = texts.grams(order)
+        levels = [numbers(g) for g in grams]
+        every, _, back = numbers(np.concatenate([k for k, _, _ in levels]) if levels else np.empty(0, U))
+        self.counts, gram_counts, self.n, v = counts_of(words, every)
+        self.root = np.log10(self.counts + 1.0) - math.log10(self.n + v + 1)
+        # states: 0 is the root, then the words seen in training (with the beginning of a text), then longer histories
+        is_state = (self.counts > 0) & (order > 1)
+        is_state[end] = False
+        self.state_of_word = np.where(is_state, np.cumsum(is_state), 0)
+        states = int(is_state.sum()) + 1
+        held = [np.zeros(1), self.counts[is_state].astype(np.float64)]
+        fail, fail_to, length = [np.zeros(1, np.int64), np.zeros(states - 1, np.int64)], None, [np.zeros(1, np.int64), np.ones(states - 1, np.int64)]
+        arcs, weights, targets = [], [], []
+        # of the shorter history: its state and count at every place, and the probability of the token there
+        shorter_state = np.concatenate(([0], self.state_of_word[self.word[:-1]])) if len(self.word) else np.empty(0, np.int64)
+        shorter_state[self.first[:-1]] = self.state_of_word[self.start]
+        p = 10 ** self.root[self.word]
+        after = self.state_of_word[self.word]  # the state after the token at each place, with what is known so far
+        begin = 0
+        for k, ((keys, place, number), gram) in enumerate(zip(levels, grams), 2):
+            c = gram_counts[back[begin : begin + len(keys)]]
+            c = np.where(keys == 0, 0, c)
+            begin += len(keys)
+            here = c[number]
+            history = np.where(shorter_state > 0, np.concatenate(held)[shorter_state], 0)
+            kk = strength(k - 1)
+            seen = here > 0
+            p = np.where(seen, (here + kk * p) / (np.maximum(history, 1) + kk), p)
+            known = c > 0
+            at = place[known]
+            arcs.append(shorter_state[at] * np.int64(len(words)) + self.word[at])
+            weights.append(np.log10(p[at]))
+            if k < order:
+                new = known & (self.word[place] != end)
+                own = np.where(new, states + np.cumsum(new) - 1, 0)
+                held.append(c[new].astype(np.float64))
+                fail.append(after[place[new]])
+                length.append(np.full(int(new.sum()), k))
+                states += int(new.sum())
+                longer = np.where(seen & (own[number] > 0), own[number], after)
+            else:
+                longer = after
+            targets.append(longer[at])
+            after = longer
+            if k < order:
+                shorter_state = np.concatenate(([0], own[number][:-1])) if len(number) else number
+                shorter_state[self.first[:-1]] = 0
+        arc = np.concatenate(arcs) if arcs else np.empty(0, np.int64)
+        line = np.argsort(arc)
+        self.arc, self.weight, self.target = arc[line], np.concatenate([*weights, np.empty(0)])[line], np.concatenate([*targets, np.empty(0, np.int64)])[line]
+        k = np.array([0.0, *(strength(n) for n in range(1, order + 1))])[np.concatenate(length)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.fail_weight = np.log10(k / (np.concatenate(held) + k))
+        self.fail_weight[0] = 0
+        self.fail = np.concatenate(fail)
+        self.n_words = len(words)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, next states): failure arcs are followed until there is an arc for the word."""
+        state = state.copy()
+        weight = np.zeros(len(state))
+        target = np.empty(len(state), np.int64)
+        left = np.flatnonzero(state)
+        done = np.flatnonzero(state == 0)
+        while True:
+            if len(done):
+                weight[done] += self.root[word[done]]
+                target[done] = self.state_of_word[word[done]]
+            if not len(left):
+                return weight, target
+            if len(self.arc):
+                key = state[left] * np.int64(self.n_words) + word[left]
+                at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+                has = self.arc[at] == key
+                hit, at = left[has], at[has]
+                weight[hit] += self.weight[at]
+                target[hit] = self.target[at]
+                left = left[~has]
+            weight[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
+            at_root = state[left] == 0
+            done, left = left[at_root], left[~at_root]
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of every text."""
+        n = -(-self.sizes // SEGMENT)
+        text = np.repeat(np.arange(len(self.sizes)), n)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        lead = np.where(number > 0, self.order - 1, 0)
+        begin = self.first[text] + number * SEGMENT - lead
+        size = np.minimum(SEGMENT, self.sizes[text] - number * SEGMENT) + lead
+        line = np.argsort(-size, kind="stable")
+        begin, size, lead, number, text = begin[line], size[line], lead[line], number[line], text[line]
+        state = np.where(number == 0, self.state_of_word[self.start], 0)
+        total = np.zeros(len(line))
+        for t in range(int(size.max(initial=0))):
+            on = int(np.searchsorted(-size, -t))
+            weight, state[:on] = self.step(state[:on], self.word[begin[:on] + t])
+            total[:on] += np.where(lead[:on] <= t, weight, 0)
+        return np.bincount(text, total, minlength=len(self.sizes))
+
+
+def _texts(table: pa.Table):
+    for batch in unpacked(table, "_text"):
+        yield Tokens(common.as_bytes(batch.column("_text"))), batch
 
 
-def score(docs: DataFrame, train: Column, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
-    """``keep`` columns with _n_tokens, _n_known, _train_tokens, _base_score and _score."""
+def score(docs: DataFrame, train: Column, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> tuple[DataFrame, str]:
+    """``keep`` columns and a struct column (its name is returned) of n_tokens, n_known, train_tokens, base_score and score."""
     keep = [doc_id] if keep is None else keep
+    name = common.free_name(keep)
     buckets = batch_number(docs, text)
     own = [f"k{i}" for i in range(len(keep))]
-    base = docs.select(*[F.col(c).alias(k) for k, c in zip(own, keep, strict=True)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("_id"), F.coalesce(train, F.lit(True)).alias("_train"), F.col(text).alias("_text"))
-    names = [*own, "_n_tokens", "_n_known", "_train_tokens", "_base_score", "_score"]
+    base = docs.select(*[F.col(c).alias(k) for k, c in zip(own, keep, strict=True)], F.col(doc_id).cast("string").alias("_id"), F.coalesce(train, F.lit(True)).alias("_train"), F.col(text).alias("_text"))
     kinds = [*to_arrow_schema(base.select(*own).schema).types, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def send(keys: np.ndarray, batch: int, **values: np.ndarray) -> pa.Table:
-        full, bounds = by_bucket(keys, buckets)
-        cut = lambda v: [planes(v[bounds[b] : bounds[b + 1]]) for b in full]
-        return message(full.tolist(), batch, keys=cut(keys), **{k: cut(v) for k, v in values.items()})
-
-    def count_bigrams(table: pa.Table) -> pa.Table:
-        keys, counts = _batch_bigrams(table)
-        return send(keys, table.column("batch")[0].as_py(), counts=counts)
-
-    def keep_bigrams(table: pa.Table) -> pa.Table:
-        """Answer 2 c + 1 to the first batch that holds a kept bigram, 2 c to the others and 0 for bigrams not kept."""
-        keys, (counts,), sent = _gather(table, ["counts"])
-        order = np.argsort(keys, kind="stable")
-        lead = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-        sums = np.add.reduceat(counts[order], lead)
-        sums[sums < min_count] = 0
-        said = np.repeat(2 * sums, np.diff(np.concatenate((lead, [len(keys)]))))
-        said[lead] += sums > 0
-        answer = np.empty_like(said)
-        answer[order] = said
-        cut = np.split(answer, np.cumsum(sent)[:-1])
-        return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "kept": pa.array([planes(x) for x in cut], pa.binary())})
-
-    def count_words(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, _ = _batch_bigrams(left)
-        (said,) = _answers(right, keys, buckets, ["kept"])
-        mine = keys[said & 1 == 1]
-        mass = said[said & 1 == 1] >> 1
-        parts, met = [], np.zeros(len(mine), bool)
-        zero = lambda n: np.zeros(n, np.int64)
-        for t, _ in _read(left):
-            ones = t.train.astype(np.int64)
-            parts.append(_distinct([(t.token, ones, zero(len(ones)), zero(len(ones)))]))
-            begins = int(ones[t.first[:-1]].sum()) if len(t.sizes) else 0
-            parts.append((np.array([START]), np.array([begins]), zero(1), zero(1)))
-            if len(mine):
-                at = np.minimum(np.searchsorted(mine, t.bigram), len(mine) - 1)
-                place = np.flatnonzero(mine[at] == t.bigram)
-                at, first = np.unique(at[place], return_index=True)
-                fresh = ~met[at]
-                at, place = at[fresh], place[first[fresh]]
-                met[at] = True
-                parts.append(_distinct([(t.history[place], zero(len(at)), mass[at], np.ones(len(at), np.int64))]))
-        keys, counts, masses, arcs = _distinct(parts)
-        return send(keys, left.column("batch")[0].as_py(), counts=counts, masses=masses, arcs=arcs)
-
-    def total(table: pa.Table) -> tuple[np.ndarray, ...]:
-        keys, values, sent = _gather(table, ["counts", "masses", "arcs"])
-        order = np.argsort(keys, kind="stable")
-        lead = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-        return keys[order][lead], [np.add.reduceat(v[order], lead) for v in values], order, lead, sent
-
-    def sum_words(table: pa.Table) -> pa.Table:
-        _, values, order, lead, sent = total(table)
-        size = np.diff(np.concatenate((lead, [len(order)])))
-        out = {}
-        for name, v in zip(("counts", "masses", "arcs"), values, strict=True):
-            answer = np.empty(len(order), np.int64)
-            answer[order] = np.repeat(v, size)
-            out[name] = pa.array([planes(x) for x in np.split(answer, np.cumsum(sent)[:-1])], pa.binary())
-        return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), **out})
-
-    def sum_all(table: pa.Table) -> pa.Table:
-        keys, (counts, _, _), *_ = total(table)
-        counts = counts[keys != START]
-        return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64())})
+    names = [*own, *[f.split(" ")[0] for f in FIGURES.split(", ")]]
+
+    def ask(table: pa.Table) -> pa.Table:
+        """Distinct n-grams of the batch with their training counts; every bucket gets a message, if an empty one."""
+        words, grams = [(np.array([START, END]), np.zeros(2, np.int64))], []
+        for t, batch in _texts(table):
+            train = batch.column("_train").to_numpy(zero_copy_only=False).astype(bool)
+            ones = np.repeat(train, t.sizes).astype(np.int64)
+            words += [distinct(t.token, ones), (np.array([START]), np.array([int(train.sum())]))]
+            grams += [distinct(g, ones) for g in t.grams(order)]
+        (w, wc), (g, gc) = merged(words), merged(grams)
+        _, a = by_bucket(w, buckets)
+        _, b = by_bucket(g, buckets)
+        every = range(buckets)
+        return message(list(every), table.column("batch")[0].as_py(), words=[planes(w[a[i] : a[i + 1]]) for i in every], n=[counts_to_bytes(wc[a[i] : a[i + 1]]) for i in every],
+                       grams=[short_planes(g[b[i] : b[i + 1]], i, buckets) for i in every], m=[counts_to_bytes(gc[b[i] : b[i + 1]]) for i in every])
+
+    def add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], int, int]:
+        """Sums over all batches, in each one's own order; their total and how many are not zero (the beginnings apart)."""
+        sent = np.cumsum([len(k) for k in keys])
+        key, values = np.concatenate(keys), np.concatenate(counts)
+        line = np.argsort(key)
+        key = key[line]
+        lead = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        sums = np.add.reduceat(values[line], np.flatnonzero(lead)) if len(key) else values
+        out = np.empty(len(key), np.int64)
+        out[line] = sums[np.cumsum(lead) - 1] if len(key) else sums
+        real = sums[key[lead] != START]
+        return [counts_to_bytes(x) for x in np.split(out, sent[:-1])], int(real.sum()), int((real > 0).sum())
+
+    def answer(table: pa.Table) -> pa.Table:
+        blobs = lambda c: table.column(c).to_pylist()
+        n, tokens, known = add([from_planes(x, U) for x in blobs("words")], [counts_from_bytes(x) for x in blobs("n")])
+        m, _, _ = add([from_short_planes(x) for x in blobs("grams")], [counts_from_bytes(x) for x in blobs("m")])
+        rows = table.num_rows
+        return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "n": pa.array(n, pa.binary()), "m": pa.array(m, pa.binary()), "tokens": pa.array([tokens] * rows, pa.int64()), "known": pa.array([known] * rows, pa.int64())})
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = [pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})]
+        nothing = pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         if not left.num_rows:
-            return tables[0]
-        is_bigram = np.array(right.column("kept").is_valid().to_pylist(), bool)
-        about_bigrams, about_words = (right.filter(pa.array(x)) for x in (is_bigram, ~is_bigram))
-        bigrams, _ = _batch_bigrams(left)
-        (said,) = _answers(about_bigrams, bigrams, buckets, ["kept"])
-        seen = [np.unique(t.token) for t, _ in _read(left)]
-        words = np.unique(np.concatenate([*seen, np.array([START])]))
-        counts, masses, arcs = _answers(about_words, words, buckets, ["counts", "masses", "arcs"])
-        totals = about_words.column("totals")[0].as_py()
-        n, v = totals["n"], totals["v"]
-        root = np.log10(counts + 1.0) - math.log10(n + v + 1)
-        free = np.ones(len(words))  # the mass that a state's failure arc carries
-        has = counts > 0
-        free[has] = 1 - (masses[has] - discount * arcs[has]) / counts[has]
-        for t, batch in _read(left):
-            w, h = np.searchsorted(words, t.token), np.searchsorted(words, t.history)
-            c = said[np.searchsorted(bigrams, t.bigram)] >> 1
-            p = free[h] * 10 ** root[w]
-            arc = c > 0
-            p[arc] += (c[arc] - discount) / counts[h[arc]]
-            begin = t.first[:-1]
-            add = lambda x: np.add.reduceat(x, begin)
-            columns = [batch.column(k) for k in own]
-            tables.append(pa.table([*columns, pa.array(t.sizes, pa.int64()), pa.array(add((counts[w] > 0).astype(np.int64))), pa.array(np.full(len(begin), n)), pa.array(add(root[w])), pa.array(add(np.log10(p)))], names=names))
-        return pa.concat_tables(tables)
+            return nothing
+        right = right.sort_by("bucket")
+        parts = list(_texts(left))
+        whole = Tokens([])
+        whole.sizes = np.concatenate([t.sizes for t, _ in parts])
+        whole.first = np.concatenate(([0], np.cumsum(whole.sizes)))
+        whole.token = np.concatenate([t.token for t, _ in parts])
+
+        def counts_of(words: np.ndarray, grams: np.ndarray):
+            both = [np.concatenate([counts_from_bytes(x) for x in right.column(c).to_pylist()]) for c in ("n", "m")]
+            return *both, sum(right.column("tokens").to_pylist()), sum(right.column("known").to_pylist())
+
+        machine = Automaton(whole, order, counts_of)
+        begin = whole.first[:-1]
+        word = machine.word
+        columns = [pa.chunked_array([b.column(k) for _, b in parts], kind) for k, kind in zip(own, kinds)]
+        figures = [whole.sizes, np.add.reduceat((machine.counts[word] > 0).astype(np.int64), begin), np.full(len(begin), machine.n), np.add.reduceat(machine.root[word], begin), machine.walk()]
+        return pa.table([*columns, *[pa.array(x, k) for x, k in zip(figures, kinds[len(own) :], strict=True)]], names=names)
 
     groups = deal(base, buckets, "_id", "_text").groupBy("batch")
-    asked = groups.applyInArrow(count_bigrams, "bucket int, batch int, keys binary, counts binary")
-    kept = asked.groupBy("bucket").applyInArrow(keep_bigrams, "bucket int, batch int, kept binary")
-    told = groups.cogroup(kept.groupBy("batch")).applyInArrow(count_words, "bucket int, batch int, keys binary, counts binary, masses binary, arcs binary").groupBy("bucket")
-    totals = told.applyInArrow(sum_all, "n bigint, v bigint").agg(F.struct(F.sum("n").alias("n"), F.sum("v").alias("v")).alias("totals"))
-    words = told.applyInArrow(sum_words, "bucket int, batch int, counts binary, masses binary, arcs binary").withColumn("totals", totals.scalar())
-    answers = words.unionByName(kept, allowMissingColumns=True).select("bucket", "batch", "kept", "counts", "masses", "arcs", "totals")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*own).schema)
-    out = groups.cogroup(answers.groupBy("batch")).applyInArrow(walk, f"{schema}, _n_tokens bigint, _n_known bigint, _train_tokens bigint, _base_score double, _score double")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(own, keep, strict=True)], "_n_tokens", "_n_known", "_train_tokens", "_base_score", "_score")
+    asked = groups.applyInArrow(common.released(ask), "bucket int, batch int, words binary, n binary, grams binary, m binary")
+    told = asked.groupBy("bucket").applyInArrow(common.released(answer), "bucket int, batch int, n binary, m binary, tokens bigint, known bigint")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.select(*own).schema)
+    out = groups.cogroup(told.groupBy("batch")).applyInArrow(common.released_pair(walk), schema + FIGURES)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(own, keep, strict=True)], F.struct(*names[len(own) :]).alias(name)), name
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = common.crc_mod(F.col("doc_id"), 7) == 2
-    found = score(docs, ~held)
-    return found.select("doc_id", F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), *[F.col(f"_{n}").alias(n) for n in ("n_tokens", "n_known", "train_tokens", "base_score", "score")])
+    held = F.coalesce(common.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    found, name = score(docs, ~held)
+    return found.select("doc_id", held.alias("held_out"), *[F.col(name)[n].alias(n) for n in ("n_tokens", "n_known", "train_tokens", "base_score", "score")])
 
 
-def brute_force(docs: list[tuple[int, str | None]], min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], order: int = ORDER) -> list[tuple]:
+    """The model by its definition, from plain counts."""
     import re
     import zlib
     from collections import Counter
 
-    split = [(d, zlib.crc32(str(d).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]) for d, t in docs]
-    one, two, history = Counter(), Counter(), Counter()
+    split = [(d, zlib.crc32(str(d).encode()) % 7 == 2, [0, *re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]) for d, t in docs]
+    count: Counter = Counter()
     for _, held, w in split:
         if not held:
-            one.update(w)
-            two.update(zip([0, *w], w))
-            history.update([0, *w[:-1]])
-    two = {k: c for k, c in two.items() if c >= min_count}
-    taken: Counter = Counter()
-    for (h, _), c in two.items():
-        taken[h] += c - discount
-    n, v = sum(one.values()), len(one)
+            count.update(tuple(w[i - k : i + 1]) for i in range(len(w)) for k in range(min(order, i + 1)))
+    n = sum(c for k, c in count.items() if len(k) == 1 and k != (0,))
+    v = sum(len(k) == 1 and k != (0,) for k in count)
+
+    def p(history: tuple, word) -> float:
+        if not history:
+            return (count[(word,)] + 1) / (n + v + 1)
+        k = strength(len(history))
+        return (count[(*history, word)] + k * p(history[1:], word)) / (count[history] + k)
+
     out = []
     for d, held, w in split:
-        root = [(one[x] + 1) / (n + v + 1) for x in w]
-        free = [1 - taken[h] / history[h] if history[h] else 1 for h in [0, *w]]
-        p = [(two[h, x] - discount) / history[h] + f * r if (h, x) in two else f * r for h, x, f, r in zip([0, *w], w, free, root)]
-        out.append((d, held, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, root)), sum(map(math.log10, p))))
+        one = [math.log10(p((), x)) for x in w[1:]]
+        full = [math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))]
+        out.append((d, held, len(one), sum(count[(x,)] > 0 for x in w[1:]), n, sum(one), sum(full)))
     return out

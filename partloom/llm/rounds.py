@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 from .common import slices, text_bytes
 
 
-def batch_number(docs: DataFrame, text: str = "text", unit: int = 64 << 10, most: int = 128 << 20) -> int:
+def batch_number(docs: DataFrame, text: str = "text", unit: int = 64 << 10, most: int = 32 << 20) -> int:
     """Batches grow with the square root of the input, so that the messages between n batches and n buckets stay a
-    fixed share of it, up to ``most`` bytes of text in a batch."""
+    fixed share of it, up to ``most`` bytes of text in a batch, which bounds a task's memory.  Beyond that (256 times
+    ``most``^2 / ``unit``, 16 TB) messages carry fewer keys each, never more messages than keys."""
     size = text_bytes(docs, text)
     return max(4, math.ceil(math.sqrt(size / unit)), math.ceil(size / most))
 
 
 def deal(docs: DataFrame, batches: int, key: str, text: str) -> DataFrame:
     """``(batch, rows)``: the documents dealt into batches by a hash of ``key``, as compressed Arrow streams of at most
-    a few megabytes (a longer row is a stream by itself).  Text moves at about a third of its size, and few rows do."""
+    a few megabytes (a longer row is a stream by itself).  Text moves at about a third of its size, and few rows do.
+    Rows whose key is null are spread by their place in the input."""
     schema = docs.schema.names
-    numbered = docs.withColumn("_batch", F.pmod(F.xxhash64(F.col(key)), F.lit(batches)).cast("int"))
+    spot = F.coalesce(F.xxhash64(F.col(key)) + F.when(F.col(key).isNull(), F.lit(None)).otherwise(F.lit(0)), F.xxhash64(F.monotonically_increasing_id()))
+    numbered = docs.withColumn("_batch", F.pmod(spot, F.lit(batches)).cast("int"))
 
     def pack(source):
         for batch in slices(source, text, 16 << 20):
@@ -87,6 +90,34 @@ def from_planes(data: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+KEY_BYTES = 6
+
+
+def short_planes(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """``planes`` of 48 bits of each key inside its bucket's range; with the bucket's number they name a key on 48 bits
+    and one more for each doubling of the buckets."""
+    width = (1 << 64) // buckets + 1
+    inside = keys - np.uint64((bucket * width) & ((1 << 64) - 1))
+    cut = (inside >> np.uint64(max(0, width.bit_length() - 8 * KEY_BYTES))).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(cut[:, :KEY_BYTES].T).tobytes()
+
+
+def from_short_planes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(KEY_BYTES, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def counts_to_bytes(values: np.ndarray) -> bytes:
+    """Counts in the smallest unsigned type that holds them; its size comes first."""
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) >> 8 * n == 0)
+    return bytes([size]) + planes(values.astype(f"<u{size}"))
+
+
+def counts_from_bytes(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], f"<u{data[0]}").astype(np.int64)
+
+
 def message(bucket: list, batch: int, **blobs: list[bytes]) -> pa.Table:
     n = len(bucket)
     columns = {"bucket": pa.array(bucket, pa.int32()), "batch": pa.array([batch] * n, pa.int32())}

@@ -184,20 +184,28 @@ def links(prints: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> D
     units = dealt.withColumn("mine", mine).select("fp", "mine", "shard", F.explode(pairs).alias("p")).select(
         "fp", F.xxhash64("shard", "p.a", "p.b").alias("unit"), (F.col("mine") == F.col("p.a")).alias("tree"), (F.col("mine") == F.col("p.b")).alias("asks"))
 
+    def work(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        col = lambda k: batch.column(k).to_numpy()
+        return tuple(x.view(np.int64) for x in _unit_links(col("unit"), col("fp").view(np.uint64), col("asks"), col("tree"), radius))
+
+    return run_units(units, work, 8 * shard_rows)
+
+
+def run_units(units: DataFrame, work, limit: int) -> DataFrame:
+    """``(u, v)``: what ``work`` finds in tables of whole work units (rows of one ``unit``), of about ``limit`` rows each."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-        def flush(batch: pa.Table):
-            col = lambda k: batch.column(k).to_numpy()
-            u, v = _unit_links(col("unit"), col("fp").view(np.uint64), col("asks"), col("tree"), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in work(table)], schema=schema)
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 8 * shard_rows:
+            if rows >= limit:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 unit = whole.column("unit").to_numpy()
                 stop = int(np.searchsorted(unit, unit[-1]))
@@ -207,28 +215,73 @@ def links(prints: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> D
                 held, rows = whole.to_batches(), whole.num_rows
         if rows:
             yield flush(pa.Table.from_batches(held))
+        held.clear()
+        common.release()
 
-    dealt_out = units.repartition("unit").sortWithinPartitions("unit")
-    return dealt_out.mapInArrow(run, "u bigint, v bigint")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: list[str] | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``keep`` columns of ``docs`` (``doc_id`` among them) with ``_fp`` and ``_component``: the smallest ``doc_id``
-    that can be reached over links."""
-    keep = ["doc_id"] if keep is None else keep
-    state, name = fingerprints(docs, words, keep)
-    marked = common.cut(state.select(*keep, F.col(name)["fp"].alias("_fp")))
-    prints = common.cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("_fp", "fp"))
-    roots = components(links(prints.select("fp"), radius, shard_rows))
-    rooted = prints.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("_component"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "_component")
-    return marked.join(named, "_fp").select(*keep, "_fp", "_component")
+def _cross(table: pa.Table, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different roots within the radius; of each asking member all, or the nearest only."""
+    unit, node, fp, root, tree = (table.column(k).to_numpy(zero_copy_only=False) for k in ("unit", "node", "fp", "root", "tree"))
+    fp = fp.view(np.uint64)
+    members, queries = np.flatnonzero(tree), np.flatnonzero(~tree)
+    forest = Forest(unit[members], fp[members])
+    at = np.searchsorted(unit[members][forest.root], unit[queries])
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    best = np.full(len(queries), 65 << 32)
+    for q, m in forest.search(fp[queries], forest.root[at], radius):
+        other = root[queries[q]] != root[members[m]]
+        q, m = q[other], m[other]
+        if nearest:
+            np.minimum.at(best, q, (_distance(fp[queries[q]], fp[members[m]]) << 32) + m)
+        else:
+            out.append((node[queries[q]], node[members[m]]))
+    if nearest:
+        q = np.flatnonzero(best < 65 << 32)
+        out.append((node[queries[q]], node[members[best[q] & 0xFFFFFFFF]]))
+    u, v = (np.concatenate(x) for x in zip(*out))
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def cross_pairs(members: DataFrame, radius: int, nearest: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``members(shard, node, fp, root, asks)`` -> ``(u, v)``: pairs of one shard within the radius whose roots differ, with an
+    asking member in each.  Trees of a large shard and its askers are dealt into parts, and every tree part meets every part
+    of the askers as a work unit of its own."""
+    parts = lambda n: F.ceil(n / F.lit(shard_rows)).cast("bigint")
+    sizes = members.groupBy("shard").agg(parts(F.count("*")).alias("trees"), parts(F.sum(F.col("asks").cast("int"))).alias("queries")).where("queries > 0")
+    dealt = members.join(sizes, "shard")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    tree = dealt.select("shard", "node", "fp", "root", F.lit(True).alias("tree"), spot("trees").alias("t"), each("queries").alias("q"))
+    asks = dealt.where("asks").select("shard", "node", "fp", "root", F.lit(False).alias("tree"), each("trees").alias("t"), spot("queries").alias("q"))
+    units = tree.unionByName(asks).select(F.xxhash64("shard", "t", "q").alias("unit"), "node", "fp", "root", "tree")
+    return run_units(units, lambda table: _cross(table, radius, nearest), 8 * shard_rows).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: list[str] | None = None, shard_rows: int = SHARD_ROWS, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """``keep`` columns of ``docs`` and one struct column, whose name is returned too: fp and component, the smallest
+    ``doc_id`` that can be reached over links (null ids come last)."""
+    keep = [doc_id] if keep is None else keep
+    found, name = fingerprints(docs.withColumn(common.free_name(docs.columns, "own"), F.col(doc_id)), words, [*keep, common.free_name(docs.columns, "own")])
+    own = common.free_name(docs.columns, "own")
+    numbered = found.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(own).alias("id"), F.col(name)["fp"].alias("fp"))
+    marked = common.cut(numbered)
+    # a node names its fingerprint by the smallest id first, so that the smallest node of a component carries the answer
+    node = F.struct(F.isnull("id").alias("no_id"), "id", "fp")
+    prints = common.cut(marked.groupBy("fp").agg(F.min(node).alias("node")))
+    pairs = links(prints.select("fp"), radius, shard_rows)
+    by = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    roots = components(pairs.join(by("u"), "u").join(by("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+    named = prints.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component"))
+    out = marked.join(named, "fp")
+    name = common.free_name(keep)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.struct("fp", "component").alias(name)), name
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    found, name = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col(name)["fp"]), 16, "0")).alias("fingerprint"), F.col(name)["component"].alias("component_id"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], words: int = 4, radius: int = 4) -> list[tuple[int, str, int]]:

@@ -81,9 +81,13 @@ def test_winnowing_guarantee():
 def test_simhash(spark, frame, docs, nothing):
     want = sorted(simhash.brute_force(docs))
     for rows in (4096, 2):  # whole shards, and shards dealt into sub-shards
-        got = simhash.near_duplicates(frame, keep=["doc_id", "fp"], shard_rows=rows).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")), "_component")
+        got, name = simhash.near_duplicates(frame, keep=["doc_id", "fp", "found"], shard_rows=rows)
+        got = got.select("doc_id", F.lower(F.lpad(F.hex(F.col(name)["fp"]), 16, "0")), F.col(name)["component"])
         assert sorted(map(tuple, got.collect())) == want
-    assert simhash.near_duplicates(nothing).count() == 0
+    assert simhash.near_duplicates(nothing)[0].count() == 0
+    same = "a text that all three rows share"
+    got, name = simhash.near_duplicates(spark.createDataFrame([(None, same), (7, same), (9, same), (None, "quite another text here"), (9, "one more text of its own")], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r[name].component or 0) for r in got.collect()) == [(0, 0), (0, 7), (7, 7), (9, 7), (9, 9)]
 
 
 def test_bk_forest_finds_all_pairs():
@@ -291,16 +295,56 @@ def test_substring_random(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(substring_dedup.brute_force(rows))
 
 
-def test_lm(spark, frame, docs, nothing):
-    got = lm.score(frame, common.crc_mod(F.col("doc_id"), 7) != 2, keep=["doc_id", "found"]).collect()
-    want = sorted(lm.brute_force(docs))
-    key = lambda r: (r["doc_id"], r["_n_tokens"], r["_n_known"], round(r["_base_score"], 6))
-    for g, w in zip(sorted(got, key=key), sorted(want, key=lambda w: (w[0], w[2], w[3], round(w[5], 6))), strict=True):
-        assert (g["doc_id"], g["_n_tokens"], g["_n_known"], g["_train_tokens"]) == (w[0], *w[2:5])
-        assert g["_base_score"] == pytest.approx(w[5], rel=1e-9) and g["_score"] == pytest.approx(w[6], rel=1e-9)
-    assert lm.score(nothing, F.lit(True)).count() == 0
-    untrained = lm.score(frame, F.lit(False)).collect()
-    assert all(r["_n_known"] == 0 and r["_train_tokens"] == 0 for r in untrained)
+def by_value(rows):
+    return sorted(rows, key=lambda w: (w[0], w[2], w[3], round(w[5], 6)))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm(spark, frame, docs, order):
+    out, name = lm.score(frame, common.crc_mod(F.col("doc_id"), 7) != 2, keep=["doc_id", "found"], order=order)
+    got = by_value([(r.doc_id, None, *r[name]) for r in out.collect()])
+    for g, w in zip(got, by_value(lm.brute_force(docs, order)), strict=True):
+        assert g[0] == w[0] and g[2:5] == w[2:5]
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
+
+
+def test_lm_edges(spark, frame, nothing):
+    assert lm.score(nothing, F.lit(True))[0].count() == 0
+    out, name = lm.score(frame, F.lit(False))
+    assert all(r[name].n_known == 0 and r[name].train_tokens == 0 for r in out.collect())
+    nulls = spark.createDataFrame([(None, "a b"), (None, None), (None, "a b")], "doc_id long, text string")
+    out, name = lm.score(nulls, F.lit(None).cast("boolean"))
+    assert sorted((r[name].n_tokens, r[name].train_tokens) for r in out.collect()) == [(1, 7), (3, 7), (3, 7)]
+
+
+def automaton(texts, order=3):
+    t = lm.Tokens([x.encode() for x in texts])
+    ones = np.ones(len(t.token), np.int64)
+    words = lm.distinct(np.concatenate((t.token, [lm.START, lm.END])), np.concatenate((ones, [len(texts), 0])))
+    grams = lm.merged([lm.distinct(g, ones) for g in t.grams(order)])
+    return lm.Automaton(t, order, lambda w, g: (words[1], grams[1], len(ones), len(words[0]) - 1))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_state_of_the_automaton_adds_up_to_one(order):
+    r = random.Random(order)
+    machine = automaton([text(r, r.randint(0, 30), "abcde") for _ in range(30)], order)
+    words = np.array([w for w in range(machine.n_words) if w != machine.start])
+    for state in range(len(machine.fail)):
+        weights, _ = machine.step(np.full(len(words), state), words)
+        unknown, at = 0.0, state
+        while at:
+            unknown, at = unknown + machine.fail_weight[at], machine.fail[at]
+        assert (10**weights).sum() + 10**unknown / (machine.n + len(words) + 1) == pytest.approx(1)
+
+
+def test_segments_carry_the_same_state(monkeypatch):
+    r = random.Random(1)
+    texts = [text(r, n, "abc") for n in (0, 1, 2, 3, 50, 700)]
+    whole = automaton(texts).walk()
+    for size in (2, 3, 7):
+        monkeypatch.setattr(lm, "SEGMENT", size)
+        assert automaton(texts).walk() == pytest.approx(whole)
 
 
 def test_chat(spark):
@@ -319,6 +363,16 @@ def test_chat(spark):
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_messages():
+    for v in ([], [0, 1], [255, 256], [1 << 40]):
+        assert rounds.counts_from_bytes(rounds.counts_to_bytes(np.array(v, np.int64))).tolist() == v
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    for buckets in (4, 1000, 1 << 20):
+        full, bounds = rounds.by_bucket(keys, buckets)
+        cut = [rounds.from_short_planes(rounds.short_planes(keys[bounds[b] : bounds[b + 1]], int(b), buckets)) for b in full.tolist()[:50]]
+        assert all((np.diff(x.astype(object)) > 0).all() for x in cut) and [len(x) for x in cut] == np.diff(bounds)[full][:50].tolist()
+
+
 def test_planes():
     v = np.array([1, 2, 300, 1 << 40, 0], np.int64)
     assert (rounds.from_planes(rounds.planes(v)) == v).all() and len(rounds.from_planes(rounds.planes(v[:0]))) == 0
