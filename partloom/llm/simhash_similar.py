@@ -1,13 +1,19 @@
-"""Near-duplicates by word shingles: MinHash bands name the candidate pairs, exact Jaccard similarity decides.
+"""SimHash near-duplicates by similarity: BK-trees name the candidate pairs, exact Jaccard similarity decides.
 
-A text's shingles are its runs of five lower-cased words.  Texts with the same words are merged first.  ``BANDS`` keys of
-``ROWS`` minima each are independent fingerprints of a shingle set: a pair of similarity 0.8 shares none of them with
-probability (1 - 0.8^5)^25, about 5 in 100 000; more similar pairs are missed less often.  All other pairs that share a
-key are settled exactly, in two rounds: every member of a bucket against the bucket's smallest; then, in buckets that
-still hold several components, every pair from two of them.  A dense group is one component after the first round, so it
-never becomes all its pairs.
+A text's shingles are its distinct runs of five lower-cased words; its fingerprint is the SimHash of these.  Texts with
+the same words are merged first.  A pair of similarity 0.8 differs in 10 of 64 bits on average, too many for shards that
+are named by fingerprint bits (for 99 % of such pairs over 21-bit shards, a text would have to lie in 143 of them).  So
+shards are named by ``BANDS`` keys of ``ROWS`` shingle minima each: a pair of 0.8 shares none of them with probability
+(1 - 0.8^5)^25, about 5 in 100 000; more similar pairs are missed less often.
 
-Defined results: null, empty and white-space texts are one text; a text of fewer than five words is one shingle."""
+Inside a shard, links are sought in three rounds, each checked on the texts themselves: every member against the shard's
+smallest; then, in shards that still hold several components, a BK-tree of all members is searched by those outside
+the largest component, first for the nearest member of another component only, then for every one within ``RADIUS`` bits
+(wide enough for 99.9 % of the pairs of 0.8).  So a dense group never becomes all its pairs.
+
+Defined results: null, empty and white-space texts are one text; a text of fewer than five words is one shingle; of each
+group the smallest id stays, null ids last; rows without an id and rows that share one are told apart by their content;
+rows equal in every column count as one."""
 
 from __future__ import annotations
 
@@ -19,11 +25,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .simhash import cross_pairs
+from .wordnum import Words, grams
 
 WORDS = 5
 #: least similarity as a fraction
 LEAST = (4, 5)
 BANDS, ROWS = 25, 5
+RADIUS = 20
 CHUNK = 1 << 11
 
 _DRAWN = np.random.default_rng(42)
@@ -41,20 +50,25 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def band_keys(text: bytes) -> list[int]:
-    """``BANDS`` signed 64-bit keys; none for a text without words."""
-    w = text.lower().split()
-    if not w:
-        return []
-    n = max(1, len(w) - WORDS + 1)
-    digest = xxhash.xxh32_intdigest
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    for begin in range(0, n, CHUNK):
-        stop = min(n, begin + CHUNK)
-        h = np.fromiter((digest(b" ".join(w[i : i + WORDS]), 42) for i in range(begin, stop)), np.uint32, stop - begin)
-        np.minimum(least, (_TIMES[:, None] * h + _PLUS[:, None]).min(axis=1), out=least)
-    minima = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(minima)], np.uint64).view(np.int64).tolist()
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, list[list[int]]]:
+    """(signed fingerprints, ``BANDS`` signed keys each); a text without words has fingerprint zero and no keys."""
+    words = Words([t.lower() for t in texts])
+    h = words.hashes()
+    prints, keys = np.zeros(len(texts), np.int64), []
+    for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+        if a == b:
+            keys.append([])
+            continue
+        own = np.unique(grams(h[a:b], min(WORDS, b - a)))
+        ones = np.zeros(64, np.int64)
+        least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+        for begin in range(0, len(own), CHUNK):
+            some = own[begin : begin + CHUNK]
+            ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            np.minimum(least, (_TIMES[:, None] * (some >> np.uint64(32)).astype(np.uint32) + _PLUS[:, None]).min(axis=1), out=least)
+        prints[d] = np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0]
+        keys.append(np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist())
+    return prints, keys
 
 
 def _row(columns: list[str]) -> Column:
@@ -80,16 +94,12 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in two components and were not tested against the bucket's smallest."""
+def _open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the shards that hold several components; those outside the largest ask."""
     named = shared.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("c")).where("c > 1").select("band", "most")
-    some = common.cut(named.where("node <> least").join(mixed, "band"))
-    x = some.where("root <> most").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-    y = some.select("band", F.col("node").alias("y"), F.col("root").alias("ry"), "most")
-    pairs = x.join(y, "band").where("rx <> ry and (ry = most or x < y)")
-    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    return common.cut(named.join(mixed, "band").select(F.col("band").alias("shard"), "node", "fp", "root", (F.col("root") != F.col("most")).alias("asks")))
 
 
 def first_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,23 +111,26 @@ def first_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = common.as_bytes(batch.column(batch.schema.get_field_index("text")))
             node = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) for t in texts]
-            return [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([band_keys(t) for t in texts], pa.list_(pa.int64()))]
+            prints, keys = sketches(texts)
+            return [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
 
         return work
 
-    state, name = common.annotate(keyed, make, "node bigint, bands array<bigint>", ["doc_id", "_row"], ["text"])
+    state, name = common.annotate(keyed, make, "node bigint, fp bigint, bands array<bigint>", ["doc_id", "_row"], ["text"])
     s = F.col(name)
     rank = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_row")
-    nodes = common.cut(state.groupBy(s["node"].alias("node")).agg(F.min(rank).alias("best"), F.first(s["bands"]).alias("bands")))
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = common.cut(state.groupBy(s["node"].alias("node")).agg(F.min(rank).alias("best"), F.first(s["fp"]).alias("fp"), F.first(s["bands"]).alias("bands")))
+    members = nodes.select("node", "fp", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top").select("band", "least")
     shared = common.cut(members.join(buckets, "band"))
     whole = keyed.groupBy("_row").agg(F.min(F.struct(*columns)).alias("r"))
     asked = nodes.join(shared.select("node").distinct(), "node").select(F.col("best._row").alias("_row"), "node")
     texts = common.cut(keyed.select("_row", "text").join(asked, "_row").groupBy("_row").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
     near = common.cut(_alike(shared.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), texts))
-    more = _alike(_open_pairs(shared, components(near)), texts)
-    roots = components(near.unionByName(more))
+    for nearest in (True, False):
+        pairs = cross_pairs(_open_members(shared, components(near)), RADIUS, nearest)
+        near = common.cut(near.unionByName(_alike(pairs, texts)))
+    roots = components(near)
     rooted = nodes.select("node", "best").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     chosen = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
     return whole.join(chosen, "_row", "left_semi").select("r.*")

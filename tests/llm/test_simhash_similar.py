@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from partloom.llm import neardup
+from partloom.llm import simhash_similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,7 +36,7 @@ def test_near_copies_go(spark):
         chain.append(changed(r, chain[-1], 4))
     docs += [(n + i, " ".join(w)) for i, w in enumerate(chain)]
     docs += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a c")]
-    want = sorted(d for d, c in neardup.brute_force(docs) if d == c)
+    want = sorted(d for d, c in simhash_similar.brute_force(docs) if d == c)
     got = left(spark, [(d, t, "en", "s", 1) for d, t in docs])
     assert sorted(x.doc_id for x in got) == want and 1 not in want and 201 not in want and 203 not in want
     assert {10, 13} & set(want) == set() and {22, 23} <= set(want)
@@ -48,14 +48,16 @@ def test_most_pairs_of_the_least_similarity_share_a_band():
         base = prose(r, 450)
         other = changed(r, base, 9)
         a, b = " ".join(base).encode(), " ".join(other).encode()
-        assert neardup.alike(neardup.shingles(a), neardup.shingles(b))
-        assert set(neardup.band_keys(a)) & set(neardup.band_keys(b))
+        prints, _ = simhash_similar.sketches([a, b])
+        assert bin(int(prints[0] ^ prints[1]) & ((1 << 64) - 1)).count("1") <= simhash_similar.RADIUS
+        assert simhash_similar.alike(simhash_similar.shingles(a), simhash_similar.shingles(b))
+        assert set(simhash_similar.sketches([a])[1][0]) & set(simhash_similar.sketches([b])[1][0])
 
 
 def test_documents(spark):
     """Among them 177, which is alike to an earlier text but more than four SimHash bits away."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*P.COLUMNS)
-    want = sorted(d for d, c in neardup.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d == c)
+    want = sorted(d for d, c in simhash_similar.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()]) if d == c)
     assert sorted(x.doc_id for x in P.near_dedup(spark, docs, "").collect()) == want and 177 not in want
 
 
