@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.llm import common, decontaminate, neardup, packing, quality, substring_dedup
+from partloom.llm import common, decontaminate, simhash_similar, packing, quality, substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, Jaccard 0.8 or more) stays: its smallest id."""
-    return neardup.first_of_each(docs, COLUMNS)
+    """One document of each near-duplicate group (SimHash on five-word shingles, Jaccard 0.8 or more) stays: its smallest id."""
+    return simhash_similar.first_of_each(docs, COLUMNS)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
