@@ -7,11 +7,12 @@ and compared across documents, so that overlapping equal windows make up the max
 a window that also starts in a document of a smaller id is removed.  Each step is one exchange of ``rounds``: batches
 send distinct keys, buckets answer, and nothing gathers the places of a frequent passage in one task.
 
-Anchors are compared on at least 38 bits, which can only add candidates; windows on 64 + 32 independent bits.
+Anchors are compared on at least 38 bits, which can only add candidates; windows on 64 bits of one word hash and 32 of
+another, independent one.
 
 Defined results: null and empty texts have no words; a document of fewer than ``WINDOW`` words loses nothing; windows are
-judged on the input; rows with the same ``doc_id`` count as one document and never remove each other's words; other
-columns pass through in ``keep``."""
+judged on the input; rows with the same ``doc_id`` (an integer) count as one document and never remove each other's words,
+and so do rows without an id, which come after all others; other columns pass through in ``keep``, whatever their names."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,12 +31,13 @@ from .wordnum import Words, covered, grams, member
 
 WINDOW = 13
 PART = 2 << 20
+NO_ID = (1 << 63) - 1
 
 
 def _parts(table: pa.Table):
     """(ids, Words, rows) of about 2 MB of text each."""
     for batch in unpacked(table, "_text", PART):
-        yield batch.column("_id").to_numpy(), Words(common.as_bytes(batch.column("_text"))), batch
+        yield pc.fill_null(batch.column("_id"), NO_ID).to_numpy(), Words(common.as_bytes(batch.column("_text"))), batch
 
 
 def _valid(words: Words, n: int) -> np.ndarray:
@@ -45,15 +48,29 @@ def _valid(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(m) + n <= words.last()[:m])
 
 
-def _second(words_hash: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """Independent 32-bit check of the windows at ``at``."""
+def _second(words: Words, n: int, at: np.ndarray) -> np.ndarray:
+    """32 bits of the windows at ``at``, from word hashes of the other family."""
+    if not len(at):
+        return np.empty(0, np.uint32)
+    h = words.hashes(1)
     total = np.zeros(len(at), np.uint64)
     for j in range(n):
-        total = (total + (words_hash[at + j] >> np.uint64(17))) * np.uint64(0xDA942042E4DD58B5)
+        total = (total + h[at + j]) * np.uint64(0xDA942042E4DD58B5)
         total ^= total >> np.uint64(29)
     return (total >> np.uint64(32)).astype(np.uint32)
 
 
+def _runs(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of the maximal runs of marked words; places count from their text's first word."""
+    edge = np.concatenate(([False], mask, [False]))
+    begin, end = np.flatnonzero(~edge[:-1] & edge[1:]), np.flatnonzero(edge[:-1] & ~edge[1:])
+    cuts = first[1:-1]  # a run does not go on into the next text
+    inner = cuts[mask[np.minimum(cuts, len(mask) - 1)] & mask[np.maximum(cuts, 1) - 1] & (cuts > 0) & (cuts < len(mask))] if len(mask) else cuts[:0]
+    begin, end = np.sort(np.concatenate((begin, np.unique(inner)))), np.sort(np.concatenate((end, np.unique(inner))))
+    text = np.searchsorted(first, begin, side="right") - 1
+    return text, begin - first[text], end - first[text]
+
+
 def _anchor_keys(ids: np.ndarray, words: Words, block: int):
     """(place, key, aligned) of every rolling block."""
     at = _valid(words, block)
@@ -69,16 +86,18 @@ def _low(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
     return (inside >> np.uint64(max(0, width.bit_length() - 30))).astype(np.uint32)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with _n_words, _n_removed and _kept (the words kept, joined by one space; null stays empty)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``keep`` columns and a struct column (its name is returned) of n_words, n_removed, starts and ends (word spans of the
+    removed passages) and kept (the words kept, joined by one space; null stays empty)."""
     keep = [doc_id] if keep is None else keep
+    name = common.free_name(keep)
     block = (window + 1) // 2
     buckets = batch_number(docs, text)
-    base = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("bigint"), F.lit((1 << 63) - 1)).alias("_id"), F.col(text).alias("_text"))
+    base = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     dealt = deal(base, buckets, "_id", "_text")
 
-    names = [*[f"k{i}" for i in range(len(keep))], "_n_words", "_n_removed", "_kept"]
-    kinds = [*to_arrow_schema(base.select(*[f"k{i}" for i in range(len(keep))]).schema).types, pa.int64(), pa.int64(), pa.string()]
+    names = [*[f"k{i}" for i in range(len(keep))], "n_words", "n_removed", "starts", "ends", "kept"]
+    kinds = [*to_arrow_schema(base.select(*[f"k{i}" for i in range(len(keep))]).schema).types, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
 
     def probe(table: pa.Table) -> pa.Table:
         """Distinct rolling-block keys with two flags: aligned somewhere, in two or more documents of this batch."""
@@ -140,7 +159,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             valid = valid[near[valid]]
             h = words.hashes() if len(valid) else np.empty(0, np.uint64)
             keys = grams(h, window)[valid] if len(valid) else np.empty(0, np.uint64)
-            yield ids, words, valid, keys, _second(h, window, valid) if len(valid) else np.empty(0, np.uint32)
+            yield ids, words, valid, keys, _second(words, window, valid)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         """Distinct candidate windows of the batch with the smallest and largest id they start in."""
@@ -192,11 +211,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             gone = np.zeros(len(words), bool)
             at = _valid(words, window)
             if len(key) and len(at):
-                h = words.hashes()
-                k = grams(h, window)[at]
+                k = grams(words.hashes(), window)[at]
                 found, place = member(k, key)
                 at, place = at[found], place[found]
-                c = _second(h, window, at)
+                c = _second(words, window, at)
                 owner = ids[words.doc_of()[at]]
                 ok = (check[place] == c) & (least[place] < owner)
                 if not single:  # two windows of one 64-bit key: look through the run
@@ -218,24 +236,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                     kept.append(b" ".join([own[i] for i in np.flatnonzero(~gone[a:b]).tolist()]))
             columns = [rows.column(f"k{i}") for i in range(len(keep))]
             text_out = pa.array(kept, pa.binary()).cast(pa.string())
-            tables.append(pa.table([*columns, pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), text_out], names=names))
+            of, begin, end = _runs(gone, words.first)
+            bounds = pa.array(np.searchsorted(of, np.arange(len(words.counts) + 1)), pa.int32())
+            spans = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (begin, end)]
+            tables.append(pa.table([*columns, pa.array(words.counts, pa.int64()), pa.array(lost, pa.int64()), *spans, text_out], names=names))
         return pa.concat_tables(tables)
 
     wire = "bucket int, batch int, data binary"
     groups = dealt.groupBy("batch")
-    asked = groups.applyInArrow(probe, wire)
-    answers = asked.groupBy("bucket").applyInArrow(match, wire)
-    windows = groups.cogroup(answers.groupBy("batch")).applyInArrow(extend, wire)
-    owners = windows.groupBy("bucket").applyInArrow(first_owner, wire)
+    asked = groups.applyInArrow(common.released(probe), wire)
+    answers = asked.groupBy("bucket").applyInArrow(common.released(match), wire)
+    windows = groups.cogroup(answers.groupBy("batch")).applyInArrow(common.released_pair(extend), wire)
+    owners = windows.groupBy("bucket").applyInArrow(common.released(first_owner), wire)
     kept = base.select(*[f"k{i}" for i in range(len(keep))]).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    out = groups.cogroup(owners.groupBy("batch")).applyInArrow(finish, f"{schema}, _n_words bigint, _n_removed bigint, _kept string")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "_n_words", "_n_removed", "_kept")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
+    out = groups.cogroup(owners.groupBy("batch")).applyInArrow(common.released_pair(finish), schema + "n_words bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, kept string")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.struct("n_words", "n_removed", "starts", "ends", "kept").alias(name)), name
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    found, name = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = F.col(name)
+    return found.select("doc_id", s["n_words"].alias("n_words"), s["n_removed"].alias("n_removed"), F.sha2(s["kept"].cast("binary"), 256).alias("kept_sha256"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str]]:

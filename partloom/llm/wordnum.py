@@ -32,8 +32,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=U))
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: two independent hash families: values of the bytes and the base of the polynomial
+_BYTE = _mix(np.arange(1, 257, dtype=U)), _mix(np.arange(1001, 1257, dtype=U))
+_BYTE_BASE, _WORD_BASE = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), 0xC2B2AE3D27D4EB4F
 
 #: white space words: everything but space and the controls 9 to 13
 SPACE = np.ones(256, bool)
@@ -70,7 +71,7 @@ class Words:
         """For each word, the index after its text's last word."""
         return np.repeat(self.first[1:], self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, family: int = 0) -> np.ndarray:
         """64-bit hash of every word, made in blocks so that one long text needs no more memory than many short."""
         out = np.empty(len(self.start), U)
         w = 0
@@ -78,9 +79,9 @@ class Words:
             to = max(w + 1, int(np.searchsorted(self.end, self.start[w] + BLOCK, side="right")))
             a, b = int(self.start[w]), int(self.end[to - 1])
             n = 1 << max(19, (b - a).bit_length())
-            up, down = _powers(_BYTE_BASE, n)
+            up, down = _powers(_BYTE_BASE[family], n)
             sums = np.zeros(b - a + 1, U)
-            np.cumsum(_BYTE[self.buf[a:b]] * up[: b - a], out=sums[1:])
+            np.cumsum(_BYTE[family][self.buf[a:b]] * up[: b - a], out=sums[1:])
             s = self.start[w:to] - a
             out[w:to] = _mix((sums[self.end[w:to] - a] - sums[s]) * down[s])
             w = to

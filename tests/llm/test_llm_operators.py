@@ -277,12 +277,30 @@ def test_toxicity_windows():
         assert covered == set(range(first[d], first[d] + counts[d])) and mine.any()
 
 
+def digest(found, name):
+    return found.select("doc_id", F.col(name)["n_words"], F.col(name)["n_removed"], F.sha2(F.col(name)["kept"].cast("binary"), 256))
+
+
 def test_substring(spark, frame, docs, nothing):
-    got = substring_dedup.remove_repeats(frame, keep=["doc_id", "batch", "rows"]).select("doc_id", "_n_words", "_n_removed", F.sha2("_kept", 256)).collect()
-    assert sorted(map(tuple, got)) == sorted(substring_dedup.brute_force(docs))
-    assert substring_dedup.remove_repeats(nothing).count() == 0
-    null_id = spark.createDataFrame([(None, docs[20][1]), (1, docs[20][1])], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r._n_removed > 0) for r in substring_dedup.remove_repeats(null_id).collect()) == [(False, False), (True, True)]
+    found, name = substring_dedup.remove_repeats(frame, keep=["doc_id", "batch", "rows", "found", "text"])
+    assert sorted(map(tuple, digest(found, name).collect())) == sorted(substring_dedup.brute_force(docs))
+    for r in found.collect():  # the spans are the removed passages
+        words = (r.text or "").replace("\x0b", " ").replace("\x0c", " ").split(" ") if r[name].n_removed else []
+        words = [w for w in " ".join(words).split() if w]
+        gone = {i for a, b in zip(r[name].starts, r[name].ends) for i in range(a, b)}
+        assert len(gone) == r[name].n_removed and (not gone or " ".join(w for i, w in enumerate(words) if i not in gone) == r[name].kept)
+    assert substring_dedup.remove_repeats(nothing)[0].count() == 0
+    null_id = spark.createDataFrame([(None, docs[20][1]), (None, docs[20][1]), (1, docs[20][1])], "doc_id long, text string")
+    found, name = substring_dedup.remove_repeats(null_id)
+    assert sorted((r.doc_id is None, r[name].n_removed > 0) for r in found.collect()) == [(False, False), (True, True), (True, True)]
+    null_id, name = substring_dedup.remove_repeats(null_id.where("doc_id is null"))
+    assert {r[name].n_removed for r in null_id.collect()} == {0}
+
+
+def test_runs_end_with_their_text():
+    of, begin, end = substring_dedup._runs(np.array([1, 1, 0, 1, 1, 1, 0, 1], bool), np.array([0, 2, 4, 4, 8]))
+    assert list(zip(of.tolist(), begin.tolist(), end.tolist())) == [(0, 0, 2), (1, 1, 2), (3, 0, 2), (3, 3, 4)]
+    assert [len(x) for x in substring_dedup._runs(np.empty(0, bool), np.array([0, 0, 0]))] == [0, 0, 0]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -291,7 +309,7 @@ def test_substring_random(spark, seed):
     few = WORDS[:3]
     pool = [text(r, 15, few) for _ in range(4)]
     rows = [(i, " ".join(r.choice([text(r, r.randint(1, 20), few), r.choice(pool)]) for _ in range(r.randint(0, 5)))) for i in range(60)]
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "_n_words", "_n_removed", F.sha2("_kept", 256))
+    got = digest(*substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
     assert sorted(map(tuple, got.collect())) == sorted(substring_dedup.brute_force(rows))
 
 
