@@ -28,9 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds too are cut out; documents with nothing left go."""
-    found = substring_dedup.remove_repeats(docs.select(*COLUMNS), keep=COLUMNS)
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(F.col("_kept"))
-    left = found.where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words"))).withColumn("text", text)
+    found, name = substring_dedup.remove_repeats(docs.select(*COLUMNS), keep=COLUMNS)
+    s = F.col(name)
+    text = F.when(s["n_removed"] == 0, F.col("text")).otherwise(s["kept"])
+    left = found.where((s["n_removed"] == 0) | (s["n_removed"] < s["n_words"])).withColumn("text", text)
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 
