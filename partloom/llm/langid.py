@@ -3,148 +3,129 @@
 For each language a byte context tree of orders 0 to ``ORDER`` is learned: the counts of the bytes that follow each
 context.  A byte seen in a context codes with c / (t + d), where t counts the context's bytes and d its distinct ones;
 otherwise the escape d / (t + d) leads to the next shorter context, and after the empty one to a uniform byte (method C,
-without exclusion).  The statistics are frozen after training, so the exact code length of a byte depends only on its
-context: the trees are laid out as one table of (longest known context, byte) -> bits for each language.  A text's
-language is the one with the shortest code; the score is the posterior of that language for even priors, with
-code lengths taken per byte and weighed as ``EVIDENCE`` bytes at most, so that long texts do not all score one.
+without exclusion).  The statistics are frozen after training, so the exact code length of a byte depends only on the
+``ORDER`` bytes before it: a batch looks up each distinct run of ``ORDER`` + 1 bytes once per language.  The trees are kept
+whole, as sorted arrays; bytes that no training text holds share one symbol, which changes no code length.  A text's
+language is the one with the shortest code; the score is the posterior of that language for even priors, with code
+lengths taken per byte and weighed as ``EVIDENCE`` bytes at most, so that long texts do not all score one.
 
 Training reads a bounded sample: about ``SAMPLE`` texts of each language, chosen by a hash of the id among texts of at
-most ``LONGEST`` bytes, and the ``CONTEXTS`` most frequent contexts.  Every text is scored whole.
+most ``LONGEST`` bytes, fewer of each if there are so many languages that ``TOTAL`` bytes could be exceeded.  So at most about
+``TOTAL`` bytes reach the driver, and the trees that are broadcast take at most 16 * (``ORDER`` + 1) bytes for each of them (a few
+megabytes in practice).  Every text is scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts when nothing was
 learned; ties go to the first language in order; repeated rows are judged one by one; other columns pass through."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .wordnum import member
 
 ORDER = 3
 SAMPLE = 200
-LONGEST = 1 << 20
-CONTEXTS = 1 << 14
+LONGEST, TOTAL = 1 << 16, 64 << 20
 EVIDENCE = 64
-CLASSES = 128
 PART = 1 << 20
 
 
-def sample(docs: DataFrame, label: str, usable: Column, per_class: int, longest: int) -> list[tuple[object, bytes]]:
-    """About ``per_class`` (label, text) of each label value: rows below a threshold of a hash of their id, set from
-    exact counts of the labels.  The result is bounded by the labels, ``per_class`` and ``longest``, and it does not
-    depend on partitioning."""
-    pool = docs.where(usable & F.col(label).isNotNull() & F.col("text").isNotNull())
+def sample(docs: DataFrame, label: str, usable: Column, per_class: int, longest: int, total: int = TOTAL) -> list[tuple[object, bytes]]:
+    """About ``per_class`` (label, text) of each label value, or as many as ``total`` bytes allow: rows below a threshold of a
+    hash of their id, set from exact counts of the usable texts.  It does not depend on partitioning."""
+    pool = docs.where(usable & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     counts = {r[label]: r["n"] for r in pool.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
+    each = min(per_class, total / longest / len(counts))
+    share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, each / n))])[F.col(label)]
     spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = pool.where((spot < share) & (F.octet_length("text") <= longest)).select("doc_id", label, "text").collect()
+    rows = pool.where(spot < share).select("doc_id", label, "text").collect()
     return [(r[label], r["text"].encode()) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))]
 
 
 class Trees:
-    """Frozen context trees of all languages as arrays."""
+    """Frozen context trees of all languages: for each order the sorted runs of a context and its next byte with their bits,
+    and the sorted contexts with the bits of their escape."""
 
-    def __init__(self, samples: list[tuple[str, bytes]], order: int = ORDER, contexts: int = CONTEXTS):
+    def __init__(self, samples: list[tuple[str, bytes]], order: int = ORDER):
+        self.order = order
         self.languages = sorted({lang for lang, _ in samples})
-        seen = Counter()
+        seen = np.zeros(256, bool)
         for _, t in samples:
-            seen.update(t.lower())
-        common_bytes = [b for b, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 1]]
-        self.symbol = np.zeros(256, np.uint8)  # class 0: any other byte
-        self.symbol[sorted(common_bytes)] = np.arange(1, len(common_bytes) + 1, dtype=np.uint8)
+            seen[np.frombuffer(t.lower(), np.uint8)] = True
+        # symbol 0 stands before the text, 1 is any byte never seen
+        self.symbol = np.where(seen, 1 + np.cumsum(seen), 1).astype(np.int64)
         upper = np.arange(65, 91)
         self.symbol[upper] = self.symbol[upper + 32]
-        counts = {lang: [Counter() for _ in range(order + 1)] for lang in self.languages}
-        for lang in self.languages:
-            text = np.concatenate([np.concatenate((np.zeros(order, np.int64), self.symbol[np.frombuffer(t, np.uint8)])) for l, t in samples if l == lang])
-            for k in range(order + 1):
-                key = np.zeros(len(text) - order, np.int64)
-                for j in range(order - k, order + 1):
-                    key = key * CLASSES + text[j : len(text) - order + j]
-                value, n = np.unique(key, return_counts=True)
-                counts[lang][k] = dict(zip(value.tolist(), n.tolist(), strict=True))
-        weight: Counter = Counter()
-        for lang in self.languages:
-            for k in range(1, order + 1):
-                for key, n in counts[lang][k].items():
-                    weight[k, key // CLASSES] += n
-        known = {c for c, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:contexts]}
-        states = [(0, 0), *sorted(c for c in known if all((j, c[1] % CLASSES**j) in known for j in range(1, c[0])))]
-        self.bits = np.zeros((len(states), CLASSES, len(self.languages)), np.float32)
-        number = {c: i for i, c in enumerate(states)}
-        other = math.log2(max(1, 256 - len(common_bytes)))
-        for l, lang in enumerate(self.languages):
-            after: dict[tuple[int, int], dict[int, int]] = {}
-            for k in range(order + 1):
-                for key, n in counts[lang][k].items():
-                    after.setdefault((k, key // CLASSES), {})[key % CLASSES] = n
-            base = np.full(CLASSES, 8.0)
-            base[0] = 8.0 - other
-            for c in states:
-                k, context = c
-                lower = base if k == 0 else self.bits[number[k - 1, context % CLASSES ** (k - 1)], :, l]
-                follow = after.get(c)
-                if not follow:
-                    self.bits[number[c], :, l] = lower
-                    continue
-                t, d = sum(follow.values()), len(follow)
-                row = lower + math.log2((t + d) / d)
-                row[list(follow)] = [math.log2((t + d) / n) for n in follow.values()]
-                self.bits[number[c], :, l] = row
-        self.bits[:, 0, :] += other
-        self.bits = self.bits.reshape(-1, len(self.languages))
-        # the longest known context of every run of ``order`` classes
-        self.order = order
-        self.state = np.zeros(CLASSES**order, np.uint16 if len(states) < 1 << 16 else np.uint32)
-        grid = self.state.reshape((CLASSES,) * order)
-        for (k, context), i in number.items():
-            if k:
-                at = tuple(context // CLASSES ** (k - 1 - j) % CLASSES for j in range(k))
-                grid[(..., *at)] = i  # shorter contexts come first, longer ones overwrite them
+        self.base = int(seen.sum()) + 2
+        if self.base ** (order + 1) >= 1 << 63:
+            raise ValueError("the order is too high for 64-bit keys")
+        self.levels = [self._levels([t for l, t in samples if l == lang]) for lang in self.languages]
+
+    def _levels(self, texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+        runs = np.concatenate([self.runs(self.symbol[np.frombuffer(t, np.uint8)]) for t in texts])
+        out = []
+        for k in range(self.order + 1):
+            keys, n = np.unique(runs % self.base ** (k + 1), return_counts=True)
+            context, lead = np.unique(keys // self.base, return_index=True)
+            if not len(keys):
+                out.append((keys, np.empty(0), keys, np.empty(0)))
+                continue
+            total, distinct = np.add.reduceat(n, lead), np.diff(np.concatenate((lead, [len(keys)])))
+            bits = np.log2(np.repeat(total + distinct, distinct) / n)
+            out.append((keys, bits, context, np.log2((total + distinct) / distinct)))
+        return out
+
+    def runs(self, s: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """For every byte, the symbols of the ``order`` bytes before it and its own as one number; ``first`` are the places where
+        texts begin."""
+        key = s.astype(np.int64)
+        first = np.zeros(1, np.int64) if first is None else first
+        for j in range(1, self.order + 1):
+            before = np.zeros_like(key)
+            before[j:] = s[:-j] if len(s) > j else 0
+            for i in range(j):
+                at = first + i
+                before[at[at < len(s)]] = 0
+            key += before * self.base**j
+        return key
+
+    def bits(self, runs: np.ndarray, language: int) -> np.ndarray:
+        """Code length of the last byte of each run."""
+        out = np.zeros(len(runs))
+        left = np.arange(len(runs))
+        for k in range(self.order, -1, -1):
+            keys, bits, contexts, escape = self.levels[language][k]
+            own = runs[left] % self.base ** (k + 1)
+            found, at = member(own, keys)
+            out[left[found]] += bits[at[found]]
+            left, own = left[~found], own[~found]
+            known, at = member(own // self.base, contexts)
+            out[left[known]] += escape[at[known]]
+        out[left] += 8
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language."""
         out = np.zeros((len(texts), len(self.languages)))
         for d0, group in _groups(texts):
             data = b"".join(group)
-            sizes = np.array([len(t) for t in group])
-            first = np.concatenate(([0], np.cumsum(sizes)))
+            first = np.concatenate(([0], np.cumsum([len(t) for t in group])))
             for a in range(0, len(data), PART):
-                b = min(len(data), a + PART)
-                lead = max(0, a - self.order)
-                s = self.symbol[np.frombuffer(data, np.uint8, b - lead, lead)].astype(np.int32)
-                context = np.zeros(b - a, np.int32)
-                begin = np.searchsorted(first, a, side="right") - 1
-                edges = first[begin : np.searchsorted(first, b)]
-                for j in range(self.order, 0, -1):  # the byte j places back, class 0 before the text
-                    back = np.zeros(b - a, np.int32)
-                    have = min(b - a, b - j - lead)
-                    from_ = a - lead - j
-                    if from_ >= 0:
-                        back[:] = s[from_ : from_ + b - a]
-                    else:
-                        back[-from_:] = s[: b - a + from_]
-                    for e in edges:
-                        lo, hi = max(e, a) - a, min(e + j, b) - a
-                        if hi > lo:
-                            back[lo:hi] = 0
-                    context = context * CLASSES + back
-                cell = self.state[context].astype(np.int32) * CLASSES + s[a - lead :]
-                starts = np.maximum(first[begin : np.searchsorted(first, b)], a) - a
-                docs = np.arange(begin, begin + len(starts))
-                some = np.diff(np.concatenate((starts, [b - a]))) > 0
+                b, lead = min(len(data), a + PART), max(0, a - self.order)
+                begins = first[:-1][(first[:-1] >= lead) & (first[:-1] < b) & (first[1:] > first[:-1])] - lead
+                runs = self.runs(self.symbol[np.frombuffer(data, np.uint8, b - lead, lead)], begins)[a - lead :]
+                distinct, back = np.unique(runs, return_inverse=True)
+                starts = np.unique(np.concatenate(([0], begins + lead - a)))
+                starts = starts[starts >= 0]
+                docs = np.searchsorted(first, starts + a, side="right") - 1
                 for l in range(len(self.languages)):
-                    out[d0 + docs[some], l] += np.add.reduceat(self.bits[cell, l], starts[some], dtype=np.float64)
+                    out[d0 + docs, l] += np.add.reduceat(self.bits(distinct, l)[back], starts)
         return out
 
 

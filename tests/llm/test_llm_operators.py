@@ -139,36 +139,35 @@ def test_line_rules(spark, body, kept):
     assert quality.judge(spark.createDataFrame([(body,)], "text string")).first()["_q_kept"] is kept
 
 
-def test_langid(spark, frame, docs, nothing):
+def test_langid(spark, frame, docs, nothing, monkeypatch):
     samples = [("en", b"the cat sat on the mat and the dog ran to the house " * 20), ("de", "der Hund und die Katze sind in dem Haus über dem Fluß ".encode() * 20)]
     trees = langid.Trees(samples)
-    # exact code lengths against the recursive definition
+    # exact code lengths against the recursive definition on bytes
+    low = lambda data: [None] * trees.order + list(data.lower())
     def bits(lang, data):
         counts = collections.defaultdict(collections.Counter)
-        cls = lambda b: int(trees.symbol[b])
         for l, t in samples:
             if l == lang:
-                s = [0] * trees.order + [cls(b) for b in t]
+                s = low(t)
                 for i in range(trees.order, len(s)):
                     for k in range(trees.order + 1):
                         counts[tuple(s[i - k : i])][s[i]] += 1
-        n_other = 256 - len([b for b in range(256) if trees.symbol[b] and not 65 <= b <= 90])
         def cost(ctx, x):
             c = counts.get(ctx)
-            if c:
-                t, d = sum(c.values()), len(c)
-                if x in c:
-                    return math.log2((t + d) / c[x])
-                return math.log2((t + d) / d) + (cost(ctx[1:], x) if ctx else base(x))
-            return cost(ctx[1:], x) if ctx else base(x)
-        base = lambda x: 8.0 - (math.log2(n_other) if x == 0 else 0)
-        s = [0] * trees.order + [cls(b) for b in data]
-        return sum(cost(tuple(s[i - trees.order : i]), s[i]) + (math.log2(n_other) if s[i] == 0 else 0) for i in range(trees.order, len(s)))
-    texts = [b"the house", "über \x01 Zz9".encode(), b"", b"q" * 50]
-    got = trees.code_lengths(texts)
-    for i, t in enumerate(texts):
-        for j, lang in enumerate(trees.languages):
-            assert got[i, j] == pytest.approx(bits(lang, t), rel=1e-5, abs=1e-3)
+            shorter = lambda: cost(ctx[1:], x) if ctx else 8.0
+            if not c:
+                return shorter()
+            t, d = sum(c.values()), len(c)
+            return math.log2((t + d) / c[x]) if x in c else math.log2((t + d) / d) + shorter()
+        s = low(data)
+        return sum(cost(tuple(s[i - trees.order : i]), s[i]) for i in range(trees.order, len(s)))
+    texts = [b"the house", "über \x01 Zz9 \x02 haus".encode(), b"", b"q" * 50, b"t", b"th", b"the cat " * 40]
+    for part in (langid.PART, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        got = trees.code_lengths(texts)
+        for i, t in enumerate(texts):
+            for j, lang in enumerate(trees.languages):
+                assert got[i, j] == pytest.approx(bits(lang, t), rel=1e-9)
     state, name = langid.identify(frame, trees, ["doc_id", "found"])
     out = {r.doc_id: r[name] for r in state.collect()}
     assert state.count() == len(docs) and out[100].lang == "und" and out[101].score == 0 and out[105].lang == "und" and all(0 <= x.score <= 1 for x in out.values())
