@@ -5,12 +5,17 @@ unseen forms still have an input.  A text is read in windows of ``WINDOW`` words
 of the network run over each window, attention pools their states and a linear layer gives the window's score.  A text
 scores as its worst window, through a logistic calibration.
 
+The network's size is fixed by parameters: vectors of ``DIM``, states of ``HIDDEN`` numbers a direction, ``GRAMS`` hashed
+grams, and word vectors for the ``VOCABULARY`` words that most training texts hold (at least two; other words are read by
+their grams alone).
+
 Training reads a bounded sample: about ``SAMPLE`` labelled texts of each class, chosen by a hash of the id among texts
-of at most ``LONGEST`` bytes.  Only whole texts have labels, so a toxic text's windows are at first all taken as toxic and
+of at most ``LONGEST`` bytes, one text for an id.  Only whole texts have labels, so a toxic text's windows are at first all taken as toxic and
 later its worst windows only.  Every text is scored whole: all of its windows.
 
 Defined results: null, empty and white-space texts have one empty window and get that window's score; without labels
-of both classes every score is 0; ties and repeated rows are scored one by one; other columns pass through in ``keep``."""
+of both classes every score is 0; labels other than 0 and 1 are not learnt from, an id with both counts as 1; ties and
+repeated rows are scored one by one; other columns pass through in ``keep``."""
 
 from __future__ import annotations
 
@@ -280,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Train on labelled documents, one label per id, outside the held-out fold.  The sample is drawn from the labels alone;
     its ids (bounded by ``per_class``) then filter the documents' scan, so no text is shuffled."""
     held = F.coalesce(common.crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
-    told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max(label).alias("label"))
+    told = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max(label).alias("label"))
     counts = {r["label"]: r["n"] for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -289,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
     spot = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = {r["doc_id"]: r["label"] for r in told.where(spot < share).collect()}
-    texts = docs.where(F.col("doc_id").isin(sorted(drawn)) & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).select("doc_id", "text").collect()
+    texts = docs.where(F.col("doc_id").isin(sorted(drawn)) & F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return train([(drawn[r["doc_id"]], r["text"].encode()) for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"]))])
 
 

@@ -285,6 +285,67 @@ def test_toxicity(spark, frame, docs, nothing):
     assert toxicity.score(nothing, net)[0].count() == 0 and toxicity.train(rows[:60]) is None and {r[1]["score"] for r in toxicity.score(frame, None)[0].collect()} == {0.0}
 
 
+def plain_logit(net, words):
+    """One window, word by word, by the definition."""
+    def gram(g):
+        n = int.from_bytes(g, "little")
+        h = n * 2654435761 if len(g) == 3 else n * 2246822519 + 1
+        return (h % (1 << 32)) >> (32 - toxicity.GRAMS.bit_length() + 1)
+
+    xs = []
+    for w in words:
+        b = b"<" + w + b">"
+        grams = [gram(b[i : i + n]) for n in (3, 4) for i in range(len(b) - n + 1)]
+        own = wordnum.Words([w]).hashes()[0]
+        row = int(np.searchsorted(net.known, own)) + 1 if own in net.known else 0
+        xs.append(net.p["word"][row] + np.mean(net.p["gram"][grams], axis=0))
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    states = []
+    for way in "fb":
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs if way == "f" else xs[::-1]:
+            a, b = x @ net.p[f"{way}x"] + net.p[f"{way}c"], h @ net.p[f"{way}h"]
+            ra, za, na = np.split(a, 3)
+            rb, zb, nb = np.split(b, 3)
+            z = sig(za + zb)
+            h = z * h + (1 - z) * np.tanh(na + sig(ra + rb) * nb)
+            out.append(h)
+        states.append(out if way == "f" else out[::-1])
+    s = np.array([np.concatenate(x) for x in zip(*states)])
+    e = np.tanh(s @ net.p["attend"]) @ net.p["pick"]
+    a = np.exp(e - e.max())
+    return float((a / a.sum()) @ s @ net.p["out"] + net.p["bias"][0])
+
+
+def test_toxicity_forward_pass():
+    r = random.Random(6)
+    body = text(r, 130, ["alpha", "be", "c", "über", "delta-long-word", "x1"])
+    words = wordnum.Words([body.encode(), b"", b"one"])
+    net = toxicity.Network(np.sort(wordnum.Words([b"alpha be"]).hashes()))
+    logits, doc = net.window_logits(words)
+    begin, size, _ = toxicity.windows(words.counts, words.first)
+    for b, n, logit in zip(begin.tolist(), size.tolist(), logits.tolist()):
+        if n:
+            assert logit == pytest.approx(plain_logit(net, [words.word(i) for i in range(b, b + n)]), abs=2e-5)
+    worst = [max(logits[doc == d].tolist()) for d in range(3)]
+    assert net.scores([body.encode(), b"", b"one"]) == pytest.approx(toxicity.sigmoid(np.array(worst)), abs=1e-6)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op8_toxicity(spark, sf).where("held_out").join(common.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").collect()
+    bad, clean = ([r for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(bad) >= 20 and sum(r.predicted for r in bad) >= 0.9 * len(bad) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+
+
+def test_toxicity_labels(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(9)] + [(1, "other"), (None, "x")], "doc_id long, text string")
+    assert toxicity.fit(docs, spark.createDataFrame([(i, 2) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")) is None
+    both = spark.createDataFrame([(i, i % 2) for i in range(9)] * 2 + [(1, 0)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, both)
+    assert net is not None and 0 <= net.scores([b""])[0] <= 1
+
+
 def test_toxicity_windows():
     counts, first = np.array([0, 1, 48, 49, 200]), np.array([0, 0, 1, 49, 98, 298])
     begin, size, doc = toxicity.windows(counts, first)
