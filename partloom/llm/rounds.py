@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .common import slices, text_bytes
 
 
-def batch_number(docs: DataFrame, text: str = "text", unit: int = 64 << 10, most: int = 32 << 20) -> int:
+def batch_number(docs: DataFrame, text: str = "text", unit: int = 32 << 10, most: int = 32 << 20) -> int:
     """Batches grow with the square root of the input, so that the messages between n batches and n buckets stay a
-    fixed share of it, up to ``most`` bytes of text in a batch, which bounds a task's memory.  Beyond that (256 times
-    ``most``^2 / ``unit``, 16 TB) messages carry fewer keys each, never more messages than keys."""
+    fixed share of it, up to ``most`` bytes of text in a batch, which bounds a task's memory.  Beyond that (``most``^2 / ``unit``,
+    32 GB of text) messages carry fewer keys each, never more messages than keys."""
     size = text_bytes(docs, text)
     return max(4, math.ceil(math.sqrt(size / unit)), math.ceil(size / most))
 
@@ -90,11 +90,11 @@ def from_planes(data: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-KEY_BYTES = 6
+KEY_BYTES = 5
 
 
 def short_planes(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
-    """``planes`` of 48 bits of each key inside its bucket's range; with the bucket's number they name a key on 48 bits
+    """``planes`` of 40 bits of each key inside its bucket's range; with the bucket's number they name a key on 40 bits
     and one more for each doubling of the buckets."""
     width = (1 << 64) // buckets + 1
     inside = keys - np.uint64((bucket * width) & ((1 << 64) - 1))
