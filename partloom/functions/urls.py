@@ -63,12 +63,12 @@ def is_dealer(url: Column | str) -> Column:
     return (host(url) != "") & (F.contains(p, F.lit("/appliances/")) | F.regexp_replace(p, "/+$", "").endswith("/appliances") | has_label(url, ["appliance", "appliances"]))
 
 
-def is_blocked(url: Column | str) -> Column:
-    return (text(url) != "") & (is_noise(url) | is_dealer(url))
+def is_blocked(url: Column | str, shopping: list[str] = SHOPPING, noise: list[str] = NOISE) -> Column:
+    return (text(url) != "") & (is_noise(url, shopping, noise) | is_dealer(url))
 
 
-def is_distributor(url: Column | str, names: list[str] = DISTRIBUTOR) -> Column:
-    return (host(url) != "") & ~is_blocked(url) & has_label(url, names)
+def is_distributor(url: Column | str, names: list[str] = DISTRIBUTOR, shopping: list[str] = SHOPPING, noise: list[str] = NOISE) -> Column:
+    return (host(url) != "") & ~is_blocked(url, shopping, noise) & has_label(url, names)
 
 
 def is_search(url: Column | str) -> Column:

@@ -36,14 +36,11 @@ def once_per_key(events: DataFrame, key: str, ttl: str = "30 days", time: str =
 
 def table_merge(spark: SparkSession, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that merges each micro-batch into a state table kept as numbered Parquet versions; a batch
-    that is delivered again writes the same version from the same predecessor."""
+    that is delivered again writes the same version from the same predecessor.  Only batch 0 begins without a state: if an
+    earlier version cannot be read, the batch fails rather than begin anew."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        try:
-            state = spark.read.schema(schema).parquet(f"{path}/v{number - 1}")
-            state.limit(0).count()
-        except Exception:  # noqa: BLE001  the first version has no predecessor
-            state = spark.createDataFrame([], schema)
+        state = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(f"{path}/v{number - 1}")
         merge(state, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return sink

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from partloom.dims import Dims
@@ -22,11 +23,27 @@ def test_text_rows(spark):
 
 def test_dictionaries(spark, tmp_path):
     (tmp_path / "aliases.json").write_text('{"Foo": "Trex"}')
-    (tmp_path / "hints.json").write_text("not json")
     d = Dims.load(spark, str(tmp_path))
     assert d.aliases == {"Foo": "Trex"} and d.hints == Dims().hints and len(d.effective_leaves()) == 16
 
 
+@pytest.mark.parametrize("body", ["not json", "[1]", ""])
+def test_a_broken_dictionary_is_no_missing_one(spark, tmp_path, body):
+    (tmp_path / "hints.json").write_text(body)
+    with pytest.raises(ValueError):
+        Dims.load(spark, str(tmp_path))
+
+
+def test_state_that_cannot_be_read_stops_the_stream(spark, tmp_path):
+    sink = jobs.dead_path_sink(spark, str(tmp_path))
+    batch = spark.createDataFrame([("https://a.com/{mpn}", False)], "template string, ok boolean")
+    sink(batch, 0)
+    sink(batch, 1)
+    assert spark.read.parquet(f"{tmp_path}/v1").first().miss == 2
+    with pytest.raises(Exception):  # noqa: B017
+        sink(batch, 7)
+
+
 def test_cache_freshness(spark):
     rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "k string, v string").withColumn("content_hash", tables.content_hash(["k", "v"]))
     now = F.lit("2024-03-01 00:00:00").cast("timestamp")
