@@ -110,9 +110,11 @@ def contains_word(haystack: Column, needle: Column) -> Column:
 
 
 def asset_prefix(brand: Column | str) -> Column:
-    """Brand as a file-name prefix: alphanumeric parts, first letters upper, joined by ``_``."""
-    parts = F.regexp_extract_all(bare_brand(brand), F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "_")
+    """Brand as a file-name prefix: alphanumeric parts, first letters upper, joined by ``_``; two brands have a fixed one."""
+    bare = bare_brand(brand)
+    parts = F.regexp_extract_all(bare, F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
+    made = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "_")
+    return F.when(F.lower(bare) == "whirlpool", F.lit("Whirlpool")).when(F.upper(bare) == "FRIGIDAIRE", F.lit("FRIGIDAIRE")).when(F.size(parts) == 0, F.lit("PRODUCT")).otherwise(made)
 
 
 def file_key(x: Column | str) -> Column:
@@ -144,20 +146,17 @@ def page_text(x: Column | str) -> Column:
     return F.regexp_replace(visible(unescape(x)), BLANKS, " ")
 
 
-def pad_mobile(core: Column, mpn: Column, brand: Column, manufacturer: Column) -> Column:
-    """Comma-join with fillers until 60 characters, never over 80."""
+def pad_mobile(core: Column, mpn: Column, brand: Column, manufacturer: Column, minimum: int = 60) -> Column:
+    """Comma-join, with fillers that are not in it yet and then with the part number and ``Spec`` until ``minimum`` characters;
+    never over 80."""
+    short = lambda a: F.length(a) < minimum
+    fillers = F.array(manufacturer, F.trim(F.translate(brand, "®™", "")), mpn, F.lit("Industrial Product"))
     start = F.substring(F.array_join(F.filter(F.transform(F.split(core, ","), lambda p: F.trim(p)), lambda p: p != ""), ", "), 1, 80)
-    fillers = F.filter(F.array(manufacturer, F.translate(brand, "®™", ""), mpn, F.lit("Industrial Product")), lambda p: p != "")
-
-    def add(a: Column, p: Column) -> Column:
-        grown = F.concat_ws(", ", a, p)
-        return F.when((F.length(a) >= 60) | F.contains(F.lower(a), F.lower(p)), a).otherwise(F.when(F.length(grown) <= 80, grown).otherwise(a))
-
-    padded = F.aggregate(fillers, start, add)
-    last = F.when(mpn == "", F.lit("Spec")).otherwise(mpn)
+    filled = F.aggregate(fillers, start, lambda a, p: F.when(short(a) & (p != "") & ~F.contains(a, p), F.btrim(F.concat(a, F.lit(", "), p), F.lit(", "))).otherwise(a))
 
     def more(a: Column, _: Column) -> Column:
-        grown = F.concat_ws(", ", a, last)
-        return F.when(F.length(a) >= 60, a).otherwise(F.when(F.length(grown) <= 80, grown).otherwise(F.when(F.length(a) < 78, F.concat(a, F.lit(", Spec"))).otherwise(a)))
+        grown = F.concat(a, F.lit(", "), mpn)
+        return F.when(~short(a), a).when(~short(grown), grown).otherwise(F.concat(grown, F.lit(", Spec")))
 
-    return F.substring(F.aggregate(F.sequence(F.lit(1), F.lit(12)), padded, more), 1, 80)
+    # every round adds eight characters at least
+    return F.substring(F.aggregate(F.sequence(F.lit(1), F.lit(-(-minimum // 8))), filled, more), 1, 80)

@@ -268,3 +268,31 @@ def comparable(value: Column | str, uom: Column | str = "") -> Column:
 
 def equivalent(a: Column, b: Column, uom: Column) -> Column:
     return let(comparable(a, uom), lambda x: (x != "") & (x == comparable(b, uom)))
+
+
+def product_size_ok(x: Column | str) -> Column:
+    """A size of a product, not the pixels of a page: with a unit or an ``x``, or a bare number from 8 to 96."""
+    t = strip(x)
+    number = F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), r"^(\d+(?:\.\d+)?)$", 1)
+    return (t != "") & (t.rlike(r'(?i)in|inch|"|\bx\b') | (number == "") | F.coalesce(number.try_cast("double").between(8, 96), F.lit(False)))
+
+
+def needles(value: Column | str, uom: Column | str) -> Column:
+    """Distinct surface forms under which a page may give a measurement, in order; none for values under two characters."""
+    from .text import unescape
+
+    raw = strip(unescape(value))
+    told = F.struct(raw.alias("raw"), F.lower(raw).alias("low"), F.lower(text(uom)).alias("u"), comparable(raw, uom).alias("n"))
+
+    def forms(x: Column) -> Column:
+        bare = F.btrim(x["low"], F.lit(" \"'"))
+        inches = x["u"].isin("in", "inch", "inches")
+        own = F.array(x["low"], bare, F.when(x["u"] != "", F.concat(bare, F.lit(" "), x["u"])))
+        more = [F.when(inches, F.concat(bare, F.lit(t))) for t in ('"', "-inch", " inch", " in")]
+        new = (x["n"] != "") & ~F.array_contains(F.array(x["low"], bare), x["n"])
+        tail = [F.when(new, x["n"]), *[F.when(new & (inches | x["raw"].endswith('"')), F.concat(x["n"], F.lit(t))) for t in ('"', " in", "-inch")]]
+        every = F.filter(F.concat(own, F.array(*more, *tail)), lambda p: p.isNotNull() & (p != ""))
+        low = F.transform(every, lambda p: F.lower(p))
+        return F.when(F.length(x["raw"]) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.filter(F.transform(every, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda e: F.array_position(low, F.lower(e["p"])) == e["i"] + 1), lambda e: e["p"]))
+
+    return let(told, forms)

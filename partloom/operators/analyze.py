@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import ABBREVIATIONS
 from ..functions import mpn
-from ..functions.text import BLANKS, clean_brand, strip, text
+from ..functions.text import BLANKS, clean_brand, literal, strip, text
 
 INPUT = ["Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf"]
 
@@ -23,7 +23,8 @@ def ordered_abbreviations(table: dict[str, str]) -> list[tuple[str, str]]:
 
 def expand(x: Column, table: dict[str, str] = ABBREVIATIONS) -> Column:
     """``struct(text, found)``: each abbreviation in turn, longest first, over the text the earlier ones left."""
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(k.upper()).alias("u"), F.lit(rf"(?i)\b\Q{k}\E\b").alias("p")) for k, v in ordered_abbreviations(table)])
+    one = lambda k, v: f"named_struct('k', {literal(k)}, 'v', {literal(v)}, 'u', {literal(k.upper())}, 'p', {literal(rf'(?i){chr(92)}b{chr(92)}Q{k}{chr(92)}E{chr(92)}b')})"
+    entries = F.expr(f"array({', '.join(one(k, v) for k, v in ordered_abbreviations(table))})")
     start = F.struct(x.alias("text"), F.array().cast("array<string>").alias("found"))
 
     def step(a: Column, e: Column) -> Column:

@@ -55,6 +55,14 @@ def fold(items: Column) -> Column:
     return F.aggregate(F.filter(items, lambda x: (x["value"] != "") & (x["field"] != "")), F.array().cast(f"array<{ITEM}>"), step)
 
 
+def best(items: Column) -> Column:
+    """``fold`` for items that all come from the row itself: no citation can move, so of each field the most confident item
+    stays, the first of equals, where it stood.  One pass of comparisons instead of a fold."""
+    known = F.transform(F.filter(items, lambda x: (x["value"] != "") & (x["field"] != "")), lambda x, i: F.struct(F.lower(x["field"]).alias("k"), x["confidence"].alias("c"), i.alias("i"), x.alias("x")))
+    beats = lambda y, x: (y["k"] == x["k"]) & ((y["c"] > x["c"]) | ((y["c"] == x["c"]) & (y["i"] < x["i"])))
+    return let(known, lambda every: F.transform(F.filter(every, lambda x: ~F.exists(every, lambda y: beats(y, x))), lambda x: x["x"]))
+
+
 def merge(evidence: DataFrame, key: str = "row_id", order: str = "ord") -> DataFrame:
     """Long evidence ``(key, order, item columns)`` -> one row per key with the folded ``items``.  A product has a
     bounded number of items (80 pairs a page, a handful of pages), so a key's items fit one row."""

@@ -84,6 +84,17 @@ def candidate_urls(rows: DataFrame, templates: DataFrame, mpn: str = "mpn", doma
     return made.groupBy(mpn, urls.fingerprint("url").alias("fingerprint")).agg(F.max_by(F.struct("url", "score"), F.struct("score", F.col("url"))).alias("s")).select(mpn, "s.url", "s.score")
 
 
+def best_mfr_url(rows: DataFrame, known: DataFrame, templates: DataFrame, key: str = "row_id") -> DataFrame:
+    """``rows(key, mpn, domains)`` -> ``(key, url)``: the best known url of the part on its maker's domains, else the best
+    candidate of the domains' templates; pages that sell or search, and PDFs, are none."""
+    page = ~urls.is_blocked("url") & ~urls.is_distributor("url") & ~urls.is_search("url") & ~F.lower("url").endswith(".pdf")
+    filed = rows.join(lookup_known(rows, known), "mpn").where(page & ((F.size("domains") == 0) | urls.on_domains("url", F.col("domains"))))
+    first = filed.groupBy(key).agg(F.max_by("url", F.struct(urls.keep_score("url").alias("s"), -F.col("key_rank"), -F.col("ord"), "url")).alias("filed"))
+    asked = rows.select("mpn", F.explode("domains").alias("domain")).distinct()
+    guess = candidate_urls(asked, templates).where(~urls.is_search("url") & ~F.lower("url").endswith(".pdf")).groupBy("mpn").agg(F.max_by("url", F.struct("score", "url")).alias("guess"))
+    return rows.select(key, "mpn").join(first, key, "left").join(guess, "mpn", "left").select(key, F.coalesce("filed", "guess", F.lit("")).alias("url"))
+
+
 def storefronts(items: DataFrame, chrome: DataFrame) -> DataFrame:
     """Hosts that sell but describe nothing: no useful item, and page chrome once or junk items twice.
     ``items(host, kind)`` with kind useful/junk, ``chrome(host, n)``."""

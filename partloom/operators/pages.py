@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -445,3 +445,40 @@ def page_evidence(pages: DataFrame, key: str = "page_id", url: str = "url", html
     met = base.join(pairs, key, "left")
     more = F.transform(F.coalesce("_pairs", F.array().cast("array<struct<ord:int,label:string,value:string>>")), lambda p: pair_items(p["label"], p["value"], F.col(url)))
     return met.select(key, url, fold(F.concat("_specs", more)).alias("items"), "approvals", "warranty", "marketing")
+
+
+#: fixed values: words of specification pages, two points each, and tokens, one point each
+SPEC_WORDS = ["specification", "electrical", "dimensions", "product data", "technical", "ratings"]
+SPEC_TOKENS = ["120 v", "voltage", "amperage", "dba", "inches", "in.", "mounting"]
+
+
+def spec_page_score(page: Column | str) -> Column:
+    low = F.lower(text(page))
+    score = F.lit(0)
+    for words, points in ((SPEC_WORDS, 2), (SPEC_TOKENS, 1)):
+        for w in words:
+            score = score + F.when(F.contains(low, F.lit(w)), points).otherwise(0)
+    return score
+
+
+def spec_pages(pages: DataFrame, key: str = "doc", number: str = "page", body: str = "text", top: int = 8, rest: int = 5) -> DataFrame:
+    """Pages of a document that give its data: the ``top`` best scored, later pages first among equals; of a document without any
+    scored page the first ``rest``.  A top-k per document."""
+    scored = pages.withColumn("score", spec_page_score(body))
+    w = Window.partitionBy(key)
+    placed = scored.withColumn("_best", F.max("score").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), F.when(F.col("score") > 0, -F.col(number)).otherwise(F.col(number)))))
+    return placed.where(((F.col("_best") > 0) & (F.col("score") > 0) & (F.col("rank") <= top)) | ((F.col("_best") == 0) & (F.col("rank") <= rest))).drop("_best")
+
+
+#: fixed values: members of a model's answer and the fields they name
+MODEL_FIELDS = {"product_type": "Product Type", "size": "Size", "material": "Material", "finish": "Finish", "color": "Color", "application": "Application"}
+
+
+def model_items(answer: Column | str, desc: Column | str, fields: dict[str, str] | None = None) -> Column:
+    """Items of a model's JSON answer (fenced or not), each at 0.58; an answer that is no JSON gives none."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(text(answer)), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    known = fields or MODEL_FIELDS
+    values = F.array(*[F.trim(F.coalesce(F.get_json_object(body, f"$.{k}"), F.lit(""))) for k in known])
+    names = F.array(*map(F.lit, known.values()))
+    made = F.zip_with(names, values, lambda f, v: item(f, v, url=F.lit("llm:inference"), quote=F.substring(text(desc), 1, 120), extractor="llm_fallback", confidence=0.58))
+    return F.filter(made, lambda x: x["value"] != "")

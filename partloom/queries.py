@@ -12,7 +12,7 @@ from .functions import mpn, units, urls
 from .functions import text as T
 from .operators import assemble, bags, describe, evidence, identity, memory, pages, reports, validate
 from .operators.analyze import analyze, clean_desc, ordered_abbreviations
-from .operators.classify import confidence, match_taxonomy, route, template_of
+from .operators.classify import LEAF_HINTS, confidence, match_taxonomy, route, seen, template_of
 from .plans.enrich import enrich
 from .sources import tables
 from .streaming import jobs
@@ -268,8 +268,7 @@ def page_title(spark, sf_dir):
     return tables.pages(spark, sf_dir).select("page_id", pages.page_title("html").alias("title"), pages.is_error_html("html").alias("soft_404"))
 
 
-@query("""SELECT page_id, trim(html) <> '' AS usable, length(html) >= 12000 AND (length(lower(html)) - length(replace(lower(html), '<script', ''))) / 7 >= 8 AND length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) < 500 AS js_shell FROM pages
-WHERE NOT regexp_matches(lower(regexp_extract(left(html, 6000), '<title[^>]*>(.*?)</title>', 1, 'is')), '404|not found|doesn''t exist|does not exist')""")
+@query("""SELECT page_id, trim(html) <> '' AND NOT regexp_matches(lower(regexp_extract(left(html, 6000), '<title[^>]*>(.*?)</title>', 1, 'is')), '404|not found|doesn''t exist|does not exist') AS usable, length(html) >= 12000 AND (length(lower(html)) - length(replace(lower(html), '<script', ''))) / 7 >= 8 AND length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) < 500 AS js_shell FROM pages""")
 def usable_pages(spark, sf_dir):
     """FIL-03, FIL-04, FIL-08, SRC-09..11."""
     return tables.pages(spark, sf_dir).select("page_id", pages.is_usable(F.col("status"), "html", "url").alias("usable"), pages.is_js_shell("html").alias("js_shell"))
@@ -382,7 +381,7 @@ SELECT row_id, CASE WHEN score >= 2 THEN classpath END AS classpath, CASE WHEN s
 def taxonomy_score(spark, sf_dir):
     """CLS-01, SRC-05, T-03..05."""
     r = tables.catalog_input(spark, sf_dir).select("row_id", "Part_Desc", F.coalesce(identity.from_description(F.col("Part_Desc"), Dims()), F.lit("")).alias("b"))
-    m = r.withColumn("m", T.let(F.struct("Part_Desc", "b"), lambda x: match_taxonomy(x["Part_Desc"], x["b"], Dims())))
+    m = r.withColumn("s", seen(F.col("Part_Desc"), F.col("b"))).withColumn("m", match_taxonomy("s", Dims()))
     return m.select("row_id", F.col("m.classpath").alias("classpath"), F.round(confidence(F.col("m.score")), 4).alias("confidence"))
 
 
@@ -393,7 +392,7 @@ def route_category(spark, sf_dir):
     return route(r, Dims(), "Part_Desc", F.col("b")).select("row_id", "category_id", "classpath", "product_name")
 
 
-@query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'led') THEN 'led_lighting' ELSE 'generic_industrial' END AS template_id FROM part WHERE NOT regexp_matches(lower(p_name), 'dishwasher|range|ceiling fan|cut-off|grinding|sanding|deck|coupling|pipe|wire|cable|box|trim|drill|tool|light')""")
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN contains(lower(p_name), {_q(h)}) THEN {_q(t)}" for h, t in LEAF_HINTS) + " ELSE 'generic_industrial' END AS template_id FROM part")
 def leaf_template(spark, sf_dir):
     """CLS-05."""
     return _t(spark, sf_dir, "part").select("p_partkey", template_of(F.col("p_name")).alias("template_id"))
@@ -427,7 +426,7 @@ def order_zip_join(spark, sf_dir):
 
 @query("""SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand""")
 def first_per_brand(spark, sf_dir):
-    """WIN-02, AGG-05, AGG-25."""
+    """WIN-02, AGG-05."""
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     return bags.first_per(p, F.col("p_brand"), "p_partkey").select("p_brand", "p_partkey", "p_name")
 
@@ -506,7 +505,7 @@ def ordered_union(spark, sf_dir):
 
 @query()
 def description_evidence(spark, sf_dir):
-    """EXT-01..05, JOI-10, OUT-13, UDF-01 (rows only: about forty ordered patterns)."""
+    """EXT-01 on cleaned descriptions, STR-06."""
     r = tables.catalog_input(spark, sf_dir)
     x = r.select("row_id", describe.abrasive(clean_desc("Part_Desc")).alias("items"))
     return x.select("row_id", F.inline("items")).select("row_id", "field", "value", "confidence")
@@ -517,7 +516,8 @@ def description_evidence(spark, sf_dir):
 
 @query()
 def enriched_catalog(spark, sf_dir):
-    """The flagship: OUT-01..13, VAL-01..11, SUP-15 over the catalogue input (rows only: the whole chain)."""
+    """The flagship: EXT-01..05, OUT-01..07, OUT-11, UDF-01, VAL-01..11, SUP-15 over the catalogue input (rows only: the whole chain;
+    its parts have queries with SQL of their own)."""
     e = enrich(tables.catalog_input(spark, sf_dir))
     return e.select("row_id", "Mfg_Part_Num", F.col("identity.brand_key").alias("brand_key"), "category_id", "classpath", "product_name", "MOBILE_DESC", "SHORT_DESC", "INVOICE_DESC", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda s: s["value"] != "")).alias("n_filled"), F.size("issues").alias("n_issues"), "evidence_count", "band", "canonical_key")
 
@@ -532,7 +532,7 @@ def validate_issues(spark, sf_dir):
     return x.select("p_partkey", F.array_join(F.transform(found, lambda i: F.concat_ws(":", i["severity"], i["field"], i["message"])), "|").alias("issues"))
 
 
-@query("""SELECT 'c_name' AS field, count(*)::BIGINT AS populated, sum((length(c_name) > 17)::INT)::BIGINT AS over_limit, sum((length(c_name) < 18)::INT)::BIGINT AS under_limit, min(c_name) AS worst, round(100.0 * (count(*) - sum((length(c_name) > 17)::INT) - sum((length(c_name) < 18)::INT)) / count(*), 2)::DOUBLE AS compliant_pct FROM customer WHERE length(c_name) = (SELECT max(length(c_name)) FROM customer)""")
+@query("""SELECT 'c_name' AS field, count(*)::BIGINT AS populated, sum((length(c_name) > 17)::INT)::BIGINT AS over_limit, sum((length(c_name) < 18)::INT)::BIGINT AS under_limit, min(c_name) FILTER (WHERE length(c_name) = (SELECT max(length(c_name)) FROM customer)) AS worst, round(100.0 * (count(*) - sum((length(c_name) > 17)::INT) - sum((length(c_name) < 18)::INT)) / count(*), 2)::DOUBLE AS compliant_pct FROM customer""")
 def compliance_char_limits(spark, sf_dir):
     """AGG-12, VAL-01..03."""
     return reports.char_limits(_t(spark, sf_dir, "customer"), {"c_name": (18, 17)})
@@ -562,7 +562,7 @@ def lov_check(spark, sf_dir):
 
 @query("""SELECT count(*)::BIGINT AS checked, sum((p_partkey % 3 = 2)::INT)::BIGINT AS violations, sum((p_partkey % 3 = 0 AND p_size % 2 = 0)::INT)::BIGINT AS decimal_inches FROM part""")
 def unit_compliance(spark, sf_dir):
-    """AGG-12, AGG-22."""
+    """AGG-12."""
     p = _t(spark, sf_dir, "part")
     uom = F.element_at(F.array(F.lit("in"), F.lit("V"), F.lit("Hz")), (F.col("p_partkey") % 3 + 1).cast("int"))
     value = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".5"))).otherwise(F.col("p_size").cast("string"))
@@ -611,7 +611,7 @@ def dead_path_state(spark, sf_dir):
     return memory.dead_paths(e.select(F.concat(F.lit("https://h"), (F.col("user_id") % 50).cast("string"), F.lit(".example/p/{mpn}")).alias("template"), (F.col("value") >= 50).alias("ok")))
 
 
-@query("""WITH k AS (SELECT user_id % 100 AS h, sum((event_type = 'purchase')::INT) AS useful, sum((event_type <> 'purchase')::INT) AS junk FROM events WHERE user_id % 3 <> 0 GROUP BY 1)
+@query("""WITH k AS (SELECT user_id % 100 AS h, sum((event_type = 'purchase')::INT) AS useful, sum((event_type <> 'purchase')::INT) AS junk FROM events GROUP BY 1)
 SELECT 'h' || h AS host, useful::BIGINT AS useful, junk::BIGINT AS junk, 0::BIGINT AS chrome, useful = 0 AND junk >= 2 AS is_storefront FROM k""")
 def storefront_learn(spark, sf_dir):
     """FIL-12, SUP-08."""
@@ -679,3 +679,6 @@ def slots_pivot(spark, sf_dir):
     """OUT-02, SNK-01: wide attribute columns from the array of slots (rows only: 150 columns)."""
     p = _t(spark, sf_dir, "part").select("p_partkey", F.array(F.struct(F.lit("Size").alias("label"), F.col("p_size").cast("string").alias("value"), F.lit("in").alias("uom")), F.struct(F.lit("Type").alias("label"), F.col("p_type").alias("value"), F.lit("").alias("uom"))).alias("slots"))
     return assemble.flatten(p)
+
+
+from . import queries_delivery  # noqa: E402, F401  registers its queries too
