@@ -16,18 +16,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that failed."""
+    """Documents that pass the quality rules, without the lines that failed.  Null and empty texts fail; every row is judged by
+    itself, so null and shared ids, ties and repeated rows change nothing; an empty table stays empty."""
     found = quality.judge(docs.select(*COLUMNS)).where("_q_kept")
     return found.select("doc_id", F.col("_q_cleaned").alias("text"), "lang", "source", F.length("_q_cleaned").cast("bigint").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (SimHash on five-word shingles, Jaccard 0.8 or more) stays: its smallest id."""
+    """One document of each near-duplicate group (SimHash on five-word shingles, Jaccard 0.8 or more) stays: its smallest id,
+    null ids last, then by content.  Rows that share an id are told apart; null, empty and white-space texts are one group."""
     return simhash_similar.first_of_each(docs, COLUMNS)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds too are cut out; documents with nothing left go."""
+    """Passages that a document of a smaller id holds too are cut out; documents with nothing left go, those that had no words
+    before stay.  Rows without an id come last; rows of one id are one document and keep their words."""
     found, name = substring_dedup.remove_repeats(docs.select(*COLUMNS), keep=COLUMNS)
     s = F.col(name)
     text = F.when(s["n_removed"] == 0, F.col("text")).otherwise(s["kept"])
@@ -36,13 +39,13 @@ def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a span with the benchmark go."""
+    """Documents that share a span with the benchmark go; null and empty texts share none.  Rows are judged one by one."""
     found, name = decontaminate.find_leaks(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.where(F.col(name)["n_hit"] == 0).select(*COLUMNS)
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as pieces of token windows."""
+    """The remaining documents as pieces of token windows; a null text is empty and holds the end id only; every row is packed."""
     return packing.pack(docs)
 
 
