@@ -20,8 +20,8 @@ from .common import slices, text_bytes
 
 def batch_number(docs: DataFrame, text: str = "text", unit: int = 32 << 10, most: int = 32 << 20) -> int:
     """Batches grow with the square root of the input, so that the messages between n batches and n buckets stay a
-    fixed share of it, up to ``most`` bytes of text in a batch, which bounds a task's memory.  Beyond that (``most``^2 / ``unit``,
-    32 GB of text) messages carry fewer keys each, never more messages than keys."""
+    fixed share of it, up to ``most`` bytes of text in a batch, which bounds a task's memory.  Beyond ``most``^2 / ``unit`` (34 GB
+    of text) messages carry fewer keys each."""
     size = text_bytes(docs, text)
     return max(4, math.ceil(math.sqrt(size / unit)), math.ceil(size / most))
 

@@ -191,13 +191,13 @@ def links(prints: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> D
     return run_units(units, work, 8 * shard_rows)
 
 
-def run_units(units: DataFrame, work, limit: int) -> DataFrame:
-    """``(u, v)``: what ``work`` finds in tables of whole work units (rows of one ``unit``), of about ``limit`` rows each."""
+def run_units(units: DataFrame, work, limit: int, most: int = 64 << 20) -> DataFrame:
+    """``(u, v)``: what ``work`` finds in tables of whole work units (rows of one ``unit``), of about ``limit`` rows or ``most`` bytes."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in work(table)], schema=schema)
@@ -205,14 +205,15 @@ def run_units(units: DataFrame, work, limit: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= limit:
+            size += batch.nbytes
+            if rows >= limit or size >= most:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 unit = whole.column("unit").to_numpy()
                 stop = int(np.searchsorted(unit, unit[-1]))
                 if stop:
                     yield flush(whole.slice(0, stop))
                     whole = whole.slice(stop)
-                held, rows = whole.to_batches(), whole.num_rows
+                held, rows, size = whole.to_batches(), whole.num_rows, whole.nbytes
         if rows:
             yield flush(pa.Table.from_batches(held))
         held.clear()
@@ -221,44 +222,6 @@ def run_units(units: DataFrame, work, limit: int) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u bigint, v bigint")
 
 
-def _cross(table: pa.Table, radius: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different roots within the radius; of each asking member all, or the nearest only."""
-    unit, node, fp, root, tree = (table.column(k).to_numpy(zero_copy_only=False) for k in ("unit", "node", "fp", "root", "tree"))
-    fp = fp.view(np.uint64)
-    members, queries = np.flatnonzero(tree), np.flatnonzero(~tree)
-    forest = Forest(unit[members], fp[members])
-    at = np.searchsorted(unit[members][forest.root], unit[queries])
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    best = np.full(len(queries), 65 << 32)
-    for q, m in forest.search(fp[queries], forest.root[at], radius):
-        other = root[queries[q]] != root[members[m]]
-        q, m = q[other], m[other]
-        if nearest:
-            np.minimum.at(best, q, (_distance(fp[queries[q]], fp[members[m]]) << 32) + m)
-        else:
-            out.append((node[queries[q]], node[members[m]]))
-    if nearest:
-        q = np.flatnonzero(best < 65 << 32)
-        out.append((node[queries[q]], node[members[best[q] & 0xFFFFFFFF]]))
-    u, v = (np.concatenate(x) for x in zip(*out))
-    return np.maximum(u, v), np.minimum(u, v)
-
-
-def cross_pairs(members: DataFrame, radius: int, nearest: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``members(shard, node, fp, root, asks)`` -> ``(u, v)``: pairs of one shard within the radius whose roots differ, with an
-    asking member in each.  Trees of a large shard and its askers are dealt into parts, and every tree part meets every part
-    of the askers as a work unit of its own."""
-    parts = lambda n: F.ceil(n / F.lit(shard_rows)).cast("bigint")
-    sizes = members.groupBy("shard").agg(parts(F.count("*")).alias("trees"), parts(F.sum(F.col("asks").cast("int"))).alias("queries")).where("queries > 0")
-    dealt = members.join(sizes, "shard")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    tree = dealt.select("shard", "node", "fp", "root", F.lit(True).alias("tree"), spot("trees").alias("t"), each("queries").alias("q"))
-    asks = dealt.where("asks").select("shard", "node", "fp", "root", F.lit(False).alias("tree"), each("trees").alias("t"), spot("queries").alias("q"))
-    units = tree.unionByName(asks).select(F.xxhash64("shard", "t", "q").alias("unit"), "node", "fp", "root", "tree")
-    return run_units(units, lambda table: _cross(table, radius, nearest), 8 * shard_rows).distinct()
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, keep: list[str] | None = None, shard_rows: int = SHARD_ROWS, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     """``keep`` columns of ``docs`` and one struct column, whose name is returned too: fp and component, the smallest
     ``doc_id`` that can be reached over links (null ids come last)."""

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from partloom.llm import decontaminate, quality, simhash, substring_dedup
+from partloom.llm import decontaminate, quality, simhash_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_run_equals_plain_stages(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).where("_q_kept").collect()
     docs = [(r.doc_id, r._q_cleaned) for r in judged]
-    docs = [(d, t) for (d, t), (_, _, c) in zip(docs, simhash.brute_force(docs)) if d == c]
+    docs = [(d, t) for (d, t), (_, c) in zip(docs, simhash_similar.brute_force(docs)) if d == c]
     import re
 
     out = []
@@ -64,3 +64,19 @@ def test_planted(spark):
     assert left == [2, 3]
     for k in range(5):
         assert stage(spark, k, []).count() == 0
+
+
+def test_rows_without_ids_and_with_shared_ids_stay(spark):
+    """What goes is named; everything else comes out, whatever its id."""
+    r = random.Random(11)
+    texts = [prose(r, 90) for _ in range(6)]
+    rows = [(None, texts[0], "en", "s", 1), (None, texts[1], None, None, None), (7, texts[2], "en", "s", 1), (7, texts[3], "en", "s", 1), (8, texts[4], "en", "s", 1), (None, texts[5] + " " + texts[5][:-1].lower(), "en", "s", 1)]
+    repeats = rows[-1]  # half of it is said twice: the quality rules reject it
+    left = stage(spark, 0, rows).collect()
+    assert sorted(str(x.text) for x in left) == sorted(t for _, t, *_ in rows if t != repeats[1])
+    for k in (1, 2, 3):
+        assert sorted(((x.doc_id, x.text) for x in stage(spark, k, rows[:5]).collect()), key=str) == sorted(((d, t) for d, t, *_ in rows[:5]), key=str)
+    packed = stage(spark, 4, rows[:5]).collect()
+    assert len(packed) == 5 and sorted(str(x.doc_id) for x in packed) == ["7", "7", "8", "None", "None"]
+    again = stage(spark, 2, [rows[2], rows[2], (9, texts[2], "en", "s", 1)]).collect()
+    assert sorted(x.doc_id for x in again) == [7, 7]  # rows of one id never remove each other's words

@@ -20,7 +20,7 @@ def changed(r, words, n):
 
 
 def left(spark, rows):
-    return sorted(P.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect(), key=str)
+    return sorted(P.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect(), key=lambda x: (x.doc_id is None, x.doc_id, str(x)))
 
 
 def test_near_copies_go(spark):
@@ -68,3 +68,19 @@ def test_null_and_repeated_ids(spark):
     got = left(spark, [(d, t, None, "s", 1) for d, t in rows])
     want = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (9, texts[4]), (10, texts[5])]
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
+
+
+def star(r, n):
+    """A text and copies of it that are alike to it, but not to one another."""
+    base = prose(r, 300)
+    return [base, *[changed(r, base, 6) for _ in range(n)]]
+
+
+def test_a_group_may_hang_on_one_member(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([*star(r, 40), *star(r, 3), *[prose(r, 90) for _ in range(5)]])]
+    want = sorted(d for d, c in simhash_similar.brute_force([x[:2] for x in rows]) if d == c)
+    assert len(want) == 7
+    for part in (1 << 12, 3):  # whole shards, and shards dealt into parts
+        monkeypatch.setattr(simhash_similar, "PART_ROWS", part)
+        assert [x[0] for x in left(spark, rows)] == want
