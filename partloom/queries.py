@@ -387,7 +387,7 @@ def taxonomy_score(spark, sf_dir):
 
 @query()
 def route_category(spark, sf_dir):
-    """CLS-02..04, FIL-02 (rows only: taxonomy, then ordered rules with exclusions)."""
+    """CLS-02..04, FIL-02: taxonomy, then ordered rules with exclusions."""
     r = tables.catalog_input(spark, sf_dir).withColumn("b", F.coalesce(identity.from_description(F.col("Part_Desc"), Dims()), F.lit("")))
     return route(r, Dims(), "Part_Desc", F.col("b")).select("row_id", "category_id", "classpath", "product_name")
 
@@ -468,7 +468,7 @@ def _items(spark, sf_dir):
 
 @query()
 def evidence_merge(spark, sf_dir):
-    """AGG-01, AGG-02, T-10, T-29 (rows only: an ordered fold; tests hold it against a plain version)."""
+    """AGG-01, AGG-02, T-10, T-29: an ordered fold."""
     m = evidence.merge(_items(spark, sf_dir))
     return m.select("row_id", F.inline("items")).select("row_id", "field", "value", "source_url", F.round("confidence", 4).alias("confidence"))
 

@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .dims import Dims
+from .dims import ABRASIVE_TEMPLATES, Dims
 from .functions import units
 from .operators import assemble, compose, describe, evidence, harvest, memory, pages, references, sourcing
-from .operators.classify import route
+from .operators.classify import ABRASIVE_BRANDS, APPLIANCE_BRANDS, route
 from .operators.identity import from_description
 from .queries import _ALIASED, _WORDS, ROWS, SQL, _longest_sql, _q, _t, _taxonomy_sql, query
 from .sources import tables
@@ -201,11 +201,35 @@ def dishwasher_evidence(spark, sf_dir):
     return _flat(tables.catalog_input(spark, sf_dir), describe.dishwasher(F.col("Part_Desc"), F.concat(F.lit("M"), F.col("row_id").cast("string")), have))
 
 
-@query(f"""{_taxonomy_sql().rpartition('SELECT row_id, CASE')[0].rstrip()}, best AS (SELECT k.*, x.d, x.b FROM k JOIN x USING (row_id) WHERE rn = 1),
-leaf AS (SELECT * FROM (VALUES {', '.join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c, *_ in Dims().effective_leaves())}) t(classpath, template_id, product_name)),
-meta AS (SELECT * FROM (VALUES {', '.join(f"({_q(k)}, {_q(c)}, {_q(p)})" for k, (c, p) in Dims().templates.items())}) t(category_id, classpath, product_name)),
-ruled AS (SELECT best.*, leaf.template_id, leaf.product_name AS leaf_product, CASE {' '.join('WHEN ' + rule + ' THEN ' + _q(name) for name, rule in [])} WHEN false THEN '' END AS nothing FROM best LEFT JOIN leaf USING (classpath))
-SELECT row_id, score >= 2.5 AS sure, CASE WHEN score >= 2.5 THEN template_id END AS category_id, CASE WHEN score >= 2.5 THEN classpath END AS classpath, CASE WHEN score >= 2.5 THEN leaf_product END AS product_name FROM ruled""")
+def _rule_sql(template: str, patterns: list[str], unless: str) -> str:
+    any_case = lambda p, of="d": f"regexp_matches({of}, {_q('(?i)' + p)})"
+    names = lambda xs: f"b IN ({', '.join(map(_q, xs))})"
+    out = " OR ".join(any_case(p, "lower(d)" if p.endswith("$") else "d") for p in patterns)
+    if unless:
+        out = f"({out}) AND NOT {any_case(unless)}"
+    if template == "built_in_dishwasher":
+        out = f"({out}) OR ({names(APPLIANCE_BRANDS)} AND {any_case(chr(92) + 'bdishwasher' + chr(92) + 'b')})"
+    if template == "ceiling_fan":
+        out = f"CASE WHEN {any_case('gilmour')} AND NOT {any_case('hunter')} THEN {any_case('fan')} ELSE {out} END"
+    if template in ABRASIVE_TEMPLATES:
+        size = r'\d+\s?(?:"|in)'
+        out = f"({out}) OR ({names(ABRASIVE_BRANDS)} AND regexp_matches(d, {_q(size)}) AND {any_case('disc|wheel|grit|sand|abrasive|cutoff|cut-off|stikit|abranet')})"
+    return out
+
+
+_ROUTED = f"""{_taxonomy_sql().rpartition('SELECT row_id, CASE')[0].rstrip()}, best AS (SELECT k.*, x.d, x.b FROM k JOIN x USING (row_id) WHERE rn = 1),
+leaf AS (SELECT * FROM (VALUES {', '.join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c, *_ in Dims().effective_leaves())}) t(classpath, template_id, leaf_product)),
+meta AS (SELECT * FROM (VALUES {', '.join(f"({_q(k)}, {_q(c)}, {_q(p)})" for k, (c, p) in Dims().templates.items())}) t(category_id, meta_path, meta_product)),
+ruled AS (SELECT best.row_id, score >= 2.5 AS sure, CASE WHEN score >= 2 THEN classpath END AS path, CASE WHEN score >= 2 THEN template_id END AS template_id, CASE WHEN score >= 2 THEN leaf_product END AS leaf_product,
+  CASE {' '.join(f'WHEN {_rule_sql(*rule)} THEN {_q(rule[0])}' for rule in Dims().rules)} END AS rule FROM best LEFT JOIN leaf USING (classpath)),
+routed AS (SELECT *, CASE WHEN sure THEN template_id ELSE coalesce(rule, 'generic_industrial') END AS category_id FROM ruled),
+owned AS (SELECT *, sure OR coalesce(rule IS NOT NULL AND template_id = category_id, false) AS own FROM routed LEFT JOIN meta USING (category_id))"""
+
+
+SQL["route_category"] = _ROUTED + " SELECT row_id, category_id, CASE WHEN own THEN path ELSE meta_path END AS classpath, CASE WHEN own THEN leaf_product ELSE meta_product END AS product_name FROM owned"
+
+
+@query(_ROUTED + " SELECT row_id, sure, CASE WHEN sure THEN category_id END AS category_id, CASE WHEN sure THEN path END AS classpath, CASE WHEN sure THEN leaf_product END AS product_name FROM owned")
 def route_sure(spark, sf_dir):
     """CLS-02, CLS-04, FIL-02: rows that the taxonomy alone decides; the others go on to the rules (``route_category``)."""
     r = tables.catalog_input(spark, sf_dir).withColumn("b", F.coalesce(from_description(F.col("Part_Desc"), Dims()), F.lit("")))
@@ -458,3 +482,13 @@ def reviewer_pages(spark, sf_dir):
 # the columns of the grouped attributes as SQL writes them
 SQL["slots_pivot"] = "SELECT p_partkey, " + ", ".join(f"{v} AS \"ATTRIBUTE_{part} {i}\"" for i in range(1, assemble.SLOTS + 1) for part, v in zip(("LABEL", "VALUE", "UOM"), {1: ("'Size'", "p_size::VARCHAR", "'in'"), 2: ("'Type'", "p_type", "''")}.get(i, ("''",) * 3))) + " FROM part"
 SQL["description_evidence"] = SQL["abrasive_evidence"].replace("SELECT row_id, Part_Desc AS t FROM r", """SELECT row_id, replace(replace(regexp_replace(trim(Part_Desc), '\\s+', ' ', 'g'), '''''', '"'), '""', '"') AS t FROM r""").replace("field, value, uom, confidence FROM best", "field, value, confidence FROM best")
+
+# the ordered fold, item by item: a page repeating the row's own value lends its citation, a better item replaces the older one
+SQL["evidence_merge"] = """WITH RECURSIVE i AS (SELECT l_orderkey AS row_id, (l_linenumber::BIGINT * 1000000000 + l_partkey) * 100 + l_quantity::INT AS ord, ['Length', 'Color', 'Weight'][l_linenumber % 3 + 1] AS field, l_quantity::INT::VARCHAR AS value,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'https://p.example/' || l_suppkey ELSE 'input:Part_Desc' END AS url, l_partkey % 3 / 10.0 + 0.5 AS c FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY row_id, field ORDER BY ord, value, url) AS k FROM i),
+f AS (SELECT row_id, field, k, value, url, c::DOUBLE AS c FROM n WHERE k = 1 UNION ALL
+  SELECT n.row_id, n.field, n.k, CASE WHEN rep THEN n.value ELSE f.value END, CASE WHEN rep OR moves THEN n.url ELSE f.url END, CASE WHEN rep THEN n.c WHEN moves THEN greatest(f.c, n.c) ELSE f.c END::DOUBLE
+  FROM f JOIN n ON n.row_id = f.row_id AND n.field = f.field AND n.k = f.k + 1, LATERAL (SELECT f.url LIKE 'input:%' AND n.url NOT LIKE 'input:%' AS outside) o,
+  LATERAL (SELECT CASE WHEN outside THEN f.value <> n.value AND n.c >= f.c ELSE n.c > f.c END AS rep, outside AND f.value = n.value AS moves) r)
+SELECT row_id, field, value, url AS source_url, round(c, 4) AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY row_id, field ORDER BY k DESC) = 1"""

@@ -27,7 +27,7 @@ def test_dictionaries(spark, tmp_path):
     assert d.aliases == {"Foo": "Trex"} and d.hints == Dims().hints and len(d.effective_leaves()) == 16
 
 
-@pytest.mark.parametrize("body", ["not json", "[1]", ""])
+@pytest.mark.parametrize("body", ["not json", "[1]", "{"])
 def test_a_broken_dictionary_is_no_missing_one(spark, tmp_path, body):
     (tmp_path / "hints.json").write_text(body)
     with pytest.raises(ValueError):
