@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, lm, packing, quality, simhash, substring_dedup, toxicity, urls
+from . import bpe, chat, decontaminate, langid, lm, packing, quality, simhash, substring_dedup, toxicity, urls, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_lm": lm.op10_lm,
+        "op11_variants": variants.op11_variants,
         "op12_bpe": bpe.op12_bpe,
         "pipeline": corpus_pipeline.run,
     }
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality": quality.sql(),
         "op6_urls": urls.sql(),
         "op9_substring_dedup": substring_dedup.sql(),
+        "op11_variants": variants.sql(),
     }
