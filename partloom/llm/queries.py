@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, lm, packing, quality, simhash, substring_dedup, toxicity, urls, variants
+from . import bpe, chat, decontaminate, langid, lm, packing, quality, simhash, substring_dedup, toxicity, trie, urls, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm": lm.op10_lm,
         "op11_variants": variants.op11_variants,
         "op12_bpe": bpe.op12_bpe,
+        "op13_trie": trie.op13_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_urls": urls.sql(),
         "op9_substring_dedup": substring_dedup.sql(),
         "op11_variants": variants.sql(),
+        "op13_trie": trie.sql(),
     }
