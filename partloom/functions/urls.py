@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dims import DISTRIBUTOR, NOISE, PATH_MARKERS, SHOPPING
+from ..dims import DISTRIBUTOR, NOISE, PATH_MARKERS, SHOPPING, Dims
 from .text import let, strip, text, texts
 
 #: fixed values: (path hint, score) of official pages
 HINTS = [("learnwhirlpool.com/smartsearchresults", 95), ("/en/p/owner-center", 92), ("owner-center/product-support", 90), ("gea-specs", 88), ("smartsearchresults", 85), ("owner-center", 80), ("/appliance/", 65), ("/manuals/", 55), ("product-support", 45), ("support.", 40)]
+#: fixed values: words of catalogue paths, and query keys of searches
 CATALOG_SEGMENTS = ["p", "product", "products", "item", "items", "appliance", "support", "product-support", "manuals", "documents", "spec", "specs", "specsheet", "specsheets", "gea-specs", "smartsearchresults", "html", "content", "dam", "global", "details", "catalog", "pdp", "sku", "part", "literature", "resources"]
 SEARCH_KEYS = ["q", "query", "search", "searchtext", "searchterm", "term", "sku"]
 
 
+@dataclass(frozen=True)
+class HostLists:
+    """Labels of hosts that sell, that are never a source and that distribute, and the domains allowed beside a maker's own."""
+
+    shopping: tuple[str, ...] = tuple(SHOPPING)
+    noise: tuple[str, ...] = tuple(NOISE)
+    distributor: tuple[str, ...] = tuple(DISTRIBUTOR)
+    third_party: tuple[str, ...] = ("energystar.gov",)
+    distributors: tuple[str, ...] = ("grainger.com", "mscdirect.com")
+
+    @classmethod
+    def of(cls, dims: Dims) -> HostLists:
+        """The user's dictionaries; template tables that are empty leave the built-in domains."""
+        third, sellers = tuple(dims.third_party) or cls.third_party, tuple(dims.distributor_templates) or cls.distributors
+        return cls(tuple(dims.shopping), tuple(dims.noise), tuple(dims.distributor), third, sellers)
+
+
+BUILT_IN = HostLists()
+
+
 def _with_scheme(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
 
@@ -51,11 +74,11 @@ def _any(x: Column, tokens: list[str]) -> Column:
 
 
 def has_label(url: Column | str, names: list[str]) -> Column:
-    return F.arrays_overlap(labels(url), texts(names))
+    return F.arrays_overlap(labels(url), texts(names)) if names else F.lit(False)
 
 
-def is_noise(url: Column | str, shopping: list[str] = SHOPPING, noise: list[str] = NOISE) -> Column:
-    return _any(F.lower(text(url)), PATH_MARKERS) | has_label(url, [*shopping, *noise])
+def is_noise(url: Column | str, hosts: HostLists = BUILT_IN) -> Column:
+    return _any(F.lower(text(url)), PATH_MARKERS) | has_label(url, [*hosts.shopping, *hosts.noise])
 
 
 def is_dealer(url: Column | str) -> Column:
@@ -63,12 +86,12 @@ def is_dealer(url: Column | str) -> Column:
     return (host(url) != "") & (F.contains(p, F.lit("/appliances/")) | F.regexp_replace(p, "/+$", "").endswith("/appliances") | has_label(url, ["appliance", "appliances"]))
 
 
-def is_blocked(url: Column | str, shopping: list[str] = SHOPPING, noise: list[str] = NOISE) -> Column:
-    return (text(url) != "") & (is_noise(url, shopping, noise) | is_dealer(url))
+def is_blocked(url: Column | str, hosts: HostLists = BUILT_IN) -> Column:
+    return (text(url) != "") & (is_noise(url, hosts) | is_dealer(url))
 
 
-def is_distributor(url: Column | str, names: list[str] = DISTRIBUTOR, shopping: list[str] = SHOPPING, noise: list[str] = NOISE) -> Column:
-    return (host(url) != "") & ~is_blocked(url, shopping, noise) & has_label(url, names)
+def is_distributor(url: Column | str, hosts: HostLists = BUILT_IN) -> Column:
+    return (host(url) != "") & ~is_blocked(url, hosts) & has_label(url, hosts.distributor)
 
 
 def is_search(url: Column | str) -> Column:
@@ -122,7 +145,7 @@ def has_mpn(url: Column | str, mpn: Column) -> Column:
     return (F.length(n) >= 3) & (path_has_mpn(url, mpn) | F.array_contains(F.transform(query_values(url), F.lower), n))
 
 
-def official_score(url: Column | str, mpn: Column | None = None) -> Column:
+def official_score(url: Column | str, mpn: Column | None = None, hosts: HostLists = BUILT_IN) -> Column:
     """-1 for pages never to be used, 0 for PDFs, else 10 to 95 by the kind of page."""
     low = F.lower(text(url))
     owned = ((text(mpn) != "") & has_mpn(url, mpn)) if mpn is not None else F.lit(False)
@@ -131,30 +154,30 @@ def official_score(url: Column | str, mpn: Column | None = None) -> Column:
         points.append(F.when(owned, F.when(path_has_mpn(url, mpn), F.lit(80)).otherwise(F.lit(40))))
     caps = [F.when(F.contains(low, F.lit("manuals-and-downloads")) & ~owned, F.lit(18)), F.when(_any(low, ["search?", "search.html"]), F.lit(15))]
     closed = _any(low, ["/login", "/logout", "/signin", "/cart", "/account", "/api/auth"])
-    return F.when((low == "") | is_blocked(url) | F.contains(low, F.lit("/appliances/")), F.lit(-1)).when(low.endswith(".pdf"), F.lit(0)).when(closed, F.lit(-1)).otherwise(F.least(F.greatest(F.lit(10), *points), F.lit(99), *caps))
+    return F.when((low == "") | is_blocked(url, hosts) | F.contains(low, F.lit("/appliances/")), F.lit(-1)).when(low.endswith(".pdf"), F.lit(0)).when(closed, F.lit(-1)).otherwise(F.least(F.greatest(F.lit(10), *points), F.lit(99), *caps))
 
 
-def keep_score(url: Column | str) -> Column:
+def keep_score(url: Column | str, hosts: HostLists = BUILT_IN) -> Column:
     low = F.lower(text(url))
     shop = F.contains(low, F.lit("/appliances/"))
     points = [F.when(_any(low, ["/p/", "/product/", "/products/", "/item/", "/en-us/", "/appliance/"]) & ~shop, F.lit(50)), F.when(low.endswith(".pdf"), F.lit(45))]
     cap = F.when(_any(low, ["search?", "search.html", "/search/"]) & ~F.contains(low, F.lit("smartsearch")), F.lit(12))
-    return F.least(F.greatest(official_score(url), *points), F.lit(99), cap)
+    return F.least(F.greatest(official_score(url, hosts=hosts), *points), F.lit(99), cap)
 
 
-def worth_keeping(url: Column | str) -> Column:
+def worth_keeping(url: Column | str, hosts: HostLists = BUILT_IN) -> Column:
     low = F.lower(strip(url))
     image = F.lower(path(url)).rlike(r"\.(png|jpg|jpeg|gif|tif|tiff|svg|webp)$")
-    return low.rlike("^https?://") & ~is_blocked(url) & ~is_error(url) & ~F.contains(low, F.lit("javascript:")) & ~image & (netloc(url) != "")
+    return low.rlike("^https?://") & ~is_blocked(url, hosts) & ~is_error(url) & ~F.contains(low, F.lit("javascript:")) & ~image & (netloc(url) != "")
 
 
-def classify(url: Column | str, domains: Column, family: Column, third: list[str] = ["energystar.gov"], distributors: list[str] = ["grainger.com", "mscdirect.com"]) -> Column:
+def classify(url: Column | str, domains: Column, family: Column, hosts: HostLists = BUILT_IN) -> Column:
     return (
-        F.when((text(url) == "") | is_blocked(url), F.lit("BLOCKED"))
+        F.when((text(url) == "") | is_blocked(url, hosts), F.lit("BLOCKED"))
         .when(on_domains(url, domains), F.lit("MANUFACTURER"))
         .when(on_domains(url, family), F.lit("FAMILY"))
-        .when(on_domains(url, texts(third)), F.lit("THIRD_PARTY"))
-        .when(is_distributor(url) | on_domains(url, texts(distributors)), F.lit("DISTRIBUTOR"))
+        .when(on_domains(url, texts(list(hosts.third_party))), F.lit("THIRD_PARTY"))
+        .when(is_distributor(url, hosts) | on_domains(url, texts(list(hosts.distributors))), F.lit("DISTRIBUTOR"))
         .otherwise(F.lit("OTHER"))
     )
 
@@ -178,7 +201,7 @@ def _short(s: Column) -> Column:
     return F.lower(s).rlike("^[a-z]{1,3}$")
 
 
-def is_portable(template: Column) -> Column:
+def is_portable(template: Column, hosts: HostLists = BUILT_IN) -> Column:
     """The part number is a whole segment or query value and all else in the path is a catalogue word or 1-3 letters."""
     parts = segments(template)
     held = lambda s: F.contains(s, F.lit("{mpn}")) | F.contains(s, F.lit("{search_mpn}"))
@@ -189,7 +212,7 @@ def is_portable(template: Column) -> Column:
     fine = F.forall(parts, lambda s: F.when(held(s), _placeholder(s)).otherwise(_catalog(s) | _short(s)))
     found = F.exists(parts, held) | in_query
     token = F.exists(parts, lambda s: ~held(s) & _catalog(s)) | (in_query & F.arrays_overlap(keys, texts(SEARCH_KEYS)))
-    return (template != "") & ~is_pdf(template) & ~is_blocked(template) & ~is_distributor(template) & whole & fine & found & token
+    return (template != "") & ~is_pdf(template) & ~is_blocked(template, hosts) & ~is_distributor(template, hosts) & whole & fine & found & token
 
 
 def skeleton(template: Column) -> Column:
@@ -199,9 +222,9 @@ def skeleton(template: Column) -> Column:
     return F.concat(F.regexp_extract(template, "^([a-z]+://[^/?#]*)", 1), F.when(F.size(kept) > 0, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(F.lit("")), tail)
 
 
-def portable_templates(url: Column | str, mpn: Column) -> Column:
+def portable_templates(url: Column | str, mpn: Column, hosts: HostLists = BUILT_IN) -> Column:
     t = url_template(url, mpn)
-    return F.array_distinct(F.filter(F.array(t, skeleton(t)), lambda x: (x != "") & is_portable(x)))
+    return F.array_distinct(F.filter(F.array(t, skeleton(t)), lambda x: (x != "") & is_portable(x, hosts)))
 
 
 def path_shape(template: Column) -> Column:

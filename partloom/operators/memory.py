@@ -12,25 +12,26 @@ from pyspark.sql import functions as F
 from ..functions import mpn as part
 from ..functions import urls
 from ..functions.text import strip, text, texts
+from ..functions.urls import BUILT_IN, HostLists
 
 MAX_URLS, STRONG = 12, 40
 MISSES = 2
 SEED_SHAPES = ["/appliance/{mpn}", "/en-us/product/{mpn}", "/products/details/{mpn}"]
 
 
-def finalize_known(known: DataFrame) -> DataFrame:
+def finalize_known(known: DataFrame, hosts: HostLists = BUILT_IN) -> DataFrame:
     """Per part number: urls worth keeping, once, best score first; only strong ones if there are any; at most 12."""
-    first = known.where(urls.worth_keeping("url")).groupBy("mpn", "url").agg(F.min("ord").alias("ord")).withColumn("score", urls.keep_score("url"))
+    first = known.where(urls.worth_keeping("url", hosts)).groupBy("mpn", "url").agg(F.min("ord").alias("ord")).withColumn("score", urls.keep_score("url", hosts))
     strong = Window.partitionBy("mpn")
     rank = strong.orderBy(F.desc("score"), "ord", "url")
     kept = first.withColumn("_best", F.max("score").over(strong)).where((F.col("_best") < STRONG) | (F.col("score") >= STRONG))
     return kept.withColumn("ord", F.row_number().over(rank)).where(F.col("ord") <= MAX_URLS).select("mpn", "url", "score", "ord")
 
 
-def remember(known: DataFrame, new: DataFrame) -> DataFrame:
+def remember(known: DataFrame, new: DataFrame, hosts: HostLists = BUILT_IN) -> DataFrame:
     top = known.groupBy("mpn").agg(F.max("ord").alias("_top"))
     later = new.join(top, "mpn", "left").select("mpn", "url", (F.col("ord") + F.coalesce("_top", F.lit(0))).alias("ord"))
-    return finalize_known(known.select("mpn", "url", "ord").unionByName(later))
+    return finalize_known(known.select("mpn", "url", "ord").unionByName(later), hosts)
 
 
 def forget(known: DataFrame, gone: DataFrame) -> DataFrame:
@@ -44,9 +45,9 @@ def lookup_known(rows: DataFrame, known: DataFrame, mpn: str = "mpn") -> DataFra
     return found.groupBy("_mpn", "url").agg(F.min(F.struct("k", "ord")).alias("o")).select(F.col("_mpn").alias(mpn), "url", F.col("o.k").alias("key_rank"), F.col("o.ord").alias("ord"))
 
 
-def mine_templates(pages: DataFrame, mpn: str = "mpn", url: str = "url") -> DataFrame:
+def mine_templates(pages: DataFrame, mpn: str = "mpn", url: str = "url", hosts: HostLists = BUILT_IN) -> DataFrame:
     """Portable templates per host, once, product pages before searches."""
-    found = pages.select(urls.host(url).alias("host"), F.explode(urls.portable_templates(url, F.col(mpn))).alias("template"))
+    found = pages.select(urls.host(url).alias("host"), F.explode(urls.portable_templates(url, F.col(mpn), hosts)).alias("template"))
     return found.groupBy("host", "template").agg(F.count("*").alias("seen")).withColumn("is_search", urls.is_search("template"))
 
 
@@ -75,23 +76,23 @@ def drop_dead(candidates: DataFrame, dead: DataFrame) -> DataFrame:
     return candidates.join(dead.where("dead").select("template"), "template", "left_anti")
 
 
-def candidate_urls(rows: DataFrame, templates: DataFrame, mpn: str = "mpn", domain: str = "domain") -> DataFrame:
+def candidate_urls(rows: DataFrame, templates: DataFrame, mpn: str = "mpn", domain: str = "domain", hosts: HostLists = BUILT_IN) -> DataFrame:
     """Urls of every template on a row's host, with the part number put in; one per fingerprint.  ``rows`` has one row per
     (part number, domain)."""
     met = rows.withColumn("host", urls.host(domain)).join(templates.select("host", "template"), "host")
     filled = F.replace(F.replace("template", F.lit("{mpn}"), F.col(mpn)), F.lit("{search_mpn}"), part.search(mpn))
-    made = met.withColumn("url", filled).where(~urls.is_blocked("url")).withColumn("score", urls.official_score("url", F.col(mpn)))
+    made = met.withColumn("url", filled).where(~urls.is_blocked("url", hosts)).withColumn("score", urls.official_score("url", F.col(mpn), hosts))
     return made.groupBy(mpn, urls.fingerprint("url").alias("fingerprint")).agg(F.max_by(F.struct("url", "score"), F.struct("score", F.col("url"))).alias("s")).select(mpn, "s.url", "s.score")
 
 
-def best_mfr_url(rows: DataFrame, known: DataFrame, templates: DataFrame, key: str = "row_id") -> DataFrame:
+def best_mfr_url(rows: DataFrame, known: DataFrame, templates: DataFrame, key: str = "row_id", hosts: HostLists = BUILT_IN) -> DataFrame:
     """``rows(key, mpn, domains)`` -> ``(key, url)``: the best known url of the part on its maker's domains, else the best
     candidate of the domains' templates; pages that sell or search, and PDFs, are none."""
-    page = ~urls.is_blocked("url") & ~urls.is_distributor("url") & ~urls.is_search("url") & ~F.lower("url").endswith(".pdf")
+    page = ~urls.is_blocked("url", hosts) & ~urls.is_distributor("url", hosts) & ~urls.is_search("url") & ~F.lower("url").endswith(".pdf")
     filed = rows.join(lookup_known(rows, known), "mpn").where(page & ((F.size("domains") == 0) | urls.on_domains("url", F.col("domains"))))
-    first = filed.groupBy(key).agg(F.max_by("url", F.struct(urls.keep_score("url").alias("s"), -F.col("key_rank"), -F.col("ord"), "url")).alias("filed"))
+    first = filed.groupBy(key).agg(F.max_by("url", F.struct(urls.keep_score("url", hosts).alias("s"), -F.col("key_rank"), -F.col("ord"), "url")).alias("filed"))
     asked = rows.select("mpn", F.explode("domains").alias("domain")).distinct()
-    guess = candidate_urls(asked, templates).where(~urls.is_search("url") & ~F.lower("url").endswith(".pdf")).groupBy("mpn").agg(F.max_by("url", F.struct("score", "url")).alias("guess"))
+    guess = candidate_urls(asked, templates, hosts=hosts).where(~urls.is_search("url") & ~F.lower("url").endswith(".pdf")).groupBy("mpn").agg(F.max_by("url", F.struct("score", "url")).alias("guess"))
     return rows.select(key, "mpn").join(first, key, "left").join(guess, "mpn", "left").select(key, F.coalesce("filed", "guess", F.lit("")).alias("url"))
 
 
@@ -116,14 +117,14 @@ def rejected(flags: DataFrame, least: int = 2) -> DataFrame:
     return out.select("field", "value", "n", (F.col("_g") | (F.col("n") >= least)).alias("rejected"))
 
 
-def discover_domains(hits: DataFrame, mpn: str = "mpn", url: str = "url", names: str = "names", top: int = 3) -> DataFrame:
+def discover_domains(hits: DataFrame, mpn: str = "mpn", url: str = "url", names: str = "names", top: int = 3, hosts: HostLists = BUILT_IN) -> DataFrame:
     """Hosts of search hits scored by name, part number in the path and kind of page; a host with a name wins outright."""
     h = urls.host(url)
     named = F.exists(F.col(names), lambda n: (F.length(n) >= 3) & F.exists(urls.labels(url), lambda x: x.startswith(n)))
     with_mpn = urls.path_has_mpn(url, F.col(mpn))
     page = F.lower(text(url)).rlike("/p/|/product|/item|/sku|/details")
-    score = F.when(named, 10).otherwise(0) + F.when(with_mpn, 8).otherwise(0) + F.when(page & with_mpn, 6).otherwise(0) + F.when(urls.official_score(url) > 10, 4).otherwise(0)
-    seen = hits.withColumns({"host": h, "named": named, "score": score, "_ok": named | (page & with_mpn)}).where((F.col("host") != "") & ~urls.is_blocked(url) & F.col("_ok"))
+    score = F.when(named, 10).otherwise(0) + F.when(with_mpn, 8).otherwise(0) + F.when(page & with_mpn, 6).otherwise(0) + F.when(urls.official_score(url, hosts=hosts) > 10, 4).otherwise(0)
+    seen = hits.withColumns({"host": h, "named": named, "score": score, "_ok": named | (page & with_mpn)}).where((F.col("host") != "") & ~urls.is_blocked(url, hosts) & F.col("_ok"))
     first = seen.groupBy(mpn, "host").agg(F.min_by(F.struct("score", "named"), "ord").alias("s")).select(mpn, "host", "s.score", "s.named")
     w = Window.partitionBy(mpn)
     kept = first.withColumn("_any", F.max("named").over(w)).where(F.col("named") | ~F.col("_any"))

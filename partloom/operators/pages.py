@@ -427,16 +427,6 @@ def mine_tokens(texts: DataFrame, column: str, least: int = 3, top: int = 80) ->
     return tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(top)
 
 
-def page_confirms(page: Column, value: Column, field: Column, around: int = 48) -> Column:
-    """The page repeats the value; a short number only counts near the field's name or with a unit."""
-    low, v = F.lower(page), F.lower(F.trim(value))
-    at = F.position(v, low)
-    window = F.substring(low, F.greatest(F.lit(1), at - around), F.length(v) + 2 * around)
-    short = v.rlike(r"^[\d./-]{1,3}$")
-    context = F.contains(window, F.lower(field)) | F.rlike(window, F.concat(F.lit(r"(^|[^\d.])\Q"), v, F.lit(r'\E\s*("|in\b|inch|mm|volt|v\b|amp|watt|w\b|rpm|lb)')))
-    return (v != "") & (at > 0) & (~short | context)
-
-
 def page_evidence(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: items (patterns first, then labelled pairs), approvals, warranty, marketing."""
     seen = pages.where(~is_pdf_body(html)).withColumn("_page", page_text(capped(html)))

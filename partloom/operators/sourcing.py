@@ -77,8 +77,8 @@ def first_of_kind(results: DataFrame, kind: Column, kinds: list[str], limit: int
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order, url))).where(F.col("rank") <= limit)
 
 
-def allowed_results(results: DataFrame, limit: int, domains: str = "domains") -> DataFrame:
-    return first_of_kind(results, urls.classify("url", F.col(domains), F.col(domains)), ["MANUFACTURER"], limit)
+def allowed_results(results: DataFrame, limit: int, domains: str = "domains", hosts: urls.HostLists = urls.BUILT_IN) -> DataFrame:
+    return first_of_kind(results, urls.classify("url", F.col(domains), F.col(domains), hosts), ["MANUFACTURER"], limit)
 
 
 def batch_rows(rows: DataFrame, only: str = "", limit: int = 0) -> DataFrame:

@@ -53,7 +53,7 @@ def slot_issues(slots: Column, category: Column, lov: dict = LOV, reference: dic
     return F.flatten(F.transform(slots, of))
 
 
-def issues(row: dict[str, Column], slots: Column, category: Column, lov: dict = LOV, reference: dict[str, list[str]] | None = None) -> Column:
+def issues(row: dict[str, Column], slots: Column, category: Column, lov: dict = LOV, reference: dict[str, list[str]] | None = None, hosts: urls.HostLists = urls.BUILT_IN) -> Column:
     """All issues of a row, in the order of the rules.  ``row`` maps delivery columns to expressions."""
     get = lambda k: text(row[k]) if k in row else F.lit("")
     n = F.length(get("MOBILE_DESC"))
@@ -64,7 +64,7 @@ def issues(row: dict[str, Column], slots: Column, category: Column, lov: dict =
         _when(F.length(get("SHORT_DESC")) > 240, _issue("SHORT_DESC", "exceeds recommended length", "warning")),
     ]
     filled = F.exists(slots, lambda s: s["value"] != "")
-    tail = [_when(urls.is_blocked(get(c)), _issue(c, "blocked ecommerce source URL", "error")) for c in ["MFR URL", *[f"Ref URL {i}" for i in range(1, 6)]] if c in row]
+    tail = [_when(urls.is_blocked(get(c), hosts), _issue(c, "blocked ecommerce source URL", "error")) for c in ["MFR URL", *[f"Ref URL {i}" for i in range(1, 6)]] if c in row]
     product = get("Product Name") != ""
     tail.append(_when(product & (get("Classpath") == ""), _issue("Classpath", "taxonomy missing for enriched product", "warning")))
     tail.append(_when(~filled, F.when(category == "built_in_dishwasher", _issue("attributes", "no dishwasher attributes populated", "warning")).otherwise(_issue("attributes", "no attributes populated from evidence", "warning"))))

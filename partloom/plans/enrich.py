@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import ABRASIVE_TEMPLATES, Dims
+from ..functions import urls
 from ..functions.text import sanitize, squash, text
-from ..operators import assemble, compose, describe, evidence, memory, validate
+from ..operators import assemble, citations, compose, describe, evidence, memory, validate
 from ..operators.analyze import analyze
 from ..operators.classify import route
 from ..operators.identity import resolve
@@ -56,19 +57,24 @@ def with_pages(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     return full.withColumns({"_items": empty("items"), "_features": empty("features"), "_image_urls": empty("image_urls"), "_ref_urls": empty("ref_urls")}).withColumnRenamed("_items", "_outside")
 
 
-def enrich(rows: DataFrame, dims: Dims | None = None, pages: DataFrame | None = None, known: DataFrame | None = None, templates: DataFrame | None = None) -> DataFrame:
+def enrich(rows: DataFrame, dims: Dims | None = None, pages: DataFrame | None = None, known: DataFrame | None = None, templates: DataFrame | None = None, fetched: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``pages(row_id, items, ...)`` holds each row's folded evidence from allowed pages (see ``OUTSIDE``), ``known(mpn, url, ord)`` and
-    ``templates(host, template)`` the url memory; all are optional."""
+    ``templates(host, template)`` the url memory, ``fetched`` the pages that were read for the rows: ``(row_id, ord, url)`` and
+    ``(url, html)``, which lend their citation to what a description claims; all are optional."""
     dims = dims or Dims()
+    hosts = urls.HostLists.of(dims)
     named = route(resolve(analyze(spread(rows), dims.abbreviations), dims), dims)
     found = own_evidence(with_pages(named, pages))
+    if fetched is not None:
+        cites = citations.confirmed(found.select("row_id", "items"), *fetched, hosts=hosts).select(F.col("row_id").alias("_row"), "cites")
+        found = found.join(cites, F.col("row_id") == F.col("_row"), "left").withColumn("items", citations.rehome(F.col("items"), F.col("cites"))).drop("_row", "cites")
     brand, maker, mpn, category = F.col("identity.brand_name"), F.col("identity.manufacturer_name"), F.col("normalized_mpn"), F.col("category_id")
     url = text("_page_url")
     if known is not None or templates is not None:
         spark = rows.sparkSession
         known = known if known is not None else spark.createDataFrame([], "mpn string, url string, ord long")
         templates = templates if templates is not None else spark.createDataFrame([], "host string, template string")
-        best = memory.best_mfr_url(named.select("row_id", F.col("normalized_mpn").alias("mpn"), F.col("identity.domains").alias("domains")), known, templates)
+        best = memory.best_mfr_url(named.select("row_id", F.col("normalized_mpn").alias("mpn"), F.col("identity.domains").alias("domains")), known, templates, hosts=hosts)
         found = found.join(best.select(F.col("row_id").alias("_row"), F.col("url").alias("_best_url")), F.col("row_id") == F.col("_row"), "left").drop("_row")
         url = F.coalesce(F.nullif(url, F.lit("")), "_best_url", F.lit(""))
     picked = found.withColumn("mfr_url", url).withColumn("_picks", assemble.template_picks(F.col("items"), category, dims))
@@ -82,6 +88,6 @@ def enrich(rows: DataFrame, dims: Dims | None = None, pages: DataFrame | None =
     }
     full = flat.withColumns(extra).withColumn("ref_urls", F.slice("_ref_urls", 1, 5)).drop("_d", "_values", "_style", "_best_url", "_outside", *[f"_{k}" for k in OUTSIDE])
     row = {k: F.col(k) for k in ("MOBILE_DESC", "SHORT_DESC", "INVOICE_DESC", "LONG_DESC1")} | {"MFR URL": F.col("mfr_url"), "Product Name": F.col("product_name"), "Classpath": F.col("classpath")}
-    checked = full.withColumn("issues", validate.issues(row, F.col("slots"), category, dims.lov)).withColumn("evidence_count", evidence.verified(F.col("items")))
+    checked = full.withColumn("issues", validate.issues(row, F.col("slots"), category, dims.lov, hosts=hosts)).withColumn("evidence_count", evidence.verified(F.col("items")))
     banded = checked.withColumn("band", validate.band(F.col("identity.confidence"), F.col("evidence_count")))
     return banded.withColumn("canonical_key", F.concat_ws("|", F.when(F.col("identity.brand_key") == "", F.lit("UNKNOWN")).otherwise(F.col("identity.brand_key")), "normalized_mpn"))

@@ -188,7 +188,7 @@ def value_equivalence(spark, sf_dir):
 # --- urls (URL, FIL) -----------------------------------------------------------------------------------------------------
 
 _H = HOST.format(u="url")
-_BLOCK = " OR ".join(f"list_contains(string_split({_H}, '.'), '{x}')" for x in ["spam-farm", "cheap-pills", "facebook", "amazon", "ebay", "youtube", "appliance", "appliances"])
+_BLOCK = " OR ".join(f"list_contains(string_split({_H}, '.'), '{x}')" for x in ["facebook", "amazon", "ebay", "youtube", "appliance", "appliances"])
 
 
 @query(f"SELECT page_id, {_H} AS host, len(string_split({_H}, '.'))::BIGINT AS n_labels, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages")
@@ -681,4 +681,4 @@ def slots_pivot(spark, sf_dir):
     return assemble.flatten(p)
 
 
-from . import queries_delivery  # noqa: E402, F401  registers its queries too
+from . import queries_delivery, queries_evidence  # noqa: E402, F401  register their queries too

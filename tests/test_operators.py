@@ -87,11 +87,6 @@ def test_pages(spark):
     assert [r[0] for r in soft.select(pages.is_usable(F.col("s"), "h", "u")).collect()] == [False, False, False, True]
 
 
-def test_confirm(one):
-    f = lambda page, v, field: one(pages.page_confirms(F.col("p"), F.col("v"), F.col("f")), p=page, v=v, f=field)
-    assert f("the disc is 7/8 in wide", "7/8", "Arbor") and not f("page 5 of 9", "5", "Diameter") and f("diameter 5 mm", "5", "Diameter") and not f("x", "", "A")
-
-
 @pytest.mark.parametrize("slots,category,want", [
     ([("Voltage Rating", "15 A", "")], "x", ["voltage field looks like amperage"]), ([("Voltage Rating", "120 VAC", "")], "x", []), ([("", "v", "")], "x", ["value without label"]), ([("Mounting Type", "wall", "")], "built_in_dishwasher", ["Mounting Type 'wall' not in LOV"]),
     ([("Mounting Type", "built-in", "")], "built_in_dishwasher", []), ([], "x", ["no attributes populated from evidence"]),
