@@ -5,10 +5,11 @@ Spark's higher-order functions: ``aggregate`` folds over a state of byte pieces
 joins the leftmost pair of lowest rank; ranks come from a literal map, dealt into small maps by a checksum because Spark
 searches a map from its beginning.  A word that is a token by itself is that token, as the library does it.
 
-Documents are dealt into batches of at most ``UNIT`` bytes of text (one exchange, compressed).  A batch sends each distinct word
-once; the merged words come back to the batches that asked, where texts become ids by look-up.  A word, however frequent, is one
-entry per batch, rows are spread by their place and not by a key, and nothing but the ranks (a fixed file) is in a plan or
-broadcast.  Matches of more than ``LONG`` bytes (a fold's cost grows with the square) and words that a recomputed batch had
+Documents are dealt into batches of about ``UNIT`` bytes of text (one exchange, compressed).  A batch sends each distinct word that
+is no token once; the merged words come back, packed by batch, to those that asked, where texts become ids by look-up.  Look-ups
+go by whole pieces between single blanks: no match of the pattern crosses a blank with other characters on both sides, so the
+pattern runs once over each distinct piece of a batch.  A word, however frequent, is one entry per batch, rows are spread by
+their place and not by a key, and nothing but the ranks (a fixed file) is in a plan or broadcast.  Matches of more than ``LONG`` bytes (a fold's cost grows with the square) and words that a recomputed batch had
 not sent are merged beside their text by ``merge``, which gives the same ids in n log n.
 
 Decoding concatenates the binary pieces of the ids in the JVM (as hexadecimal digits, ``unhex`` makes them bytes).
@@ -23,11 +24,13 @@ import base64
 import heapq
 import json
 import math
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +40,9 @@ from . import common
 from .rounds import deal, unpacked
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LONG, UNIT, MAPS, NONE = 512, 16 << 20, 1 << 15, 2**31 - 1
+LONG, UNIT, MAPS, NONE = 512, 32 << 20, 1 << 15, 2**31 - 1
+#: merged words packed at a time
+PACK = 1 << 18
 #: the library's white space is Unicode's; Python's has the separators 28 to 31 too
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -123,12 +128,21 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
             F.transform(F.sequence(F.lit(1), size - 1), lambda i: known(F.substring(word, i, F.lit(2)))).alias("pairs"),
         )
         folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda state: F.transform(state["pieces"], rank))
-        return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(folded)
+        return _let(rank(word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
     return _let(rank_maps(ranks), ids)
 
 
-class _Known(dict):
+#: blanks between two characters that are no white space (of Python, which has more of it than the library)
+BLANK, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s | \Z|\A ")
+
+
+def pieces(text: str) -> list[str]:
+    """A text without the blanks at which no match goes on."""
+    return BLANK.split(text) if ODD.search(text) else text.split(" ")
+
+
+class _Words(dict):
     """Words to ids as bytes; what is not there is merged on first use."""
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -142,68 +156,118 @@ class _Known(dict):
         return ids
 
 
+class _Pieces(dict):
+    """Pieces behind a blank to ids as bytes."""
+
+    def __init__(self, words: _Words, pattern: str):
+        super().__init__()
+        self.words, self.cut = words, splitter(pattern).findall
+
+    def ids(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.cut(piece)))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids(" " + piece)
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        first, *rest = pieces(text)
+        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+
+
+def _packed(batches):
+    """``batches, word, ids`` -> ``batch, words``: the merged words of each batch as compressed Arrow streams."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        sizes = pc.list_value_length(table.column("batches")).combine_chunks().to_numpy()
+        batch = table.column("batches").combine_chunks().flatten().to_numpy()
+        order = np.argsort(batch, kind="stable")
+        rows, batch = np.repeat(np.arange(len(sizes)), sizes)[order], batch[order]
+        lead = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1]))).tolist()
+        words, blobs = table.select(["word", "ids"]), []
+        for a, b in zip(lead, [*lead[1:], len(rows)]):
+            part, sink = words.take(pa.array(rows[a:b])).sort_by("word"), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(batch[lead], pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "words"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK:
+            yield flush()
+    if held:
+        yield flush()
+    common.release()
+
+
 def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", path: str = RANKS, pattern: str = public_tokenizers.PATTERN, unit: int = UNIT) -> tuple[DataFrame, str]:
-    """``keep`` columns and an array column of ids; its name, which clashes with none of them, is returned too."""
+    """``keep`` columns and a struct of ``ids`` (an array) and ``packed`` (the same as little-endian 32-bit integers); its name, which
+    clashes with none of them, is returned too."""
     keep = ["doc_id"] if keep is None else keep
-    name, ranks = common.free_name(keep, "ids"), read_ranks(path)
+    name, ranks = common.free_name(keep, "encoded"), read_ranks(path)
     own = [f"k{i}" for i in range(len(keep))]
+    names = [*own, "_ids", "_packed"]
     base = docs.select(*[F.col(c).alias(k) for k, c in zip(own, keep, strict=True)], F.monotonically_increasing_id().alias("_place"), F.col(text).alias("_text"))
     batches = max(8, math.ceil(common.text_bytes(docs, text) / unit))
     kept = to_arrow_schema(base.select(*own).schema)
 
     def words(table: pa.Table) -> pa.Table:
-        found, cut = set(), splitter(pattern).findall
+        first, rest, found = set(), set(), set()
         for part in unpacked(table, "_text"):
             for value in part.column("_text").to_pylist():
-                found.update(cut(value or ""))
-        sent = [b for w in found if len(b := w.encode()) <= LONG]
+                lead, *more = pieces(value or "")
+                first.add(lead)
+                rest.update(more)
+        cut = splitter(pattern).findall
+        for piece in first:
+            found.update(cut(piece))
+        for piece in rest:
+            found.update(cut(" " + piece))
+        sent = sorted(b for w in found if len(b := w.encode()) <= LONG and b not in ranks)
         number = table.column("batch")[0].as_py() if table.num_rows else 0
         return pa.table({"batch": pa.array([number] * len(sent), pa.int32()), "word": pa.array(sent, pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, cut, parts = _Known(ranks), splitter(pattern).findall, []
-        for part in right.select(["word", "ids"]).to_batches(max_chunksize=1 << 16):
-            ids = part.column("ids")
-            flat, at = ids.flatten().to_numpy().astype("<i4").tobytes(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4
-            known.update((w.decode(), flat[a:b]) for w, a, b in zip(part.column("word").to_pylist(), at.tolist(), at[1:].tolist()))
+        known = _Words(ranks)
+        for blob in right.column("words"):
+            for part in pa.ipc.open_stream(blob.as_buffer()):
+                ids = part.column("ids")
+                flat, at = ids.flatten().to_numpy().astype("<i4").tobytes(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4
+                known.update((w.decode(), flat[a:b]) for w, a, b in zip(part.column("word").to_pylist(), at.tolist(), at[1:].tolist()))
+        encoder, parts = _Pieces(known, pattern), []
         for part in unpacked(left, "_text") if left.num_rows else ():
-            blobs = [b"".join(map(known.__getitem__, cut(value or ""))) for value in part.column("_text").to_pylist()]
+            blobs = [encoder.text(value or "") for value in part.column("_text").to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
-            parts.append(pa.table([*(part.column(k) for k in own), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*own, "_ids"]))
-        nothing = pa.table([*(pa.array([], f.type) for f in kept), pa.array([], pa.list_(pa.int32()))], names=[*own, "_ids"])
+            parts.append(pa.table([*(part.column(k) for k in own), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(blobs, pa.binary())], names=names))
+        nothing = pa.table([*(pa.array([], f.type) for f in kept), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())], names=names)
         return pa.concat_tables([p.cast(nothing.schema) for p in parts]) if parts else nothing
 
     groups = deal(base, batches, "_place", "_text").groupBy("batch")
     asked = groups.applyInArrow(common.released(words), "batch int, word binary")
     merged = asked.groupBy("word").agg(F.collect_list("batch").alias("batches")).select("batches", "word", fold(F.col("word"), ranks).alias("ids"))
-    told = merged.select(F.explode("batches").alias("batch"), "word", "ids")
+    told = merged.mapInArrow(_packed, "batch int, words binary")
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.select(*own).schema)
-    found = groups.cogroup(told.groupBy("batch")).applyInArrow(common.released_pair(look_up), schema + "_ids array<int>")
-    return found.select(*[F.col(k).alias(c) for k, c in zip(own, keep, strict=True)], F.col("_ids").alias(name)), name
-
-
-def _digits(ids: Column, table: list[str]) -> Column:
-    """The bytes whose hexadecimal digits a table gives for each id."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(F.split(F.lit(",".join(table)), ","), i)), ""))
+    found = groups.cogroup(told.groupBy("batch")).applyInArrow(common.released_pair(look_up), schema + "_ids array<int>, _packed binary")
+    return found.select(*[F.col(k).alias(c) for k, c in zip(own, keep, strict=True)], F.struct(F.col("_ids").alias("ids"), F.col("_packed").alias("packed")).alias(name)), name
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of a list of ids: their pieces, one after the other."""
-    pieces = [""] * (max(ranks.values()) + 1)
+    digits = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return _digits(ids, pieces)
-
-
-def as_words(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids as little-endian unsigned 32-bit integers."""
-    return _digits(ids, [i.to_bytes(4, "little").hex() for i in range(max(ranks.values()) + 1)])
+        digits[rank] = token.hex()
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(F.split(F.lit(",".join(digits)), ","), i)), ""))
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, ids = encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ranks = read_ranks()
-    return found.select(
-        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(as_words(F.col(ids), ranks), 256).alias("ids_sha256"), F.sha2(decode(F.col(ids), ranks), 256).alias("decoded_sha256")
-    )
+    found, name = encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = F.col(name)
+    return found.select("doc_id", F.size(s["ids"]).cast("bigint").alias("n_tokens"), F.sha2(s["packed"], 256).alias("ids_sha256"), F.sha2(decode(s["ids"], read_ranks()), 256).alias("decoded_sha256"))

@@ -13,6 +13,7 @@ from partloom.llm import bpe
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", " ", "\n\n\t ", "a", "don't WE'LL 1234567 x² ½", "naïve 中文字 кириллица 🙂🙂 é", "=" * 700, "x" * 5000, "ab" * 300, " " * 900 + "z", "a\x1cb\x1f c\x85d e　 f", "<|endoftext|> \x00\x00", "the the  the   the\r\n"]
+SPACED = [f"a{x}b{y} c{x}{y}d {x}" for x in (" ", "  ", " \n", "\n ", "\x1c ", " \xa0", "\t", "   ") for y in ("", " ", "'s ", "\n\n")]
 
 
 @pytest.fixture(scope="module")
@@ -51,14 +52,15 @@ def test_equal_ranks_and_chains(spark):
 
 
 def test_encode_texts(spark, ranks, library):
-    rows = [(i, t, "q") for i, t in enumerate(TEXTS)] + [(None, "no id", "q"), (3, TEXTS[5], "q"), (3, TEXTS[5], "q")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    found, name = bpe.encode(frame, ["doc_id", "text", "ids"])
-    assert name != "ids"
-    got = found.select("*", bpe.decode(F.col(name), ranks).alias("back")).collect()
+    rows = [(i, t, "q") for i, t in enumerate([*TEXTS, *SPACED])] + [(None, "no id", "q"), (3, TEXTS[5], "q"), (3, TEXTS[5], "q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, encoded string").repartition(3)
+    found, name = bpe.encode(frame, ["doc_id", "text", "encoded"], unit=4000)
+    assert name != "encoded"
+    got = found.select("*", bpe.decode(F.col(name)["ids"], ranks).alias("back")).collect()
     assert len(got) == len(rows)
     for row in got:
-        assert row[name] == library.encode_ordinary(row.text or "") and bytes(row.back) == (row.text or "").encode() and row.ids == "q"
+        ids = library.encode_ordinary(row.text or "")
+        assert row[name]["ids"] == ids and bytes(row[name]["packed"]) == np.array(ids, "<u4").tobytes() and bytes(row.back) == (row.text or "").encode() and row.encoded == "q"
     assert bpe.encode(frame.limit(0))[0].count() == 0
 
 
