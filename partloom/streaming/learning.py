@@ -7,7 +7,7 @@ next only after the key's period; its state is cleared by a timer.  Both run the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -99,30 +99,34 @@ def learn_batch(attempts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(lambda batches: _runs(batches, lambda: {"host": [0, 0, 0], "paths": {}}, step, schema), LESSON)
 
 
+def _micros(t: datetime) -> int:
+    """Microseconds since the epoch of a time with a zone, or of a local one."""
+    return (t.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+
 class Guard(StatefulProcessor):
     """Passes a key's event if none passed within ``days`` before it."""
 
     def __init__(self, days: float):
-        self.period = timedelta(days=days)
+        self.period = timedelta(days=days) // timedelta(microseconds=1)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "at timestamp")
+        self.until = handle.getValueState("until", "micros bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        until: datetime | None = self.until.get()[0] if self.until.exists() else None
-        old = until
+        old = until = self.until.get()[0] if self.until.exists() else None
         for r in sorted(rows, key=lambda r: r.ts):
-            if until is None or r.ts >= until:
-                until = r.ts + self.period
+            if until is None or _micros(r.ts) >= until:
+                until = _micros(r.ts) + self.period
                 yield Row(key=key[0], ts=r.ts)
-        if until is not None and until != old:
+        if until != old:
             self.until.update((until,))
-            self.handle.registerTimer(int(until.timestamp() * 1000))
+            self.handle.registerTimer(-(-until // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The clock passed a period's end: a key that was not renewed since is forgotten."""
-        if self.until.exists() and self.until.get()[0].timestamp() * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+        if self.until.exists() and self.until.get()[0] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
             self.until.clear()
         yield from ()
 
@@ -132,8 +136,8 @@ class Guard(StatefulProcessor):
 
 def guard_stream(events: DataFrame, days: float = 30, late: str = "1 hour") -> DataFrame:
     """``key, ts`` of a stream -> the events that pass; the clock is the events' own, and state goes when it passes a period's end.
-    Events later than the watermark are dropped.  Needs the RocksDB state store."""
-    seen = events.select("key", "ts").withWatermark("ts", late)
+    Events without a time and those later than the watermark are dropped.  Needs the RocksDB state store."""
+    seen = events.select("key", "ts").where("ts IS NOT NULL").withWatermark("ts", late)
     return seen.groupBy("key").transformWithState(statefulProcessor=Guard(days), outputStructType=StructType.fromDDL("key string, ts timestamp"), outputMode="Append", timeMode="EventTime")
 
 
@@ -143,7 +147,7 @@ def guard_batch(events: DataFrame, days: float = 30) -> DataFrame:
 
     kind = events.schema["key"].dataType.simpleString()
     ddl = f"key {kind}, ts timestamp, passed boolean"
-    schema, period = to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC"), timedelta(days=days)
+    schema, period = to_arrow_schema(StructType.fromDDL(ddl)), timedelta(days=days)
 
     def step(state: dict, row: dict) -> dict:
         passed = row["ts"] is not None and (state["until"] is None or row["ts"] >= state["until"])
