@@ -43,6 +43,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG, UNIT, MAPS, NONE = 512, 32 << 20, 1 << 15, 2**31 - 1
 #: merged words packed at a time
 PACK = 1 << 18
+#: stands before and behind a word's pieces, so that every pair has neighbours; part of no token
+EDGE = b"\xff" * 4
 #: the library's white space is Unicode's; Python's has the separators 28 to 31 too
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,6 +55,8 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:
         raise ValueError(f"{path} lacks the bytes {missing}")
+    if any(EDGE in token for token in ranks):
+        raise ValueError(f"{path} has a token with {EDGE!r}")
     return ranks
 
 
@@ -109,13 +113,11 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
 
         def join_at(state: Column, i: Column) -> Column:
             pieces, pairs = state["pieces"], state["pairs"]
-            none = F.slice(pairs, 1, F.lit(0))
 
             def placed(new: Column) -> Column:
-                left = F.when(i > 1, F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(known(F.concat(nth(pieces, i - 1), new))))).otherwise(none)
-                right = F.when(i + 2 <= F.size(pieces), F.concat(F.array(known(F.concat(new, nth(pieces, i + 2)))), F.slice(pairs, i + 2, F.size(pairs)))).otherwise(none)
-                joined = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(new), F.slice(pieces, i + 2, F.size(pieces)))
-                return F.struct(joined.alias("pieces"), F.concat(left, right).alias("pairs"))
+                joined = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(new), F.slice(pieces, i + 2, size + 2))
+                beside = F.array(known(F.concat(nth(pieces, i - 1), new)), known(F.concat(new, nth(pieces, i + 2))))
+                return F.struct(joined.alias("pieces"), F.concat(F.slice(pairs, F.lit(1), i - 2), beside, F.slice(pairs, i + 2, size + 2)).alias("pairs"))
 
             return _let(F.concat(nth(pieces, i), nth(pieces, i + 1)), placed)
 
@@ -123,23 +125,24 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
             lowest = F.array_min(state["pairs"])
             return F.when(lowest < NONE, _let(F.array_position(state["pairs"], lowest).cast("int"), lambda i: join_at(state, i))).otherwise(state)
 
+        edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
         begin = F.struct(
-            F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))).alias("pieces"),
-            F.transform(F.sequence(F.lit(1), size - 1), lambda i: known(F.substring(word, i, F.lit(2)))).alias("pairs"),
+            F.concat(edge, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))), edge).alias("pieces"),
+            F.concat(none, F.transform(F.sequence(F.lit(1), size - 1), lambda i: known(F.substring(word, i, F.lit(2)))), none).alias("pairs"),
         )
-        folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda state: F.transform(state["pieces"], rank))
+        folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda state: F.transform(F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - 2), rank))
         return _let(rank(word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
     return _let(rank_maps(ranks), ids)
 
 
 #: blanks between two characters that are no white space (of Python, which has more of it than the library)
-BLANK, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s|\s | \Z|\A ")
+BLANK, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" (?:(?<=\s )|\s|\Z)")
 
 
 def pieces(text: str) -> list[str]:
     """A text without the blanks at which no match goes on."""
-    return BLANK.split(text) if ODD.search(text) else text.split(" ")
+    return BLANK.split(text) if text[:1] == " " or ODD.search(text) else text.split(" ")
 
 
 class _Words(dict):
