@@ -128,6 +128,7 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 
 def unescape(x: Column | str) -> Column:
+    """The entities that occur in short values; whole pages go through ``entities.decode_references``."""
     out = text(x)
     for entity, mark in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(mark))
@@ -143,7 +144,9 @@ def visible(x: Column | str) -> Column:
 
 def page_text(x: Column | str) -> Column:
     """Unescape first, then drop markup, so escaped tags vanish too; white space is squashed, ends are kept."""
-    return F.regexp_replace(visible(unescape(x)), BLANKS, " ")
+    from .entities import decode_references
+
+    return F.regexp_replace(visible(decode_references(x)), BLANKS, " ")
 
 
 def pad_mobile(core: Column, mpn: Column, brand: Column, manufacturer: Column, minimum: int = 60) -> Column:

@@ -37,11 +37,6 @@ def run_key(inputs: DataFrame, columns: list[str], options: str) -> DataFrame:
     return digest.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"), F.lit(options)), 256).alias("key"))
 
 
-def window_of(rows: DataFrame, offset: int, limit: int, order: str = "row_id") -> DataFrame:
-    """A page of the ordered rows: the limit is the feature."""
-    return rows.orderBy(order).offset(offset).limit(limit)
-
-
 def first_fetches(candidates: DataFrame, key: str = "mpn", size: int = 8, spare: int = 2) -> DataFrame:
     """At most ``size`` urls a key: products first, but ``spare`` places are kept for searches.  ``candidates(key, url, ord)``."""
     kind = candidates.withColumn("_search", urls.is_search("url"))
@@ -94,14 +89,6 @@ def precedence(rows: DataFrame, key: str, ranks: dict[str, int], origin: str = "
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
-def is_company(label: Column, description: Column, types: Column, want: Column, allow: list[str], reject: list[str]) -> Column:
-    """A knowledge-base entity that may be the maker: rejecting words, rejected types, allowed types, company words, then
-    an equal label."""
-    low = F.lower(text(description))
-    overlap = lambda xs: F.arrays_overlap(types, F.array(*[F.lit(x) for x in xs]))
-    return F.when(low.rlike("disambiguation|given name|surname|village|film|album|song"), F.lit(False)).when(overlap(reject), F.lit(False)).when(overlap(allow), F.lit(True)).when(low.rlike("company|manufacturer|brand|business|corporation"), F.lit(True)).otherwise(F.lower(strip(label)) == F.lower(strip(want)))
-
-
 def substring_match(actual: DataFrame, expected: DataFrame, key: str = "mpn") -> DataFrame:
     """Expected rows beside the actual row of an equal key, else of a key that contains it.  The second join only sees
     what the first left over and meets it on shared five-character grams, not by comparing all pairs."""

@@ -157,8 +157,3 @@ def expand_families(domains: DataFrame, families: list[list[str]], domain: str =
     """Sister domains of each domain by equality within its family (a broadcast-size constant table)."""
     table = domains.sparkSession.createDataFrame([(a, b) for f in families for a in f for b in f if a != b], "domain string, sister string")
     return domains.join(table, domains[domain] == table["domain"], "inner").select(domains[domain].alias(domain), "sister").distinct()
-
-
-def merge_caps(state: DataFrame, key: str, order: str, cap: int) -> DataFrame:
-    """The newest ``cap`` rows: the size limit of a learned table (a top-k by definition)."""
-    return state.orderBy(F.desc(order), key).limit(cap)

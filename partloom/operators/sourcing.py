@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import Dims
 from ..functions import urls
+from . import positions
 from ..functions.text import strip, text, texts
 
 
@@ -85,4 +86,4 @@ def batch_rows(rows: DataFrame, only: str = "", limit: int = 0) -> DataFrame:
     """Rows of a run: all, dishwashers or one buying group; a run's limit counts the rows that are left, in their order."""
     kept = {"dishwasher": F.contains(F.lower("Part_Desc"), F.lit("dishwasher")), "appde": F.contains("Part_Manuf", F.lit("APPDE"))}.get(only)
     out = rows if kept is None else rows.where(kept)
-    return out.orderBy("row_id").limit(limit) if limit else out
+    return positions.page_of(out, ["row_id"], 0, limit) if limit else out

@@ -115,7 +115,7 @@ def label_forms(spark, sf_dir):
     return s.select("s_suppkey", T.compact_key("s_name").alias("compact"), T.label_key("s_name").alias("label_key"), T.file_key("s_name").alias("file_key"), (T.strip("s_name") == "").alias("is_blank"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&reg;', '®'), '&trade;', '™'), '&deg;', '°'), '&amp;', '&'), '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '[\\s\\x{A0}]+', ' ', 'g') AS visible FROM pages""")
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#34;', '"'), '&#39;', ''''), '&apos;', ''''), '&reg;', '®'), '&trade;', '™'), '&deg;', '°'), '&amp;?', '&', 'g'), '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '[\\s\\x{A0}]+', ' ', 'g') AS visible FROM pages""")
 def page_text(spark, sf_dir):
     """STR-19, T-30."""
     return tables.pages(spark, sf_dir).select("page_id", T.page_text("html").alias("visible"))
@@ -655,12 +655,6 @@ def event_window_counts(spark, sf_dir):
     return jobs.event_counts(_t(spark, sf_dir, "events")).select("window_start", "event_type", "n")
 
 
-@query("""SELECT user_id, min(ts) AS first_seen, count(*)::BIGINT AS n, count(*) <= 20 AS within_budget FROM events GROUP BY user_id""")
-def processed_once(spark, sf_dir):
-    """STM-05, STM-06."""
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.count("*").alias("n")).withColumn("within_budget", F.col("n") <= 20)
-
-
 @query("""SELECT c_custkey, sha256(c_custkey::VARCHAR || '|' || c_name) AS content_hash FROM customer""")
 def cache_hash(spark, sf_dir):
     """SRC-14, SNK-05, SRC-20."""

@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import citations, evidence
+from .operators import citations, evidence, lookup, positions, shared
 from .queries import _list, _t, query
 from .sources import tables
+from .streaming import learning
 
 _UNESCAPED = "replace(" * 5 + "html, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&')"
 _FORMS = """CASE WHEN field = 'Width' THEN list_filter([v, v || ' in', v || '"', v || '-inch', v || ' inch'], lambda z: length(v) > 1) ELSE [lower(v)] END"""
@@ -35,3 +36,99 @@ def confirmed_citations(spark, sf_dir):
     cites = citations.confirmed(items, links, p.select("url", "html"), "page_id")
     done = items.join(cites, "page_id").select("page_id", F.explode(citations.rehome(F.col("items"), F.col("cites"))).alias("i"))
     return done.select("page_id", "i.field", "i.value", "i.source_url", F.round("i.confidence", 4).alias("confidence")).where(~F.col("source_url").startswith("input:"))
+
+
+# --- positions, learning in order, guards (STM-02, STM-04..06, LIM-02, FIL-07, FIL-12) ---------------------------------------------
+
+
+@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, event_type = 'view' AS wanted FROM events),
+a AS (SELECT *, CASE WHEN wanted THEN sum(CASE WHEN wanted THEN 1 ELSE 0 END) OVER (ORDER BY position) END::BIGINT AS attempt FROM p)
+SELECT event_id, user_id, position::BIGINT AS position, attempt, attempt <= 1000 AS allowed FROM a""")
+def fetch_budget(spark, sf_dir):
+    """STM-02, STM-06, LIM-02: the place of each event in the order of all, and a budget that spans all users."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    placed = positions.numbered(e, ["ts", "event_id"])
+    done = positions.budgeted(placed, ["position"], 1000, F.col("event_type") == "view")
+    return done.select("event_id", "user_id", "position", "attempt", "allowed")
+
+
+_KINDS = "CASE event_type WHEN 'click' THEN 'miss' WHEN 'view' THEN 'hit' WHEN 'purchase' THEN 'junk' ELSE 'chrome' END"
+
+
+@query(f"""WITH e AS (SELECT 'h' || user_id % 50 AS host, event_id AS ord, 't' || event_id % 40 AS template, {_KINDS} AS kind FROM events),
+n AS (SELECT *, row_number() OVER w AS k, CASE WHEN kind = 'miss' THEN 1 ELSE 0 END AS m FROM e WINDOW w AS (PARTITION BY host, template ORDER BY ord)),
+d AS (SELECT *, sum(m) FILTER (k <= 2) OVER (PARTITION BY host, template) = 2 AS dead, sum(m) OVER w AS misses FROM n WINDOW w AS (PARTITION BY host, template ORDER BY ord)),
+t AS (SELECT *, NOT dead OR k <= 2 AS tried FROM d),
+s AS (SELECT *, coalesce(sum(CASE WHEN tried AND kind = 'hit' THEN 1 ELSE 0 END) OVER w, 0) AS useful, sum(CASE WHEN tried AND kind = 'junk' THEN 1 ELSE 0 END) OVER w AS junk, sum(CASE WHEN tried AND kind = 'chrome' THEN 1 ELSE 0 END) OVER w AS chrome FROM t WINDOW w AS (PARTITION BY host ORDER BY ord))
+SELECT host, ord, template, kind, tried, CASE WHEN tried THEN misses ELSE 2 END::BIGINT AS miss, CASE WHEN tried THEN k - misses ELSE 0 END::BIGINT AS hit, useful = 0 AND (chrome >= 1 OR junk >= 2) AS storefront FROM s""")
+def learned_in_order(spark, sf_dir):
+    """STM-04, FIL-07, FIL-12: what the fetcher knows of a host and a template at each attempt, in the order of the attempts."""
+    kind = F.when(F.col("event_type") == "click", "miss").when(F.col("event_type") == "view", "hit").when(F.col("event_type") == "purchase", "junk").otherwise("chrome")
+    e = _t(spark, sf_dir, "events").select(
+        F.concat(F.lit("h"), (F.col("user_id") % 50).cast("string")).alias("host"), F.col("event_id").alias("ord"), F.lit("").alias("mpn"), F.concat(F.lit("t"), (F.col("event_id") % 40).cast("string")).alias("template"), kind.alias("kind")
+    )
+    return learning.learn_batch(e).drop("mpn")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT user_id, ts, k, true AS passed, ts AS last FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.ts, e.k, e.ts >= r.last + INTERVAL 3 DAY, CASE WHEN e.ts >= r.last + INTERVAL 3 DAY THEN e.ts ELSE r.last END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, ts, passed, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
+def processed_once(spark, sf_dir):
+    """STM-05: a user's event passes if none passed in the three days before it."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return learning.guard_batch(e, days=3).groupBy(F.col("key").alias("user_id"), "ts", "passed").agg(F.count("*").alias("n"))
+
+
+# --- shared memory (AGG-17, SRC-19) and entity lookup (SRC-17, SUP-32) --------------------------------------------------------------
+
+_MEMORY = """c AS (SELECT 'm' || o_custkey % 40 AS mpn, 'https://h' || o_orderkey % 97 || '.example/p' AS url, o_orderkey AS ord, o_orderkey % 2 AS side FROM orders)"""
+
+
+@query(f"""WITH {_MEMORY}, b AS (SELECT mpn, url, min(ord) AS ord FROM c WHERE side = 0 GROUP BY ALL), o AS (SELECT mpn, url, min(ord) + (SELECT max(ord) + 1 FROM c WHERE side = 0) AS ord FROM c WHERE side = 1 GROUP BY ALL),
+m AS (SELECT * FROM b UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.mpn = o.mpn AND b.url = o.url)),
+k AS (SELECT mpn, sum(length(mpn) + length(url) + length(ord::VARCHAR)) AS size, min(ord) AS born FROM m GROUP BY mpn),
+t AS (SELECT mpn, sum(size) OVER (ORDER BY born DESC, mpn DESC) AS total FROM k)
+SELECT m.mpn, url, ord::BIGINT AS ord FROM m JOIN t ON m.mpn = t.mpn WHERE total <= 20000""")
+def shared_memory_trim(spark, sf_dir):
+    """AGG-17, SRC-19: two runs' known urls merged, then whole part numbers dropped, oldest first, to 20 000 bytes."""
+    o = _t(spark, sf_dir, "orders")
+    c = o.select(F.concat(F.lit("m"), (F.col("o_custkey") % 40).cast("string")).alias("mpn"), F.concat(F.lit("https://h"), (F.col("o_orderkey") % 97).cast("string"), F.lit(".example/p")).alias("url"), F.col("o_orderkey").cast("bigint").alias("ord"))
+    merged = shared.merge_table("known_urls", c.where("ord % 2 = 0"), c.where("ord % 2 = 1"))
+    return shared.trimmed(merged, 20_000)
+
+
+@query("""WITH f AS (SELECT lower(event_type) AS field, 'v' || user_id % 30 AS value, event_id % 3 AS n, event_id % 11 = 0 AS global FROM events)
+SELECT field, value, max(n)::BIGINT AS n, bool_or(global) OR max(n) >= 2 AS global FROM f GROUP BY ALL""")
+def shared_rejections(spark, sf_dir):
+    """AGG-17: two runs' rejections merged by the larger count and either's verdict."""
+    e = _t(spark, sf_dir, "events").select(F.lower("event_type").alias("field"), F.concat(F.lit("v"), (F.col("user_id") % 30).cast("string")).alias("value"), (F.col("event_id") % 3).cast("bigint").alias("n"), (F.col("event_id") % 11 == 0).alias("global"), (F.col("event_id") % 2).alias("side"))
+    return shared.merge_table("rejected", e.where("side = 0").drop("side"), e.where("side = 1").drop("side"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_mktsegment || ' ' || c_name AS label, ['company', 'film', 'brand of tools', ''][c_custkey % 4 + 1] AS description, CASE WHEN c_custkey % 7 = 0 THEN 'Q5' WHEN c_custkey % 5 = 0 THEN 'Q783794' ELSE '' END AS kind,
+  lower(c_mktsegment) || '-' || c_custkey || CASE WHEN c_custkey % 6 = 0 THEN '.amazon.com' ELSE '.example' END AS host FROM customer),
+s AS (SELECT s_suppkey, ['Building Works', 'AUTOMOBILE Customer#' || lpad((s_suppkey * 3)::VARCHAR, 9, '0'), 'machinery', 'Unknown Maker'][s_suppkey % 4 + 1] AS name FROM supplier),
+q AS (SELECT DISTINCT name, lower(name) AS query, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS words FROM s),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(label), '[a-z0-9]+')) AS theirs FROM c), x AS (SELECT *, unnest(theirs) AS word FROM w), n AS (SELECT word, count(*) AS n FROM x GROUP BY word),
+r AS (SELECT name, query, any_value(words) AS words, arg_min(word, (n.n, word)) AS word FROM (SELECT *, unnest(words) AS word FROM q) JOIN n USING (word) GROUP BY ALL),
+p AS (SELECT r.*, x.id, x.label, x.description, x.kind, x.host, row_number() OVER (PARTITION BY query ORDER BY (lower(x.label) <> query)::INT, (NOT starts_with(lower(x.label), query))::INT,
+  -len(list_intersect(words, theirs)) / len(list_distinct(list_concat(words, theirs)))::DOUBLE, x.id::VARCHAR) AS rank FROM r JOIN x USING (word)),
+g AS (SELECT name, arg_min(id, rank) AS id, arg_min(host, rank) AS host FROM p WHERE rank <= {lookup.CANDIDATES} AND NOT contains(description, 'film') AND kind <> 'Q5' AND NOT contains(host, 'amazon')
+  AND (kind = 'Q783794' OR contains(description, 'company') OR contains(description, 'brand') OR lower(label) = query) AND (contains(split_part(host, '-', 1), 'building') AND contains(query, 'building') OR contains(host, 'automobile') AND contains(query, 'automobile')
+  OR contains(host, 'machinery') AND contains(query, 'machinery')) GROUP BY name)
+SELECT s_suppkey, s.name, g.id::VARCHAR AS entity, coalesce(g.host, '') AS host FROM s LEFT JOIN g ON s.name = g.name""")
+def official_hosts(spark, sf_dir):
+    """SRC-17, SUP-32: suppliers' names looked up among entities made of customers, each different name once."""
+    k = F.col("c_custkey")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    host = F.concat(F.lower("c_mktsegment"), F.lit("-"), k.cast("string"), F.when(k % 6 == 0, ".amazon.com").otherwise(".example"))
+    entities = _t(spark, sf_dir, "customer").select(
+        k.cast("string").alias("id"), F.concat("c_mktsegment", F.lit(" "), "c_name").alias("label"), pick("company", "film", "brand of tools", "").alias("description"),
+        F.array(F.when(k % 7 == 0, "Q5").when(k % 5 == 0, "Q783794").otherwise("")).alias("types"), F.array(F.concat(F.lit("https://www."), host, F.lit("/about"))).alias("urls"),
+    )
+    n = F.col("s_suppkey")
+    name = F.element_at(F.array(F.lit("Building Works"), F.concat(F.lit("AUTOMOBILE Customer#"), F.lpad((n * 3).cast("string"), 9, "0")), F.lit("machinery"), F.lit("Unknown Maker")), (n % 4 + 1).cast("int"))
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.array(name).alias("names"))
+    found = lookup.official_hosts(rows, entities)
+    return rows.join(found, "names", "left").select("s_suppkey", F.get("names", F.lit(0)).alias("name"), "entity", F.coalesce(F.array_join("hosts", ","), F.lit("")).alias("host"))

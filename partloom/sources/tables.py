@@ -89,11 +89,6 @@ def fresh_cache(cache: DataFrame, columns: list[str], now: Column, days: int = 3
     return cache.where((F.col("content_hash") == content_hash(columns)) & F.col("fetched_at").isNotNull() & (F.col("fetched_at") > now - F.make_dt_interval(F.lit(days))))
 
 
-def newest(files: DataFrame, order: str, key: str, cap: int = 300) -> DataFrame:
-    """The newest ``cap`` cached files: a cache limit, by definition a top-k."""
-    return files.orderBy(F.desc(order), key).limit(cap)
-
-
 def taxonomy_union(bundled: DataFrame, official: DataFrame) -> DataFrame:
     """Leaves keyed by classpath: official ones replace bundled ones and keep their place."""
     both = bundled.withColumn("_src", F.lit(0)).unionByName(official.withColumn("_src", F.lit(1)), allowMissingColumns=True)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..dims import Dims
 from ..operators import memory
 from ..plans.enrich import enrich
+from ..sources.state_log import Conflict, StateLog
 
 
 def enrich_stream(rows: DataFrame, dims: Dims | None = None) -> DataFrame:
@@ -29,23 +30,41 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def once_per_key(events: DataFrame, key: str, ttl: str = "30 days", time: str = "ts") -> DataFrame:
-    """The first event of each key within the TTL (processed-once guard with expiry)."""
-    return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+def table_merge(log: StateLog, merge: Callable[[DataFrame, DataFrame], DataFrame], delta: Callable[[DataFrame], DataFrame] | None = None, run: str = "stream", frames: int = 8) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink that merges each micro-batch into a versioned state table.
 
-
-def table_merge(spark: SparkSession, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink that merges each micro-batch into a state table kept as numbered Parquet versions; a batch
-    that is delivered again writes the same version from the same predecessor.  Only batch 0 begins without a state: if an
-    earlier version cannot be read, the batch fails rather than begin anew."""
+    The manifest of a version carries the last batch of each ``run``, so a batch that is delivered again is passed over, whether the
+    writer died before or after the version was in place, and a run with a new checkpoint goes on from the state that is there
+    (name it anew: its batches count from zero).  With ``delta`` (the batch in the state's form, if ``merge`` of states is
+    associative) a batch only adds a frame, and every ``frames`` batches the frames are merged into one; readers merge what they read."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        state = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(f"{path}/v{number - 1}")
-        merge(state, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        while True:
+            base = log.manifest()
+            if base["mark"].get(run, -1) >= number:
+                return
+            mark = {run: number}
+            try:
+                if delta is not None and len(base["frames"]) < frames:
+                    log.commit(delta(batch), base, add=True, mark=mark)
+                else:
+                    log.commit(merge(log.read(base["version"]), batch if delta is None else delta(batch)), base, mark=mark)
+                return
+            except Conflict:
+                continue
 
     return sink
 
 
-def dead_path_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    schema = "host string, template string, miss long, hit long, dead boolean"
-    return table_merge(spark, path, lambda state, batch: memory.merge_counters(state, memory.dead_paths(batch)), schema)
+DEAD = "host string, template string, miss bigint, hit bigint, dead boolean"
+
+
+def dead_paths(log: StateLog, version: int | str | None = None) -> DataFrame:
+    """The counters of a version: its frames added up."""
+    state = log.read(version)
+    return memory.merge_counters(state, state.limit(0))
+
+
+def dead_path_sink(spark: SparkSession, path: str, run: str = "stream", frames: int = 8) -> Callable[[DataFrame, int], None]:
+    """Outcomes of a stream added to the dead paths; ``dead_paths`` reads them."""
+    return table_merge(StateLog(spark, path, DEAD), memory.merge_counters, memory.dead_paths, run, frames)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from partloom.dims import Dims
 from partloom.operators import memory
 from partloom.sources import tables
+from partloom.sources.state_log import StateLog
 from partloom.streaming import jobs
 
 
@@ -34,14 +35,22 @@ def test_a_broken_dictionary_is_no_missing_one(spark, tmp_path, body):
         Dims.load(spark, str(tmp_path))
 
 
-def test_state_that_cannot_be_read_stops_the_stream(spark, tmp_path):
-    sink = jobs.dead_path_sink(spark, str(tmp_path))
+def test_state_survives_repeats_restarts_and_lost_frames(spark, tmp_path):
+    path = str(tmp_path / "dead")
+    sink = jobs.dead_path_sink(spark, path, frames=2)
+    log = StateLog(spark, path, jobs.DEAD)
     batch = spark.createDataFrame([("https://a.com/{mpn}", False)], "template string, ok boolean")
-    sink(batch, 0)
-    sink(batch, 1)
-    assert spark.read.parquet(f"{tmp_path}/v1").first().miss == 2
+    for number in (0, 1, 1, 0, 2, 3):  # 1 and 0 are delivered again
+        sink(batch, number)
+    assert jobs.dead_paths(log).first().miss == 4 and len(log.manifest()["frames"]) <= 3
+    # a new checkpoint over the same table learns on
+    jobs.dead_path_sink(spark, path, run="second")(batch, 0)
+    assert jobs.dead_paths(log).first().miss == 5
+    # a frame that is gone stops the stream rather than pass for an empty one
+    frame = log.manifest()["frames"][0]
+    (tmp_path / "dead/data" / frame).rename(tmp_path / "away")
     with pytest.raises(Exception):  # noqa: B017
-        sink(batch, 7)
+        [sink(batch, n) or jobs.dead_paths(log).count() for n in (4, 5, 6)]
 
 
 def test_cache_freshness(spark):
@@ -70,11 +79,9 @@ def test_stream_state_equals_batch(spark, tmp_path):
     for k in range(4):
         frame.where(F.pmod(F.hash("template", "ok"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    last = []
-    sink = jobs.dead_path_sink(spark, str(tmp_path / "state"))
-    q = jobs.start(stream, lambda b, n: (sink(b, n), last.append(n)), str(tmp_path / "checkpoint"))
+    q = jobs.start(stream, jobs.dead_path_sink(spark, str(tmp_path / "state"), frames=2), str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / f"state/v{max(last)}"))
+    got = jobs.dead_paths(StateLog(spark, str(tmp_path / "state"), jobs.DEAD))
     key = lambda d: sorted((r.host, r.template, r.miss, r.hit, r.dead) for r in d.collect())
     assert key(got) == key(memory.dead_paths(frame))
 
