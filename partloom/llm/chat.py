@@ -40,10 +40,12 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     clean = turns.select("conv_id", lone.alias("lone"), "turn", role.alias("role"), safe(F.coalesce("text", F.lit(""))).alias("text"))
     clean = clean.withColumn("block", F.floor(F.col("turn") / block))
     order = Window.partitionBy(*conversation, "block").orderBy("turn", "role", "text")
-    placed = clean.withColumn("place", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("place") / block))
-    sides = clean.where("role <> 'system'").select("conv_id", "lone", F.col("role").alias("perspective")).distinct()
-    here, there = placed.alias("a"), sides.alias("b")
-    met = here.join(there, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.lone") == F.col("b.lone"))).select("a.*", "b.perspective")
+    known = clean.where("conv_id IS NOT NULL")
+    placed = known.withColumn("place", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("place") / block))
+    sides = known.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
+    # a row without a conversation id has one side, its own: it meets nothing, so its number is made and read in one place
+    single = clean.where("conv_id IS NULL AND role <> 'system'").select("*", F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("part"), F.col("role").alias("perspective"))
+    met = placed.join(sides, "conv_id").unionByName(single)
     own = F.col("role") == F.col("perspective")
     speaker = F.when(own, F.lit("assistant")).when(F.col("role") == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), safe(F.col("role"))))
     head = F.concat(F.lit(BEGIN), speaker, F.lit("\n"))

@@ -9,9 +9,9 @@ whole, as sorted arrays; bytes that no training text holds share one symbol, whi
 language is the one with the shortest code; the score is the posterior of that language for even priors, with code
 lengths taken per byte and weighed as ``EVIDENCE`` bytes at most, so that long texts do not all score one.
 
-Training reads a bounded sample: about ``SAMPLE`` texts of each language, chosen by a hash of the id among texts of at
-most ``LONGEST`` bytes, fewer of each if there are so many languages that ``TOTAL`` bytes could be exceeded.  So at most about
-``TOTAL`` bytes reach the driver, and the trees that are broadcast take at most 16 * (``ORDER`` + 1) bytes for each of them (a few
+Training reads a bounded sample: at most ``SAMPLE`` different texts of each language, chosen by a hash of text and label among
+texts of at most ``LONGEST`` bytes, fewer of each if there are so many languages that ``TOTAL`` bytes could be exceeded.  So at most
+``TOTAL`` bytes reach the driver, however often ids or rows repeat, and the trees that are broadcast take at most 16 * (``ORDER`` + 1) bytes for each of them (a few
 megabytes in practice).  Every text is scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts when nothing was
@@ -19,9 +19,11 @@ learned; ties go to the first language in order; repeated rows are judged one by
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,17 +37,23 @@ PART = 1 << 20
 
 
 def sample(docs: DataFrame, label: str, usable: Column, per_class: int, longest: int, total: int = TOTAL) -> list[tuple[object, bytes]]:
-    """About ``per_class`` (label, text) of each label value, or as many as ``total`` bytes allow: rows below a threshold of a
-    hash of their id, set from exact counts of the usable texts.  It does not depend on partitioning."""
-    pool = docs.where(usable & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    counts = {r[label]: r["n"] for r in pool.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    """At most ``per_class`` different texts of each label value, or as many as ``total`` bytes allow: those with the smallest hashes
+    of text and label, so neither ids nor repeated rows nor partitioning change the draw, and a label with fewer texts gives them
+    all.  A threshold from exact counts lets few more than these leave the scan.  With more than ``total`` / ``longest`` label values
+    the most frequent are taken."""
+    spot = F.pmod(F.xxhash64("text", label, F.lit("sample")), F.lit(1 << 40))
+    pool = docs.where(usable & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select(F.col(label).alias("_label"), "text", spot.alias("_spot"))
+    most = max(1, total // longest)
+    counts = pool.groupBy("_label", "_spot").agg(F.count("*").alias("n")).groupBy("_label").agg(F.count("*").alias("n"), F.sum("n").alias("rows")).orderBy(F.desc("rows"), "_label").limit(most).collect()
     if not counts:
         return []
-    each = min(per_class, total / longest / len(counts))
-    share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, each / n))])[F.col(label)]
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = pool.where(spot < share).select("doc_id", label, "text").collect()
-    return [(r[label], r["text"].encode()) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))]
+    each = max(1, math.floor(min(per_class, total / longest / len(counts))))
+    drawn = each + 6 * math.sqrt(each) + 20
+    bound = docs.sparkSession.createDataFrame([(r["_label"], min(1 << 40, math.ceil(drawn / r["n"] * (1 << 40)))) for r in counts], f"_label {pool.schema['_label'].dataType.simpleString()}, _bound bigint")
+    few = pool.join(F.broadcast(bound), "_label").where(F.col("_spot") < F.col("_bound")).select("_label", "text", "_spot").distinct()
+    place = F.row_number().over(Window.partitionBy("_label").orderBy("_spot", "text"))
+    rows = few.withColumn("_place", place).where(F.col("_place") <= each).collect()
+    return [(r["_label"], r["text"].encode()) for r in sorted(rows, key=lambda r: (str(r["_label"]), r["_place"]))]
 
 
 class Trees:

@@ -31,7 +31,7 @@ class Vocabulary:
     """Lower-case terms; one strict hit, or distinct soft hits of weight ``limit`` together, reject.  No soft term can
     reach the limit alone."""
 
-    strict: tuple[str, ...] = ("porn", "porno", "pornography", "xxx", "hentai", "escort", "escorts", "casino", "casinos", "kasino", "viagra", "cialis", "cheap-pills", "spam-farm", "malware",
+    strict: tuple[str, ...] = ("porn", "porno", "pornography", "xxx", "hentai", "escort", "escorts", "casino", "casinos", "kasino", "viagra", "cialis", "malware",
                                "phishing", "warez", "keygen", "crackz", "camgirl", "camgirls", "payday-loan", "payday-loans")
     soft: dict[str, int] = field(default_factory=lambda: {
         "adult": 2, "nude": 2, "erotic": 2, "erotik": 2, "erotico": 2, "sexy": 2, "gambling": 2, "poker": 2, "roulette": 2, "slots": 2, "betting": 2, "jackpot": 2, "pills": 2, "pharmacy": 1, "replica": 2, "spam": 2,

@@ -176,6 +176,18 @@ def test_langid(spark, frame, docs, nothing, monkeypatch):
     assert langid.sample(nothing, "lang", F.lit(True), 5, 100) == []
 
 
+def test_langid_sample_ids_and_copies(spark):
+    """Null and repeated ids, and repeated rows, neither starve a language nor crowd the sample."""
+    rows = [(None, f"text number {i}", "en") for i in range(3000)] + [(7, f"texte {i}", "fr") for i in range(3000)] + [(8, "same text", "de")] * 3000 + [(9, "andere", "de"), (1, None, "de"), (2, "x", None), (3, "y" * 200, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for each in (20, 200):
+        drawn = collections.Counter(lang for lang, _ in langid.sample(frame, "lang", F.lit(True), each, 100))
+        assert drawn == {"en": each, "fr": each, "de": 2}
+    assert langid.sample(frame, "lang", F.lit(True), 20, 100) == langid.sample(frame.repartition(3), "lang", F.lit(True), 20, 100)
+    assert sum(len(t) for _, t in langid.sample(frame, "lang", F.lit(True), 5000, 100, total=3000)) <= 3000
+    assert len({lang for lang, _ in langid.sample(frame, "lang", F.lit(True), 5, 100, total=200)}) == 2
+
+
 def test_langid_accuracy(spark):
     rows = langid.op5_langid(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect()}
