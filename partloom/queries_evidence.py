@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import citations, evidence, lookup, positions, shared
+from .operators import candidates, citations, evidence, lookup, positions, shared
 from .queries import _list, _t, query
 from .sources import tables
 from .streaming import learning
@@ -132,3 +132,32 @@ def official_hosts(spark, sf_dir):
     rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.array(name).alias("names"))
     found = lookup.official_hosts(rows, entities)
     return rows.join(found, "names", "left").select("s_suppkey", F.get("names", F.lit(0)).alias("name"), "entity", F.coalesce(F.array_join("hosts", ","), F.lit("")).alias("host"))
+
+
+# --- candidate urls (JOI-15, URL-16) and reviewers' pages (SUP-33) ------------------------------------------------------------------
+
+_SITE = "'https://www.brand' || n || '.com'"
+_LEARNED = ["/catalog/{mpn}", "/appliance/{mpn}"]
+
+
+@query(f"""WITH b AS (SELECT DISTINCT regexp_extract(p_brand, '[0-9]+')::INT AS n FROM part),
+k AS (SELECT 'brand' || n AS key, {_SITE} || '/item/{{mpn}}' AS t, 0 AS ord FROM b WHERE n % 3 = 0 UNION ALL SELECT 'brand' || n, {_SITE} || '/search?term={{search_mpn}}', 1 FROM b WHERE n % 3 = 1 UNION ALL SELECT 'brand' || n, {_SITE} || '/appliance/{{mpn}}', 2 FROM b WHERE n % 5 = 0),
+h AS (SELECT n, coalesce(list(t ORDER BY ord, key) FILTER (t IS NOT NULL), []) AS ts, coalesce(bool_or(contains(t, '/appliance/')), false) AS allow FROM b LEFT JOIN k ON contains('www.brand' || n || '.com', key) GROUP BY n),
+p AS (SELECT n, list_concat(ts, list_transform(CASE WHEN coalesce(list_bool_or(list_transform(ts, lambda z: NOT contains(z, 'search?'))), false) THEN {_list(candidates.SEARCH_PATHS)}
+  ELSE list_filter({_list([*candidates.OFFICIAL_PATHS, *_LEARNED, *candidates.SEARCH_PATHS])}, lambda z: allow OR NOT starts_with(z, '/appliance/')) END, lambda z: {_SITE} || z)) AS every FROM h),
+m AS (SELECT p_partkey, regexp_extract(p_brand, '[0-9]+')::INT AS n, CASE WHEN p_partkey % 2 = 0 THEN 'PN' ELSE 'P N' END || p_partkey || 'Z' AS mpn FROM part),
+u AS (SELECT p_partkey, n, mpn, unnest(every) AS t, unnest(range(len(every))) AS i FROM m JOIN p USING (n)),
+f AS (SELECT p_partkey, i, replace(replace(t, '{{mpn}}', replace(mpn, ' ', '%20')), '{{search_mpn}}', replace(CASE WHEN length(mpn) > 4 THEN left(mpn, length(mpn) - 1) ELSE mpn END, ' ', '%20')) AS url FROM u WHERE NOT (p_partkey % 2 = 0 AND n % 2 = 0 AND t = {_SITE} || '/product/{{mpn}}'))
+SELECT p_partkey, url, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS ord FROM f""")
+def fetch_candidates(spark, sf_dir):
+    """JOI-15, URL-16, FIL-07: the urls to fetch for each part, from what its brand's and other brands' hosts were taught."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("n"))
+    mpn = F.concat(F.when(F.col("p_partkey") % 2 == 0, "PN").otherwise("P N"), F.col("p_partkey").cast("string"), F.lit("Z"))
+    rows = p.select("p_partkey", mpn.alias("mpn"), F.array(F.concat(F.lit("brand"), F.col("n").cast("string"), F.lit(".com"))).alias("domains"))
+    b = p.select("n").distinct()
+    made = lambda path: F.concat(F.lit("https://www.brand"), F.col("n").cast("string"), F.lit(f".com{path}"))
+    kinds = [("n % 3 = 0", "/item/{mpn}"), ("n % 3 = 1", "/search?term={search_mpn}"), ("n % 5 = 0", "/appliance/{mpn}")]
+    taught = [b.where(w).select(F.concat(F.lit("brand"), F.col("n").cast("string")).alias("host"), made(t).alias("template"), F.lit(i).cast("bigint").alias("ord")) for i, (w, t) in enumerate(kinds)]
+    dead = b.select(made("/product/{mpn}").alias("template"), (F.col("n") % 2 == 0).alias("dead"))
+    found = candidates.candidate_urls(rows, paths=taught[0].unionByName(taught[1]).unionByName(taught[2]), dead=dead, learned=_LEARNED, key="p_partkey")
+    return found.select("p_partkey", "url", "ord")
