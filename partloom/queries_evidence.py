@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import candidates, citations, evidence, lookup, positions, shared
-from .queries import _list, _t, query
+from .operators import candidates, citations, evidence, lookup, positions, reviewer, shared
+from .queries import HOST, _list, _t, query
 from .sources import tables
 from .streaming import learning
 
@@ -161,3 +161,22 @@ def fetch_candidates(spark, sf_dir):
     dead = b.select(made("/product/{mpn}").alias("template"), (F.col("n") % 2 == 0).alias("dead"))
     found = candidates.candidate_urls(rows, paths=taught[0].unionByName(taught[1]).unionByName(taught[2]), dead=dead, learned=_LEARNED, key="p_partkey")
     return found.select("p_partkey", "url", "ord")
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '(://[^/?#]*)', '\\1/appliances') WHEN page_id % 11 = 0 THEN regexp_replace(url, '(://[^/?#]*)', '\\1/search') ELSE url END AS url, page_id % 13 AS status,
+  CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END AS frame, CASE page_id % 4 WHEN 0 THEN 'useful' WHEN 1 THEN 'junk' ELSE '' END AS kind FROM pages),
+f AS (SELECT *, contains(url, '/appliances') AS dealer, contains(url, '/search/') AS search, {HOST.format(u="url")} AS host FROM p WHERE status <> 0)
+SELECT page_id, CASE WHEN dealer OR search THEN '' ELSE url END AS mfr_url, CASE WHEN dealer OR search THEN url ELSE '' END AS ref_url, dealer, NOT search AND NOT contains(host, 'thth') AND kind <> 'useful' AND (frame >= 1 OR kind = 'junk') AS storefront,
+  CASE WHEN dealer THEN 0 ELSE 4 END::BIGINT AS n_marketing FROM f""")
+def ingested_pages(spark, sf_dir):
+    """SUP-33, FIL-12, SUP-08: whole pages with shops' marks added to some, dealers' and search paths to others."""
+    n = F.col("page_id")
+    p = tables.pages(spark, sf_dir)
+    put = lambda path: F.regexp_replace("url", "(://[^/?#]*)", f"$1{path}")
+    url = F.when(n % 7 == 0, put("/appliances")).when(n % 11 == 0, put("/search")).otherwise(F.col("url"))
+    marks = F.concat(F.when(n % 5 == 0, "<i>TOWN_NAME</i>").otherwise(""), F.when(n % 6 == 0, '{"@type": "LocalBusiness", "addressLocality": "x"}').otherwise(""))
+    seen = p.select("page_id", url.alias("url"), F.concat("html", marks).alias("html"), F.when(n % 13 == 0, 404).otherwise(200).alias("status"), F.array(F.lit("thth")).alias("names"))
+    items = F.when(n % 4 == 0, F.array(evidence.item("Material", F.lit("Brass"), url=url), evidence.item("City", F.lit("x"), url=url))).when(n % 4 == 1, F.array(evidence.item("Color", F.lit("#fff"), url=url), evidence.item("Phone", F.lit("1"), url=url)))
+    given = p.select("page_id", F.coalesce(items, F.array().cast(f"array<{evidence.ITEM}>")).alias("items"), F.lit("some").alias("marketing"), F.lit("").alias("approvals"), F.lit("").alias("warranty"))
+    done = reviewer.ingest(seen, given)
+    return done.select("page_id", "mfr_url", F.coalesce(F.get("ref_urls", F.lit(0)), F.lit("")).alias("ref_url"), "dealer", "storefront", F.length("marketing").cast("bigint").alias("n_marketing"))
