@@ -270,13 +270,13 @@ def page_title(spark, sf_dir):
 
 @query("""SELECT page_id, trim(html) <> '' AND NOT regexp_matches(lower(regexp_extract(left(html, 6000), '<title[^>]*>(.*?)</title>', 1, 'is')), '404|not found|doesn''t exist|does not exist') AS usable, length(html) >= 12000 AND (length(lower(html)) - length(replace(lower(html), '<script', ''))) / 7 >= 8 AND length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) < 500 AS js_shell FROM pages""")
 def usable_pages(spark, sf_dir):
-    """FIL-03, FIL-04, FIL-08, SRC-09..11."""
+    """FIL-03, FIL-04, SRC-11."""
     return tables.pages(spark, sf_dir).select("page_id", pages.is_usable(F.col("status"), "html", "url").alias("usable"), pages.is_js_shell("html").alias("js_shell"))
 
 
 @query("""SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, '<a\\b[^>]*href=["'']([^"''#][^"'']*)["'']', 1, 'is'), lambda h: h <> '')))::BIGINT AS n_links, len(list_distinct(list_filter(regexp_extract_all(html, '<a\\b[^>]*href=["'']([^"''#][^"'']*)["'']', 1, 'is'), lambda h: regexp_matches(h, '^https?://'))))::BIGINT AS n_absolute FROM pages""")
 def link_extract(spark, sf_dir):
-    """EXT-12, EXT-13, EXT-16."""
+    """EXT-13: links of a page."""
     return tables.pages(spark, sf_dir).select("page_id", F.size(pages.hrefs("html")).cast("bigint").alias("n_links"), F.size(F.filter(pages.hrefs("html"), lambda h: h.rlike("^https?://"))).cast("bigint").alias("n_absolute"))
 
 
@@ -296,8 +296,8 @@ def page_evidence(spark, sf_dir):
 @query("""SELECT page_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<(li|p|span)\\b[^>]*>(.*?)</(li|p|span)>', 2, 'is'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) BETWEEN 8 AND 120 AND regexp_matches(x, 'the|die|les|con', 'i')))[1:20])::BIGINT AS n_features FROM pages""")
 def feature_lines(spark, sf_dir):
     """EXT-14, OUT-08."""
-    lines = F.array_distinct(F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<(?:li|p|span)\b[^>]*>(.*?)</(?:li|p|span)>"), F.lit(1)), lambda x: T.squash(F.regexp_replace(x, "<[^>]+>", " "))), lambda x: F.length(x).between(8, 120) & x.rlike("(?i)the|die|les|con")))
-    return tables.pages(spark, sf_dir).select("page_id", F.least(F.size(lines), F.lit(20)).cast("bigint").alias("n_features"))
+    lines = pages.feature_lines("html", ["the", "die", "les", "con"])
+    return tables.pages(spark, sf_dir).select("page_id", F.size(lines).cast("bigint").alias("n_features"))
 
 
 @query("""SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[\\x{C0}-\\x{24F}]', '_', 'g'), '\\b([A-Z][A-Z0-9/#]{1,6})\\b', 1)) AS token FROM documents) GROUP BY token HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 80""")
@@ -308,7 +308,7 @@ def token_miner(spark, sf_dir):
 
 @query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events""")
 def json_props(spark, sf_dir):
-    """EXT-08, EXT-18: members of embedded JSON."""
+    """EXT-18: members of embedded JSON."""
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
@@ -657,7 +657,7 @@ def event_window_counts(spark, sf_dir):
 
 @query("""SELECT c_custkey, sha256(c_custkey::VARCHAR || '|' || c_name) AS content_hash FROM customer""")
 def cache_hash(spark, sf_dir):
-    """SRC-14, SNK-05, SRC-20."""
+    """SRC-14: the form of the content hash."""
     return _t(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name"), 256).alias("content_hash"))
 
 
@@ -675,4 +675,4 @@ def slots_pivot(spark, sf_dir):
     return assemble.flatten(p)
 
 
-from . import queries_delivery, queries_evidence  # noqa: E402, F401  register their queries too
+from . import queries_delivery, queries_evidence, queries_operations  # noqa: E402, F401  register their queries too
