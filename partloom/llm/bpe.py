@@ -145,6 +145,24 @@ def pieces(text: str) -> list[str]:
     return BLANK.split(text) if text[:1] == " " or ODD.search(text) else text.split(" ")
 
 
+def piece_words(pattern: str):
+    """The function that cuts a piece with a blank before it.  Most pieces are letters, or letters and one mark, which the default
+    pattern leaves whole: they need no search."""
+    cut = splitter(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return lambda piece: cut(" " + piece)
+
+    def words(piece: str):
+        if piece.isalpha():
+            return (" " + piece,)
+        head, mark = piece[:-1], piece[-1:]
+        if mark and mark in ".,;:!?" and head.isalpha():
+            return " " + head, mark
+        return cut(" " + piece)
+
+    return words
+
+
 class _Words(dict):
     """Words to ids as bytes; what is not there is merged on first use."""
 
@@ -164,20 +182,17 @@ class _Pieces(dict):
 
     def __init__(self, words: _Words, pattern: str):
         super().__init__()
-        self.words, self.cut = words, splitter(pattern).findall
-
-    def ids(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.cut(piece)))
+        self.words, self.cut, self.cut_first = words, piece_words(pattern), splitter(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.ids(" " + piece)
+        ids = b"".join(map(self.words.__getitem__, self.cut(piece)))
         if len(piece) <= LONG:
             self[piece] = ids
         return ids
 
     def text(self, text: str) -> bytes:
         first, *rest = pieces(text)
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+        return b"".join([*map(self.words.__getitem__, self.cut_first(first)), *map(self.__getitem__, rest)])
 
 
 def _packed(batches):
@@ -228,11 +243,11 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", p
                 lead, *more = pieces(value or "")
                 first.add(lead)
                 rest.update(more)
-        cut = splitter(pattern).findall
+        cut_first, cut = splitter(pattern).findall, piece_words(pattern)
         for piece in first:
-            found.update(cut(piece))
+            found.update(cut_first(piece))
         for piece in rest:
-            found.update(cut(" " + piece))
+            found.update(cut(piece))
         sent = sorted(b for w in found if len(b := w.encode()) <= LONG and b not in ranks)
         number = table.column("batch")[0].as_py() if table.num_rows else 0
         return pa.table({"batch": pa.array([number] * len(sent), pa.int32()), "word": pa.array(sent, pa.binary())})

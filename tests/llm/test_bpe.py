@@ -35,6 +35,15 @@ def test_merge_and_split(ranks, library):
         assert [i for w in cut.findall(text) for i in bpe.merge(w.encode(), ranks)] == library.encode_ordinary(text)
 
 
+def test_pieces_of_letters_need_no_search():
+    cut, quick = bpe.splitter().findall, bpe.piece_words(public_tokenizers.PATTERN)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if c.isalpha():
+            assert cut(f" {c}") == [f" {c}"], hex(ord(c))
+    for piece in ["word", "word.", "wörd,", "don't", "x's", "a1", "1.", ".", "..", "a..", "é!", "中文。", "a\nb", "n't", "'s", "\xaa", "x²"]:
+        assert list(quick(piece)) == cut(" " + piece)
+
+
 def test_fold_is_merge(spark, ranks):
     r = random.Random(4)
     words = [b"a", b"\xff\xfe", "é".encode(), b"=" * 300, *(bytes(r.choice(b"abcdeinrst\xc3\xa9") for _ in range(r.randint(1, 60))) for _ in range(400))]
