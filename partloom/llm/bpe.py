@@ -43,8 +43,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG, UNIT, MAPS, NONE = 512, 32 << 20, 1 << 15, 2**31 - 1
 #: merged words packed at a time
 PACK = 1 << 18
-#: stands before and behind a word's pieces, so that every pair has neighbours; part of no token
-EDGE = b"\xff" * 4
 #: the library's white space is Unicode's; Python's has the separators 28 to 31 too
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -55,8 +53,6 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
     if missing := [i for i in range(256) if bytes([i]) not in ranks]:
         raise ValueError(f"{path} lacks the bytes {missing}")
-    if any(EDGE in token for token in ranks):
-        raise ValueError(f"{path} has a token with {EDGE!r}")
     return ranks
 
 
@@ -109,28 +105,26 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
         rank = lambda b: F.try_element_at(F.get(maps, F.crc32(b) % MAPS), F.hex(b))
         known = lambda b: F.coalesce(rank(b), F.lit(NONE))
         size = F.octet_length(word)
-        nth = lambda a, i: F.get(a, i - 1)
+        cut = lambda starts, i, j: F.substring(word, F.get(starts, i), F.get(starts, j) - F.get(starts, i))  # noqa: E731  nothing beyond the ends
 
-        def join_at(state: Column, i: Column) -> Column:
-            pieces, pairs = state["pieces"], state["pairs"]
-
-            def placed(new: Column) -> Column:
-                joined = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(new), F.slice(pieces, i + 2, size + 2))
-                beside = F.array(known(F.concat(nth(pieces, i - 1), new)), known(F.concat(new, nth(pieces, i + 2))))
-                return F.struct(joined.alias("pieces"), F.concat(F.slice(pairs, F.lit(1), i - 2), beside, F.slice(pairs, i + 2, size + 2)).alias("pairs"))
-
-            return _let(F.concat(nth(pieces, i), nth(pieces, i + 1)), placed)
+        def join_at(state: Column, k: Column) -> Column:
+            starts, pairs = state["starts"], state["pairs"]
+            # ``flatten`` puts arrays together at less cost than ``concat``
+            beside = F.array(known(cut(starts, k - 3, k)), known(cut(starts, k - 2, k + 1)))
+            fewer = F.flatten(F.array(F.slice(starts, F.lit(1), k - 1), F.slice(starts, k + 1, size)))
+            return F.struct(fewer.alias("starts"), F.flatten(F.array(F.slice(pairs, F.lit(1), k - 2), beside, F.slice(pairs, k + 2, size))).alias("pairs"))
 
         def step(state: Column, _: Column) -> Column:
             lowest = F.array_min(state["pairs"])
-            return F.when(lowest < NONE, _let(F.array_position(state["pairs"], lowest).cast("int"), lambda i: join_at(state, i))).otherwise(state)
+            return F.when(lowest < NONE, _let(F.array_position(state["pairs"], lowest).cast("int"), lambda k: join_at(state, k))).otherwise(state)
 
-        edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
+        # where pieces begin, up to the end; ranks of pairs, between two that are none
+        none = F.array(F.lit(NONE))
         begin = F.struct(
-            F.concat(edge, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))), edge).alias("pieces"),
-            F.concat(none, F.transform(F.sequence(F.lit(1), size - 1), lambda i: known(F.substring(word, i, F.lit(2)))), none).alias("pairs"),
+            F.sequence(F.lit(1), size + 1).alias("starts"), F.concat(none, F.transform(F.sequence(F.lit(1), size - 1), lambda i: known(F.substring(word, i, F.lit(2)))), none).alias("pairs"),
         )
-        folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda state: F.transform(F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - 2), rank))
+        pieces = lambda starts: F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda a, i: rank(F.substring(word, a, F.get(starts, i + 1) - a)))
+        folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, lambda state: pieces(state["starts"]))
         return _let(rank(word), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
 
     return _let(rank_maps(ranks), ids)
