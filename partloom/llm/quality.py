@@ -67,8 +67,13 @@ def line_fails(line: Column, chars: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame:
     """``docs`` with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_chars,
-    cleaned and kept, each under ``prefix`` (pick one that clashes with no column)."""
+    cleaned and kept, each under ``prefix``.  A column that has the name of a result already is replaced by it; all other
+    columns pass through, whatever their names."""
+    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_chars", "cleaned", "kept"]
     p = prefix
+    while any(c.lower().startswith(p.lower()) for c in docs.columns):
+        p += "_"
+    others = [c for c in docs.columns if c.lower() not in {(prefix + x).lower() for x in results}]
     t = F.coalesce(F.col(text), F.lit(""))
     first = docs.withColumns({
         f"{p}words": words(t),
@@ -96,9 +101,8 @@ def judge(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFrame
     done = fourth.withColumn(f"{p}base_failed", failed).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (2 * F.col(f"{p}kept_chars") >= F.col(f"{p}word_chars")))
     # A filter on the verdict would be pushed through the projections, which writes every expression out in place of its
     # name: arrays would then be made again for each of their elements.  Nothing is pushed through a generator.
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_chars", "cleaned", "kept"]
-    held = done.select(*docs.columns, F.explode_outer(F.array(F.struct(*[F.col(p + x).alias(x) for x in results]))).alias(f"{p}all"))
-    return held.select(*docs.columns, *[F.col(f"{p}all")[x].alias(p + x) for x in results])
+    held = done.select(*others, F.explode_outer(F.array(F.struct(*[F.col(p + x).alias(x) for x in results]))).alias(f"{p}all"))
+    return held.select(*others, *[F.col(f"{p}all")[x].alias(prefix + x) for x in results])
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,17 @@ def test_line_rules(spark, body, kept):
     assert quality.judge(spark.createDataFrame([(body,)], "text string")).first()["_q_kept"] is kept
 
 
+def test_quality_clashing_columns(spark):
+    plain = spark.createDataFrame([(1, "one two three four five six seven eight nine ten."), (2, None)], "doc_id long, text string")
+    clash = plain.selectExpr("*", "'a' AS _q_words", "'b' AS _Q_lines", "'c' AS _q__x", "'d' AS _q_n_words", "'e' AS _q_all")
+    got = quality.judge(clash)
+    want = {r.doc_id: r.asDict() for r in quality.judge(plain).collect()}
+    for row in got.collect():
+        assert (row._q_words, row._Q_lines, row._q__x, row._q_all) == ("a", "b", "c", "e")
+        assert {k: row[k] for k in want[row.doc_id]} == want[row.doc_id]
+    assert len(got.columns) == len(set(c.lower() for c in got.columns))
+
+
 def test_langid(spark, frame, docs, nothing, monkeypatch):
     samples = [("en", b"the cat sat on the mat and the dog ran to the house " * 20), ("de", "der Hund und die Katze sind in dem Haus über dem Fluß ".encode() * 20)]
     trees = langid.Trees(samples)
