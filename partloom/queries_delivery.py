@@ -11,7 +11,7 @@ from .functions import units
 from .operators import assemble, compose, describe, evidence, harvest, memory, pages, references, sourcing
 from .operators.classify import ABRASIVE_BRANDS, APPLIANCE_BRANDS, route
 from .operators.identity import from_description
-from .queries import _ALIASED, _WORDS, ROWS, SQL, _longest_sql, _q, _t, _taxonomy_sql, query
+from .queries import ROWS, SQL, _q, _t, _taxonomy_sql, query
 from .sources import tables
 
 STYLES = {"clusters": {"Brand#13": {"mobile_lead": "{brand_plain} by {manufacturer}", "title_with": "never"}, "BRAND#5": {"title_with": "always", "mobile_fill": []}}}
@@ -405,11 +405,11 @@ def taxonomy_index(spark, sf_dir):
     return references.taxonomy_index(p).withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@query("""SELECT '/refs/' || lower(n_name) || '-Unicat LOV.xlsx' AS path, 1 AS rank FROM nation ORDER BY path LIMIT 1""")
+@query("""SELECT '/refs/' || lower(n_name) || '-Master LOV.xlsx' AS path, 1 AS rank FROM nation ORDER BY path LIMIT 1""")
 def find_workbook(spark, sf_dir):
     """SRC-08: the first workbook whose name holds the tokens."""
-    n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("/refs/"), F.lower("n_name"), F.lit("-Unicat LOV.xlsx")).alias("path"), F.lit("lov").alias("kind"))
-    return references.find_workbook(n, "lov.xlsx", [["unicat", "lov"]], "lov")
+    n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("/refs/"), F.lower("n_name"), F.lit("-Master LOV.xlsx")).alias("path"), F.lit("lov").alias("kind"))
+    return references.find_workbook(n, "lov.xlsx", [["master", "lov"]], "lov")
 
 
 # --- harvest and reviewers (AGG-25, SUP-20, SUP-23..25, OUT-15, SUP-30, SUP-33) ----------------------------------------------

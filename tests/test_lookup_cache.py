@@ -8,7 +8,6 @@ from datetime import datetime, timedelta
 from html.entities import html5
 
 import pytest
-from pyspark.sql import functions as F
 
 from partloom.functions.entities import decode_references
 from partloom.operators import lookup
