@@ -48,12 +48,14 @@ def is_storefront(url: Column, html: Column, items: Column, names: Column, hosts
     return ~guarded & (count("useful") == 0) & ((chrome(html) >= 1) | (count("junk") >= JUNK))
 
 
-def ingest(pages: DataFrame, evidence: DataFrame | None = None, key: str = "page_id", hosts: HostLists = BUILT_IN) -> DataFrame:
+def ingest(pages: DataFrame, evidence: DataFrame | None = None, key: str = "page_id", hosts: HostLists = BUILT_IN, read: bool = False) -> DataFrame:
     """``pages(key, url, html, status, names)`` -> one row per page that may be read: items, marketing, approvals, warranty, mfr_url,
     ref_urls, dealer and storefront.  Urls that a reviewer may not give, unusable pages and searches' items: a page that fails is not
     in the result; a PDF's body gives no items here (see ``spec_pages`` for its text).  ``evidence`` is ``page_evidence`` of the pages, made here
-    if absent; repeated keys share it."""
-    fine = pages.where(urls.hint_allowed("url") & page_ops.is_usable(F.col("status"), "html", "url"))
+    if absent; repeated keys share it.  With ``read`` the pages are known to have been read: status and body tell that a page is missing,
+    its url and title do not."""
+    usable = page_ops.is_usable(F.col("status"), "html", titles=False) if read else page_ops.is_usable(F.col("status"), "html", "url")
+    fine = pages.where(urls.hint_allowed("url") & usable)
     found = (evidence if evidence is not None else page_ops.page_evidence(fine.dropDuplicates([key]), key)).select(F.col(key).alias("_key"), *[c for c in ("items", "marketing", "approvals", "warranty")])
     met = fine.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("items", F.coalesce("items", F.array().cast(f"array<{ITEM}>")))
     dealer = urls.is_dealer("url") | urls.is_distributor("url", hosts)
