@@ -88,13 +88,15 @@ def candidate_urls(
     paths = paths if paths is not None else spark.createDataFrame([], "host string, template string, ord bigint")
     own = rows.select(key, F.col("mpn"), F.coalesce("domains", F.array().cast("array<string>")).alias("domains")).where(text("mpn") != "")
     each = own.select(key, "mpn", F.posexplode("domains").alias("_d", "domain")).where(strip("domain") != "").withColumn("_site", origin("domain")).withColumn("host", urls.netloc("_site"))
-    ready = each.join(taught(each.select("host"), paths), "host")
+    # a few hosts may have all rows, and few bytes of rows make many urls: the rows are dealt out again before they grow
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ready = each.join(taught(each.select("host"), paths), "host", "left").repartition(tasks, key, "mpn")
     made = ready.select(key, "mpn", "_d", F.posexplode(paths_of(F.col("templates"), F.col("appliance"), F.col("_site"), learned or [])).alias("_p", "template"))
     guessed = made.select(key, "mpn", filled(F.col("template"), F.col("mpn")).alias("url"), F.struct(F.lit(1).alias("s"), F.col("_d").alias("a"), F.col("_p").cast("bigint").alias("b")).alias("_o"), F.lit("guess").alias("source"))
     if dead is not None:
         gone = dead.where("dead").select(F.col("template").alias("_t")).distinct()
-        exact = F.when(urls.is_portable(urls.url_template(F.col("url"), F.col("mpn")), hosts), urls.url_template(F.col("url"), F.col("mpn")))
-        guessed = guessed.withColumn("_t", exact).join(gone, "_t", "left_anti").drop("_t")
+        exact = guessed.withColumn("_u", urls.url_template(F.col("url"), F.col("mpn"))).withColumn("_t", F.when(urls.is_portable(F.col("_u"), hosts), F.col("_u")))
+        guessed = exact.join(gone, "_t", "left_anti").drop("_t", "_u")
     every = guessed
     if known is not None:
         filed = own.join(memory.lookup_known(own, known), "mpn").where(~urls.is_blocked("url", hosts) & ~urls.is_distributor("url", hosts) & ~urls.is_pdf("url"))
