@@ -25,13 +25,14 @@ def expand(x: Column, table: dict[str, str] = ABBREVIATIONS) -> Column:
     """``struct(text, found)``: each abbreviation in turn, longest first, over the text the earlier ones left."""
     one = lambda k, v: f"named_struct('k', {literal(k)}, 'v', {literal(v)}, 'u', {literal(k.upper())}, 'p', {literal(rf'(?i){chr(92)}b{chr(92)}Q{k}{chr(92)}E{chr(92)}b')})"
     entries = F.expr(f"array({', '.join(one(k, v) for k, v in ordered_abbreviations(table))})")
-    start = F.struct(x.alias("text"), F.array().cast("array<string>").alias("found"))
+    # capitals are made anew only where the text changed
+    state = lambda t, found: F.struct(t.alias("text"), F.upper(t).alias("up"), found.alias("found"))
 
     def step(a: Column, e: Column) -> Column:
-        hit = F.contains(F.upper(a["text"]), e["u"]) & F.rlike(a["text"], e["p"])
-        return F.when(hit, F.struct(F.regexp_replace(a["text"], e["p"], e["v"]).alias("text"), F.concat(a["found"], F.array(e["k"])).alias("found"))).otherwise(a)
+        hit = F.contains(a["up"], e["u"]) & F.rlike(a["text"], e["p"])
+        return F.when(hit, state(F.regexp_replace(a["text"], e["p"], e["v"]), F.concat(a["found"], F.array(e["k"])))).otherwise(a)
 
-    return F.aggregate(entries, start, step)
+    return F.aggregate(entries, state(x, F.array().cast("array<string>")), step, lambda a: F.struct(a["text"].alias("text"), a["found"].alias("found")))
 
 
 def embedded_mpn(desc: Column, raw: Column) -> Column:

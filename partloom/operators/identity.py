@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import Dims
-from ..functions.text import bare_brand, clean_brand, contains_word, literal, strip, text, texts
+from ..functions.text import bare_brand, clean_brand, contains_word, let, literal, strip, text, texts
 from ..functions.units import lookup
 
 COOP = ["APPDE", "UNILOG", "COOP"]
@@ -22,15 +22,16 @@ def unusable(x: Column) -> Column:
 
 def _longest(entries: list[tuple[str, str]]) -> Column:
     rows = sorted(entries, key=lambda kv: -len(kv[0]))
-    return F.expr(f"array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {literal(k)}, {chr(39)}v{chr(39)}, {literal(v)})' for k, v in rows)})")
+    return F.expr(f"array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {literal(k)}, {chr(39)}l{chr(39)}, lower({literal(k)}), {chr(39)}v{chr(39)}, {literal(v)})' for k, v in rows)})")
 
 
 def longest_word(x: Column, entries: list[tuple[str, str]]) -> Column:
     """Value of the longest entry that stands in the text as a word; null if none does."""
     if not entries:
         return F.lit(None).cast("string")
-    low = F.lower(x)
-    return F.get(F.filter(_longest(entries), lambda e: F.contains(low, F.lower(e["k"])) & contains_word(x, e["k"])), F.lit(0))["v"]
+    # the text and its small letters are made once, not for every entry
+    seen = F.struct(x.alias("x"), F.lower(x).alias("low"))
+    return let(seen, lambda s: F.get(F.filter(_longest(entries), lambda e: F.contains(s["low"], e["l"]) & contains_word(s["x"], e["k"])), F.lit(0))["v"])
 
 
 def brand_names(dims: Dims) -> list[tuple[str, str]]:
@@ -64,7 +65,7 @@ def from_manufacturer(x: Column, dims: Dims) -> Column:
     key = F.when((token != "") & ~F.upper(token).isin(COOP) & ~unusable(token), canonical_key(token, dims))
     low = F.lower(text(x))
     hints = [(k, v) for k, v in dims.hints.items() if v in dims.brands]
-    hint = F.get(F.filter(_longest(hints), lambda e: F.contains(low, F.lower(e["k"]))), F.lit(0))["v"] if hints else F.lit(None).cast("string")
+    hint = let(low, lambda s: F.get(F.filter(_longest(hints), lambda e: F.contains(s, e["l"])), F.lit(0))["v"]) if hints else F.lit(None).cast("string")
     found = F.coalesce(F.when(key.isin(keys), key), hint, longest_word(text(x), brand_names(dims)))
     return F.when(~text(x).rlike(r"(?i)\bAPPDE\b|Appliance Dealers Cooperative"), found)
 

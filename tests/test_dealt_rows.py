@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partloom import queries_delivery
-from partloom.operators import candidates
+from partloom.operators import candidates, identity
 from partloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +21,9 @@ def test_rows_of_one_host_make_their_urls_in_many_tasks(spark):
     rows = spark.range(200).select(F.col("id").alias("row_id"), F.concat(F.lit("PN"), "id").alias("mpn"), F.array(F.lit("maker.com")).alias("domains"))
     counts = [r["count"] for r in candidates.candidate_urls(rows).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(counts) == 1200 and len(counts) == 4
+
+
+def test_a_text_is_made_once_for_all_entries(spark):
+    frame = spark.sql("select 'a Kitchen Aid b' s").select(identity.longest_word(F.upper("s"), [("aid", "1"), ("Kitchen Aid", "2")]).alias("v"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert frame.first().v == "2" and "upper(" not in plan[plan.index("filter(") :].split("\n")[0]
